@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import repetition
+from quire.llm import neardup, repetition
 from quire.runtime import table
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.found_pairs(table(spark, root, "blocks"))
+
+
+def p5_block_classes(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.block_classes(table(spark, root, "blocks"))
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return repetition.repetitive(table(spark, root, "documents"))
 
@@ -26,6 +34,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '\pL+'), lambda x: x <> '')"
 
 SQL: dict[str, str] = {
+    "p5_found": f"""
+        WITH b AS (SELECT DISTINCT book_id, seq, text FROM blocks),
+        t AS (SELECT 'blocks' AS rec_table, book_id, seq, {_WORDS.format('text')} AS w FROM b
+              UNION ALL SELECT 'books', book_id, -1, {_WORDS.format("string_agg(text, chr(10) ORDER BY seq)")} FROM b GROUP BY book_id),
+        g AS (SELECT DISTINCT rec_table, book_id, seq, hash(list_slice(w, i, i + 4)) AS g
+              FROM (SELECT *, unnest(generate_series(1, len(w) - 4)) AS i FROM t
+                    WHERE len(w) >= CASE rec_table WHEN 'books' THEN 5 ELSE 40 END)),
+        n AS (SELECT rec_table, book_id, seq, count(*) AS n FROM g GROUP BY ALL),
+        p AS (SELECT a.rec_table, a.book_id AS book_a, a.seq AS seq_a, b.book_id AS book_b, b.seq AS seq_b, count(*) AS c
+              FROM g a JOIN g b ON a.rec_table = b.rec_table AND a.g = b.g AND a.book_id < b.book_id GROUP BY ALL),
+        s AS (SELECT p.* FROM p JOIN n x ON x.rec_table = p.rec_table AND x.book_id = book_a AND x.seq = seq_a
+              JOIN n y ON y.rec_table = p.rec_table AND y.book_id = book_b AND y.seq = seq_b
+              WHERE c * 1000 >= 600 * (x.n + y.n - c))
+        SELECT rec_table, book_a, seq_a, book_b, seq_b FROM s
+        WHERE rec_table = 'books' OR NOT EXISTS (SELECT 1 FROM s o WHERE o.rec_table = 'books'
+              AND o.book_a = s.book_a AND o.book_b = s.book_b)""",
     "p10_found": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
         g AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
