@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import neardup, repetition
+from quire.llm import mojibake, neardup, repetition
 from quire.runtime import table
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    made = mojibake.damaged_records(table(spark, root, "blocks"), table(spark, root, "books"))
+    return made.select("rec_table", "book_id", "seq").distinct()
+
+
+def p3_restored(spark: SparkSession, root: str) -> DataFrame:
+    return mojibake.damaged_records(table(spark, root, "blocks"), table(spark, root, "books"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.found_pairs(table(spark, root, "blocks"))
 
