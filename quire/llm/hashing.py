@@ -78,3 +78,12 @@ def windows(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.nda
         every = every * _ODD + words[k : len(words) - size + 1 + k]
     keep = np.repeat(first[:-1] - at[:-1], counts) + np.arange(at[-1])
     return mix(every[keep]), at
+
+
+def slices(batches, column: str = "text", chars: int = 1 << 20):
+    """Arrow batches as smaller frames of about ``chars`` characters, so that numpy's temporaries stay small."""
+    for pdf in batches:
+        ends = pdf[column].str.len().fillna(0).to_numpy().cumsum() // chars
+        cut = np.flatnonzero(np.append(True, ends[1:] != ends[:-1])) if len(pdf) else np.zeros(0, int)
+        for a, b in zip(cut, np.append(cut[1:], len(pdf))):
+            yield pdf.iloc[a:b].reset_index(drop=True)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import mojibake, neardup, repetition
+from quire.llm import langid, mojibake, neardup, repetition
 from quire.runtime import table
 
 
@@ -19,6 +19,18 @@ def p3_restored(spark: SparkSession, root: str) -> DataFrame:
     return mojibake.damaged_records(table(spark, root, "blocks"), table(spark, root, "books"))
 
 
+def _p4_tables(spark: SparkSession, root: str) -> list[DataFrame]:
+    return [table(spark, root, t) for t in ("blocks", "books", "files", "book_files")]
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return langid.corrections(*_p4_tables(spark, root))
+
+
+def p4_languages(spark: SparkSession, root: str) -> DataFrame:
+    return langid.assigned(*_p4_tables(spark, root))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neardup.found_pairs(table(spark, root, "blocks"))
 
