@@ -17,14 +17,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quire.llm.hashing import mix, windows, word_hashes
+from quire.llm.hashing import mix, slices, windows, word_hashes
 from quire.runtime import materialize
 
 HASHES = 96
 #: Least depth, trees and full depth; one tree's first levels share no hash function with another tree's.
-#: Recall of a pair of similarity s is 1 - (1 - s**least) ** trees: at 0.6, 0.9999 for blocks, 0.9996 for books.
+#: A pair of similarity s shares a region with probability 1 - (1 - s**least) ** trees: at 0.6, 0.9999 and 0.9996.
 BLOCK_TREES, BLOCK_LEAST, BOOK_TREES, BOOK_LEAST, LEVELS = 20, 2, 32, 3, 4
 DENSE = 64
+#: Blocks must agree in two trees (at a similarity of 0.6 missed with 0.0016); of books the share of equal minima
+#: may fall short of the threshold by SLACK, 3.6 standard deviations at 0.6 (missed with 0.0002).
+AGREEING, SLACK = 2, 0.18
 THRESHOLD, MIN_WORDS, SIZE = 0.6, 40, 5
 _CHUNK = 2048
 _FACTORS = (np.random.default_rng(20240607).integers(1, 2**31, HASHES, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -65,13 +68,13 @@ def _split(texts: list[str | None]):
     return words, first, grams, at
 
 
-_SCAN = "book_id long, seq int, n_words int, cls long, near array<long>, deep array<int>, head string, tail string, sig array<long>"
+_SCAN = "book_id long, seq int, n_words int, cls long, near array<long>, deep array<int>, head string, tail string, sig binary"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each block its word count and edge words, of each new class of at least MIN_WORDS words its tree keys,
     and of each book in the batch the minima over its blocks' windows (in a row without seq)."""
-    for pdf in batches:
+    for pdf in slices(batches):
         pdf = pdf.sort_values(["book_id", "seq"], kind="stable")
         texts = [t or "" for t in pdf["text"]]
         words, first, start, end = word_hashes(texts)
@@ -108,7 +111,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _book_rows(books: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
     none = pd.Series([None] * len(books), dtype=object)
-    return pd.DataFrame({"book_id": books, "seq": pd.arrays.IntegerArray(np.zeros(len(books), np.int32), np.ones(len(books), bool)), "n_words": np.zeros(len(books), np.int32), "cls": pd.arrays.IntegerArray(np.zeros(len(books), np.int64), np.ones(len(books), bool)), "near": none, "deep": none, "head": none, "tail": none, "sig": list(sig.astype(np.int64))})
+    return pd.DataFrame({"book_id": books, "seq": pd.arrays.IntegerArray(np.zeros(len(books), np.int32), np.ones(len(books), bool)), "n_words": np.zeros(len(books), np.int32), "cls": pd.arrays.IntegerArray(np.zeros(len(books), np.int64), np.ones(len(books), bool)), "near": none, "deep": none, "head": none, "tail": none, "sig": _packed(sig)})
 
 
 def scan_blocks(blocks: DataFrame) -> DataFrame:
@@ -124,8 +127,8 @@ def seams(scan: DataFrame) -> DataFrame:
     the outermost blocks of each chunk are then ordered over the whole book, so that a book with a large share of
     all rows is not ordered in one task.
     """
-    lines = scan.where("seq IS NOT NULL AND n_words > 0").groupBy("book_id", "seq").agg(F.min(F.struct("head", "tail")).alias("x"))
-    lines = lines.select("book_id", "seq", F.floor(F.col("seq") / _CHUNK).alias("chunk"), "x.head", "x.tail")
+    lines = scan.where("seq IS NOT NULL AND n_words > 0").select("book_id", "seq", F.floor(F.col("seq") / _CHUNK).alias("chunk"), "head", "tail")
+    lines = lines.repartition("book_id", "chunk").dropDuplicates(["book_id", "chunk", "seq"])
 
     def around(w) -> Column:
         before = F.slice(F.reverse(F.split(F.concat_ws(" ", *[F.lag("tail", k).over(w) for k in range(SIZE - 1, 0, -1)]), " ")), 1, SIZE - 1)
@@ -139,6 +142,33 @@ def seams(scan: DataFrame) -> DataFrame:
     return placed.where("rn > 1").select("book_id", "text").unionByName(outer.where("rn = 1").select("book_id", F.col("wide").alias("text")))
 
 
+def _packed(sig: np.ndarray) -> list[bytes]:
+    return [x.tobytes() for x in np.ascontiguousarray(sig, np.uint32)]
+
+
+def _unpacked(sig: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint32).reshape(-1, HASHES)
+
+
+def _least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Minima by book of rows sorted by book; the last book of a batch waits for the next."""
+    book, sig = None, None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        owner, sigs = pdf["book_id"].to_numpy(), _unpacked(pdf["sig"])
+        cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        owner, sigs = owner[cut], np.minimum.reduceat(sigs, cut, axis=0)
+        if book is not None and owner[0] == book:
+            sigs[0] = np.minimum(sigs[0], sig)
+        elif book is not None:
+            yield pd.DataFrame({"book_id": [book], "sig": [sig.tobytes()]})
+        book, sig = owner[-1], sigs[-1].copy()
+        yield pd.DataFrame({"book_id": owner[:-1], "sig": _packed(sigs[:-1])})
+    if book is not None:
+        yield pd.DataFrame({"book_id": [book], "sig": [sig.tobytes()]})
+
+
 def _seam_sigs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         pdf = pdf.sort_values("book_id", kind="stable")
@@ -148,28 +178,29 @@ def _seam_sigs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             owner = pdf["book_id"].to_numpy()[has]
             cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sig = np.minimum.reduceat(signatures(grams, np.append(at[:-1][has], at[-1])), cut, axis=0)
-            yield pd.DataFrame({"book_id": owner[cut], "sig": list(sig.astype(np.int64))})
+            yield pd.DataFrame({"book_id": owner[cut], "sig": _packed(sig)})
 
 
 def _book_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            sig = np.vstack(pdf["sig"].to_list()).astype(np.uint32)
-            near, deep = tree_keys(sig, BOOK_TREES, BOOK_LEAST)
+            near, deep = tree_keys(_unpacked(pdf["sig"]), BOOK_TREES, BOOK_LEAST)
             yield pd.DataFrame({"id": pdf["id"], "near": list(near.view(np.int64)), "deep": list(deep.view(np.int32))})
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """Pairs ``a < b`` of ids that share a region of some tree. ``keys``: id, near, deep.
+def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
+    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees. ``keys``: id, near, deep.
 
     A region of more than DENSE ids is refined by the next level, four times at most; ids that still share a
     dense region then agree in all of the tree's hash functions and are compared as they are: no region is
-    dropped and no partner left out.
+    dropped and no partner left out. Only the ids of dense regions carry their deeper levels along.
     """
-    rows = keys.where("near IS NOT NULL").select("id", F.explode(F.arrays_zip("near", "deep")).alias("x")).select(F.col("x.near").alias("key"), F.col("x.deep").alias("deep"), "id")
+    keys = keys.where("near IS NOT NULL")
     found = None
     by = W.partitionBy("key")
-    rows = rows.repartition(F.col("key")).dropDuplicates(["key", "id"])
+    # most keys stand alone and go before copies of an id are looked for
+    rows = keys.select(F.explode("near").alias("key"), "id")
+    rows = rows.select("*", F.count("*").over(by).alias("n")).where("n > 1").dropDuplicates(["key", "id"]).drop("n")
     for level in range(LEVELS + 1):
         counted = materialize(rows.select("*", F.count("*").over(by).alias("n")).where("n > 1"))
         last = level == LEVELS
@@ -179,37 +210,46 @@ def candidates(keys: DataFrame) -> DataFrame:
         rest = counted.where(F.col("n") > DENSE)
         if last or rest.isEmpty():
             break
+        if level == 0:
+            deeper = keys.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.arrays_zip("near", "deep")).alias("x"))
+            rest = rest.join(deeper.select("id", F.col("x.near").alias("key"), F.col("x.deep").alias("deep")), ["key", "id"])
         bits = F.shiftrightunsigned("deep", 8 * level).bitwiseAND(F.lit(255))
         rows = rest.select(F.xxhash64("key", bits).alias("key"), "deep", "id")
-    return found.distinct()
+    if agreeing == 1:
+        return found.distinct()
+    return found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
 
 
-_BITS = 1 << 23
+#: Keys that may be broadcast; beyond, a fixed bitmap decides which rows go on to an ordinary join.
+BROADCAST_KEYS, _BITS = 500_000, 1 << 26
 
 
-def member_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (1 MB) of the hashed single long column; it never misses a member."""
-    name = ids.columns[0]
+def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in ``keys`` (a stored table): a broadcast semi-join while the keys are few. Beyond, most
+    other rows are first dropped by a bitmap of _BITS bits over the keys' hashes, which misses no member, so that
+    only the rest is shuffled."""
+    if keys.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
+    at = F.pmod(F.xxhash64(*on), F.lit(_BITS))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(_BITS, bool)
         for pdf in batches:
-            bits[mix(pdf[name].to_numpy().astype(np.uint64)) % np.uint64(_BITS)] = True
+            bits[pdf["at"].to_numpy()] = True
         yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
 
-    out = np.zeros(_BITS // 8, np.uint8)
-    for row in ids.coalesce(4).mapInPandas(fill, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-def has_member(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    at = mix(ids.astype(np.uint64)) % np.uint64(_BITS)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
+    total = np.zeros(_BITS // 8, np.uint8)
+    for row in keys.select(at.alias("at")).coalesce(4).mapInPandas(fill, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    bits = rows.sparkSession.sparkContext.broadcast(total)
 
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            k = pdf.pop("_at").to_numpy()
+            yield pdf[(bits.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 > 0]
 
-def _spot(book: np.ndarray, seq: np.ndarray) -> np.ndarray:
-    return mix(book.astype(np.uint64)) + seq.astype(np.uint64)
+    likely = rows.withColumn("_at", at).mapInPandas(keep, rows.schema)
+    return likely.join(keys.select(on), on, "left_semi")
 
 
 def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -217,27 +257,32 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 
     A book's text is its blocks in seq order; books without a window are in no class.
     """
-    spark = scan.sparkSession
     edge = materialize(seams(scan))
-    parts = scan.where("sig IS NOT NULL").select("book_id", "sig").unionByName(edge.mapInPandas(_seam_sigs, "book_id long, sig array<long>"))
-    least = parts.groupBy("book_id").agg(*[F.min(F.col("sig")[k]).cast("int").alias(f"h{k}") for k in range(HASHES)])
-    every = [f"h{k}" for k in range(HASHES)]
-    books = materialize(least.select("book_id", F.xxhash64(*every).alias("cls"), F.array(*every).alias("sig")))
+    parts = scan.where("sig IS NOT NULL").select("book_id", "sig").unionByName(edge.mapInPandas(_seam_sigs, "book_id long, sig binary"))
+    books = parts.repartition("book_id").sortWithinPartitions("book_id").mapInPandas(_least, "book_id long, sig binary")
+    books = materialize(books.select("book_id", F.xxhash64("sig").alias("cls"), "sig"))
     reps = books.groupBy("cls").agg(F.min(F.struct("book_id", "sig")).alias("x")).select("cls", F.col("x.book_id").alias("id"), "x.sig")
+    reps = materialize(reps)
     classes = materialize(books.select("book_id", "cls").join(reps.select("cls", F.col("id").alias("rep")), "cls").select("book_id", "rep"))
-    pairs = materialize(candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>, deep array<int>")))
-    asked = pairs.selectExpr("explode(array(a, b)) AS id").distinct()
-    bits = spark.sparkContext.broadcast(member_bits(asked))
+    pairs = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>, deep array<int>"))
 
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf = pdf[has_member(bits.value, pdf["book_id"].to_numpy())]
             if len(pdf):
-                _, _, g, at = _split(pdf["text"].tolist())
-                yield pd.DataFrame({"id": np.repeat(pdf["book_id"].to_numpy(), np.diff(at)), "w": g.astype(np.int64)}).drop_duplicates()
+                same = (_unpacked(pdf["sa"]) == _unpacked(pdf["sb"])).mean(axis=1)
+                yield pdf.loc[same >= threshold - SLACK, ["a", "b"]]
 
+    pairs = pairs.join(reps.selectExpr("id AS a", "sig AS sa"), "a").join(reps.selectExpr("id AS b", "sig AS sb"), "b")
+    pairs = materialize(pairs.mapInPandas(alike, "a long, b long"))
+    asked = pairs.selectExpr("explode(array(a, b)) AS book_id").distinct()
     texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", "text").unionByName(edge)
-    have = texts.mapInPandas(grams, "id long, w long").join(asked, "id", "left_semi").distinct()
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches):
+            _, _, g, at = _split(pdf["text"].tolist())
+            yield pd.DataFrame({"id": np.repeat(pdf["book_id"].to_numpy(), np.diff(at)), "w": g.astype(np.int64)}).drop_duplicates()
+
+    have = only(texts, asked, ["book_id"]).mapInPandas(grams, "id long, w long").distinct()
     have = materialize(have)
     counts = have.groupBy("id").agg(F.count("*").alias("n"))
     sized = pairs.join(counts.selectExpr("id AS a", "n AS na"), "a").join(counts.selectExpr("id AS b", "n AS nb"), "b").where(f"least(na, nb) >= {threshold} * greatest(na, nb)")
@@ -263,27 +308,18 @@ def book_pairs(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 
 def block_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of blocks of at least MIN_WORDS words ``(cls, book_id, seq)`` and links ``(a, b)`` between classes."""
-    spark = scan.sparkSession
     members = scan.where("cls IS NOT NULL").select("cls", "book_id", "seq").distinct()
-    pairs = materialize(candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near", "deep")))
+    pairs = materialize(candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near", "deep"), AGREEING))
     asked = pairs.selectExpr("explode(array(a, b)) AS cls").distinct()
     spots = materialize(members.groupBy("cls").agg(F.min(F.struct("book_id", "seq")).alias("x")).join(asked, "cls", "left_semi").select("cls", "x.book_id", "x.seq"))
 
-    def spot_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"spot": _spot(pdf["book_id"].to_numpy(), pdf["seq"].to_numpy()).astype(np.int64)})
-
-    bits = spark.sparkContext.broadcast(member_bits(spots.mapInPandas(spot_ids, "spot long")))
-
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[has_member(bits.value, _spot(pdf["book_id"].to_numpy(), pdf["seq"].to_numpy()))]
-            if len(pdf):
-                _, _, g, at = _split(pdf["text"].tolist())
-                yield pd.DataFrame({"book_id": pdf["book_id"], "seq": pdf["seq"], "w": [np.unique(g[i:j]).astype(np.int64) for i, j in zip(at[:-1], at[1:])]})
+        for pdf in slices(batches):
+            _, _, g, at = _split(pdf["text"].tolist())
+            yield pd.DataFrame({"book_id": pdf["book_id"], "seq": pdf["seq"], "w": [np.unique(g[i:j]).astype(np.int64) for i, j in zip(at[:-1], at[1:])]})
 
     texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", F.col("seq").cast("int").alias("seq"), "text")
-    have = texts.mapInPandas(grams, "book_id long, seq int, w array<long>").join(spots, ["book_id", "seq"]).dropDuplicates(["cls"]).select("cls", "w")
+    have = only(texts, spots, ["book_id", "seq"]).mapInPandas(grams, "book_id long, seq int, w array<long>").join(spots, ["book_id", "seq"]).dropDuplicates(["cls"]).select("cls", "w")
     have = materialize(have)
     both = pairs.join(have.selectExpr("cls AS a", "w AS wa"), "a").join(have.selectExpr("cls AS b", "w AS wb"), "b")
     c, na, nb = F.size(F.array_intersect("wa", "wb")), F.size("wa"), F.size("wb")
