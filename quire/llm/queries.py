@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mojibake, neardup, repetition
+from quire.llm import langid, mojibake, names, neardup, repetition
 from quire.runtime import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return names.name_pairs(table(spark, root, "books").select("author"), table(spark, root, "files").select("author"))
+
+
+def p2_entities(spark: SparkSession, root: str) -> DataFrame:
+    return names.entities(table(spark, root, "books").select("author"), table(spark, root, "files").select("author"))
+
+
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     made = mojibake.damaged_records(table(spark, root, "blocks"), table(spark, root, "books"))
     return made.select("rec_table", "book_id", "seq").distinct()
