@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mojibake, names, neardup, repetition
+from quire.llm import incremental, langid, mojibake, names, neardup, repetition, survivors
 from quire.runtime import table
 
 
@@ -47,6 +47,22 @@ def p5_block_classes(spark: SparkSession, root: str) -> DataFrame:
     return neardup.block_classes(table(spark, root, "blocks"))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_items(spark, root).where("match_kind <> 'new'")
+
+
+def p6_items(spark: SparkSession, root: str) -> DataFrame:
+    return incremental.classify(*[table(spark, root, t) for t in ("incoming", "books", "book_files")])
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return survivors.found(*[table(spark, root, t) for t in ("blocks", "books", "book_files")])
+
+
+def p7_survivors(spark: SparkSession, root: str) -> DataFrame:
+    return survivors.survivors(*[table(spark, root, t) for t in ("blocks", "books", "book_files")])[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return repetition.repetitive(table(spark, root, "documents"))
 
@@ -62,6 +78,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"list_filter(regexp_extract_all(lower({0}), '\pL+'), lambda x: x <> '')"
 
+_P6 = """
+    WITH i AS (SELECT *, row_number() OVER (ORDER BY batch_no, item_id) AS r FROM incoming),
+    h AS (SELECT 0 AS r, minhash FROM books WHERE minhash IS NOT NULL UNION ALL SELECT r, minhash FROM i WHERE minhash IS NOT NULL),
+    n AS (SELECT DISTINCT i.item_id FROM i JOIN h ON h.r < i.r WHERE i.minhash IS NOT NULL AND
+          len(list_filter(list_zip(i.minhash, h.minhash), lambda x: x[1] = x[2])) >= 77),
+    k AS (SELECT item_id, CASE WHEN sha256 IN (SELECT sha256 FROM book_files WHERE sha256 IS NOT NULL)
+          OR EXISTS (SELECT 1 FROM i e WHERE e.sha256 = i.sha256 AND e.r < i.r) THEN 'exact'
+          WHEN item_id IN (SELECT item_id FROM n) THEN 'near' ELSE 'new' END AS match_kind FROM i)"""
+
 SQL: dict[str, str] = {
     "p5_found": f"""
         WITH b AS (SELECT DISTINCT book_id, seq, text FROM blocks),
@@ -79,6 +104,8 @@ SQL: dict[str, str] = {
         SELECT rec_table, book_a, seq_a, book_b, seq_b FROM s
         WHERE rec_table = 'books' OR NOT EXISTS (SELECT 1 FROM s o WHERE o.rec_table = 'books'
               AND o.book_a = s.book_a AND o.book_b = s.book_b)""",
+    "p6_items": _P6 + " SELECT item_id, match_kind FROM k",
+    "p6_found": _P6 + " SELECT item_id, match_kind FROM k WHERE match_kind <> 'new'",
     "p10_found": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format('text')} AS w FROM documents),
         g AS (SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS g
