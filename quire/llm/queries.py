@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import incremental, langid, mojibake, names, neardup, repetition, survivors
+from quire.llm import incremental, langid, mixing, mojibake, names, neardup, packing, repetition, survivors
 from quire.runtime import table
 
 
@@ -63,6 +63,22 @@ def p7_survivors(spark: SparkSession, root: str) -> DataFrame:
     return survivors.survivors(*[table(spark, root, t) for t in ("blocks", "books", "book_files")])[1]
 
 
+def p8_packed(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(table(spark, root, "documents"), table(spark, root, "container_sizes"))
+
+
+def p8_unused(spark: SparkSession, root: str) -> DataFrame:
+    return packing.unused_space(p8_packed(spark, root), table(spark, root, "container_sizes"))
+
+
+def p9_mix(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, root: str) -> DataFrame:
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
     return repetition.repetitive(table(spark, root, "documents"))
 
