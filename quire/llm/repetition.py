@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.hashing import code_points, mix, windows, word_hashes
+from quire.llm.hashing import code_points, mix, slices, windows, word_hashes
 
 N_GRAMS = (2, 3, 5, 10)
 WINDOW, MIN_WORDS, MIN_SHARE = 5, 20, 0.3
@@ -96,7 +96,7 @@ def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     fields = ["n_words"] + [f"share_words_{n}" for n in N_GRAMS] + [f"share_chars_{n}" for n in N_GRAMS] + ["share_line_chars"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches, "t"):
             m = measure(pdf["t"].tolist())
             made = {"k": pdf["k"], "n_words": m["n_words"]}
             for n in N_GRAMS:
