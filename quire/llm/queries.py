@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import incremental, langid, mixing, mojibake, names, neardup, packing, repetition, survivors
+from quire.llm import incremental, langid, mixing, mojibake, names, neardup, packing, pagenoise, repetition, survivors
 from quire.runtime import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return pagenoise.noise(table(spark, root, "blocks"), table(spark, root, "books"))
+
+
+def p1_paragraphs(spark: SparkSession, root: str) -> DataFrame:
+    return pagenoise.paragraphs(table(spark, root, "blocks"), table(spark, root, "books"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return names.name_pairs(table(spark, root, "books").select("author"), table(spark, root, "files").select("author"))
 
