@@ -1,6 +1,6 @@
 """Variant spellings of one person's or organisation's name.
 
-Names become vectors of character n-grams weighted by squared inverse document frequency. A sparse cosine join
+Names become vectors of character n-grams weighted by the third power of their inverse document frequency. A sparse cosine join
 finds all pairs of at least JOIN: of each vector only the rarest n-grams are indexed, as many as are needed so
 that the rest alone cannot reach JOIN (no best-n cut, so no partner is lost). Pairs whose words contradict each
 other are dropped, and the connected rest is grouped by average linkage under the same contradictions.
@@ -24,7 +24,7 @@ from quire.llm.hashing import mix
 from quire.operators.components import connected_components
 from quire.runtime import materialize
 
-JOIN, LINK, RARE, SLOTS = 0.33, 0.25, 8, 1 << 18
+JOIN, LINK, RARE, SLOTS = 0.33, 0.25, 8, 1 << 20
 
 #: Strings that name nobody, and words that are no part of a name.
 FILLERS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "author unknown", "author", "anonymous", "anon", "anon.", "various", "various authors", "various artists", "admin", "administrator", "user", "owner", "root", "default", "test", "unbekannt", "anonyme", "anonimo", "anónimo", "untitled", "n.n.", "nn", "s.n.", "sn")
@@ -112,13 +112,16 @@ def agree(a: tuple, b: tuple) -> bool:
 
 
 def _grams(words: tuple[tuple[str, bool], ...]) -> np.ndarray:
-    """Slots of the 2- and 3-grams of the padded words."""
+    """Slots of the 3- to 5-grams of the padded words."""
     found = set()
     for w, _ in words:
         w = f" {w} "
-        found.update(w[i : i + k] for k in (2, 3) for i in range(len(w) - k + 1))
-    codes = np.array([int.from_bytes(g.encode("utf-32-le")[:12].ljust(12, b"\0"), "little") & ((1 << 63) - 1) ^ (ord(g[-1]) << 40) for g in found], np.uint64)
-    return np.unique((mix(codes) % np.uint64(SLOTS)).astype(np.int64))
+        found.update(w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1))
+    codes = np.array([list(g.ljust(5, "\0").encode("utf-32-le")) for g in found], np.uint8).reshape(-1, 20).view("<u4").astype(np.uint64)
+    key = np.zeros(len(codes), np.uint64)
+    for k in range(5):
+        key = mix(key * np.uint64(31) + codes[:, k])
+    return np.unique((key % np.uint64(SLOTS)).astype(np.int64))
 
 
 def vector(words: tuple, weight: np.ndarray) -> dict[int, float]:
@@ -153,7 +156,8 @@ def word_hubs(names: DataFrame) -> DataFrame:
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(w, n) for name, n in zip(pdf["name"], pdf["rows"]) for w in {x for x, cut in parse(name)[0] if not cut and len(x) > 3}]
-            yield pd.DataFrame(out, columns=["word", "rows"])
+            if out:
+                yield pd.DataFrame(out, columns=["word", "rows"])
 
     table = materialize(names.mapInPandas(words, "word string, rows long").groupBy("word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")))
     near = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.lit(1000))))))
@@ -180,7 +184,8 @@ def read_words(names: DataFrame, hubs: DataFrame) -> DataFrame:
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(name, k, w, cut, parse(name)[1]) for name in pdf["name"] for k, (w, cut) in enumerate(parse(name)[0])]
-            yield pd.DataFrame(rows, columns=["name", "k", "word", "cut", "surname"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "k", "word", "cut", "surname"])
 
     parts = names.mapInPandas(split, "name string, k int, word string, cut boolean, surname int").join(hubs, "word", "left")
     typed = F.concat("word", F.when(F.col("cut"), ".").otherwise(""))
@@ -267,7 +272,7 @@ def entities(*columns: DataFrame) -> DataFrame:
     most = max(float(df.max()), 2.0)
     # an n-gram of a single spelling can't match anything and has no weight; one of fewer than RARE spellings is
     # likelier made by a typing error than the mark of a name
-    weight = np.where(df > 1, np.log((most * 2 + RARE) / np.maximum(df, RARE)) ** 2, 0.0).astype(np.float32)
+    weight = np.where(df > 1, np.log((most * 2 + RARE) / np.maximum(df, RARE)) ** 3, 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast(weight)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -280,7 +285,8 @@ def entities(*columns: DataFrame) -> DataFrame:
                         break
                     out.append((slot, i))
                     left -= x * x
-            yield pd.DataFrame(out, columns=["slot", "id"])
+            if out:
+                yield pd.DataFrame(out, columns=["slot", "id"])
 
     index = materialize(spelt.mapInPandas(prefix, "slot long, id long"))
     pairs = index.alias("a").join(index.alias("b"), "slot").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
