@@ -1 +1 @@
-
+"""Incremental runs over growing folders."""
