@@ -53,8 +53,10 @@ def similar_pairs(books: DataFrame, share: float = SHARE, new_ids: DataFrame | N
         raise ValueError("the share is too low for the groups")
     ok = books.where(F.size("minhash") == PERMUTATIONS).select(F.col(on).alias("id"), "minhash", "word_count", F.xxhash64("minhash").alias("cls"))
     reps = materialize(ok.groupBy("cls").agg(F.any_value("minhash").alias("minhash")))
-    keys = [F.xxhash64(F.lit(k * 8 + j), *[F.element_at("minhash", int(p) + 1) for i, p in enumerate(part) if i != j]) for k, part in enumerate(parts) for j in range(len(part))]
-    cells = materialize(reps.select("cls", F.explode(F.array(*keys)).alias("key")))
+    chosen = [[int(p) for i, p in enumerate(part) if i != j] for part in parts for j in range(len(part))]
+    places = F.array(*[F.array(*[F.lit(p) for p in (c + c)[:4]]) for c in chosen])  # of three positions the first twice
+    keys = F.transform(places, lambda p, k: F.xxhash64(k, *[F.get("minhash", F.get(p, F.lit(i))) for i in range(4)]))
+    cells = materialize(reps.select("cls", F.explode(keys).alias("key")))
     pairs = cells.alias("a").join(cells.alias("b"), "key").where("a.cls < b.cls").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
     equal = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     side = lambda x: reps.select(F.col("cls").alias(x), F.col("minhash").alias(f"m{x}"))

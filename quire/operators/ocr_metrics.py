@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions import text as T
 
 
+_LETTERS = "".join(map(chr, range(0x100, 0xD800)))
+
+
 def word_errors(read: Column, truth: Column) -> Column:
     """Word edits over the words of the true text: every distinct word becomes one character, then characters are compared."""
     a, b = T.words(F.coalesce(read, F.lit(""))), T.words(F.coalesce(truth, F.lit("")))
     known = F.array_distinct(F.concat(a, b))
-    # private-use planes hold 131,068 characters: more distinct words than a page has
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0xF0000), 8, "0")), "UTF-32BE")), "")
+    # 55,040 characters below the surrogates: more distinct words than a page has
+    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.substr(F.lit(_LETTERS), F.array_position(known, w).cast("int"), F.lit(1))), "")
     return F.levenshtein(spell(a), spell(b)) / F.greatest(F.size(b), F.lit(1))
 
 
@@ -31,8 +34,8 @@ def score_pages(pages: DataFrame, truth: DataFrame, words: DataFrame) -> DataFra
 
 
 def means(scored: DataFrame) -> DataFrame:
-    """Means by engine and slug and by engine alone (slug null), nulls left out of each."""
-    by = scored.rollup("engine", "slug").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("cer", "wer", "dict_ratio", "garbage_ratio")], F.count("*").alias("pages"))
+    """Means by engine and slug and by engine alone (slug null), nulls left out of each. Exact halves are rounded up."""
+    by = scored.rollup("engine", "slug").agg(*[F.round(F.avg(c) + 1e-10, 6).alias(c) for c in ("cer", "wer", "dict_ratio", "garbage_ratio")], F.count("*").alias("pages"))
     return by.where("engine IS NOT NULL")
 
 

@@ -53,4 +53,4 @@ def judged(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def histogram(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Per text the number of sentences by reason, one column each."""
-    return judged(texts, key, text).groupBy(key).pivot("reason", list(REASONS)).agg(F.count("*")).na.fill(0)
+    return judged(texts, key, text).groupBy(key).pivot("reason", list(REASONS)).agg(F.count(F.lit(1))).na.fill(0)
