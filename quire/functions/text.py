@@ -7,6 +7,7 @@ expression engines differ on what ``\\s`` holds.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
@@ -17,6 +18,11 @@ WORD = r"[\p{L}\p{N}_]"
 EXCERPT_CHARS, TITLE_CHARS = 400, 200
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an outer expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalize_ws(text: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.regexp_replace(F.regexp_replace(text, SPACE + "+", " "), "^ | $", "")
@@ -110,8 +116,9 @@ def shingle_tokens(text: Column) -> Column:
 
 def shingles(text: Column, size: int = 5) -> Column:
     """Distinct windows of ``size`` letter words, joined by spaces; empty for shorter texts."""
-    t = shingle_tokens(text)
-    return F.when(F.size(t) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " ")))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    every = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - (size - 1)), lambda i: F.array_join(F.slice(t, i, F.lit(size)), " "))
+    return bind(shingle_tokens(text), lambda t: F.when(F.size(t) >= size, F.array_distinct(every(t))).otherwise(none))
 
 
 def _fold_table() -> tuple[str, str]:
@@ -134,8 +141,10 @@ def fold(text: Column) -> Column:
 
 
 def index_tokens(text: Column) -> Column:
-    """Tokens of the lexical index: runs of letters and digits, folded."""
-    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Tokens of the lexical index: runs of letters and digits, folded. Plain tokens are left as they are."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}\p{Mn}]+"), F.lit(0))
+    folded = F.transform(tokens, lambda t: F.when(t.rlike("[^a-z0-9]"), fold(t)).otherwise(t))
+    return F.filter(folded, lambda t: t != "")
 
 
 def norm_match(text: Column) -> Column:
@@ -164,9 +173,9 @@ def passage_locator(first: Column, last: Column, chapter_idx: Column, chapter_ti
 def highlight(text: Column, query: Column) -> Column:
     """Escaped text with every whole word that is in the query inside <mark>."""
     pieces = F.regexp_extract_all(text, F.lit(rf"{WORD}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
-    asked = query_tokens(query)
     escape = lambda p: F.replace(F.replace(F.replace(F.replace(F.replace(p, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&#34;")), F.lit("'"), F.lit("&#39;"))
-    return F.array_join(F.transform(pieces, lambda p: F.when(F.array_contains(asked, F.lower(p)), F.concat(F.lit("<mark>"), escape(p), F.lit("</mark>"))).otherwise(escape(p))), "")
+    marked = lambda asked: F.transform(pieces, lambda p: F.when(F.array_contains(asked, F.lower(p)), F.concat(F.lit("<mark>"), escape(p), F.lit("</mark>"))).otherwise(escape(p)))
+    return F.array_join(bind(F.coalesce(query_tokens(query), F.array().cast("array<string>")), marked), "")
 
 
 def ocr_normalize(text: Column) -> Column:

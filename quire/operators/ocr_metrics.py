@@ -12,11 +12,12 @@ _LETTERS = "".join(map(chr, range(0x100, 0xD800)))
 
 def word_errors(read: Column, truth: Column) -> Column:
     """Word edits over the words of the true text: every distinct word becomes one character, then characters are compared."""
-    a, b = T.words(F.coalesce(read, F.lit(""))), T.words(F.coalesce(truth, F.lit("")))
-    known = F.array_distinct(F.concat(a, b))
     # 55,040 characters below the surrogates: more distinct words than a page has
-    spell = lambda ws: F.array_join(F.transform(ws, lambda w: F.substr(F.lit(_LETTERS), F.array_position(known, w).cast("int"), F.lit(1))), "")
-    return F.levenshtein(spell(a), spell(b)) / F.greatest(F.size(b), F.lit(1))
+    letter = lambda known, w: F.substr(F.lit(_LETTERS), F.array_position(known, w).cast("int"), F.lit(1))
+    spell = lambda known, ws: F.array_join(F.transform(ws, lambda w: letter(known, w)), "")
+    both = F.struct(T.words(F.coalesce(read, F.lit(""))).alias("a"), T.words(F.coalesce(truth, F.lit(""))).alias("b"))
+    edits = lambda x: T.bind(F.array_distinct(F.concat(x["a"], x["b"])), lambda known: F.levenshtein(spell(known, x["a"]), spell(known, x["b"])) / F.greatest(F.size(x["b"]), F.lit(1)))
+    return T.bind(both, edits)
 
 
 def score_pages(pages: DataFrame, truth: DataFrame, words: DataFrame) -> DataFrame:

@@ -23,10 +23,12 @@ def fix_up(text: Column) -> Column:
     return F.translate(t, "‘’\"", "")
 
 
-def reason(sentence: Column) -> Column:
-    ws = T.words(sentence)
+def reason(sentence: Column, ws: Column | None = None, bare: Column | None = None) -> Column:
+    """The first rule a sentence fails, or valid. ``ws`` and ``bare`` are its words and its fixed-up text if they are
+    at hand as columns, so that they are worked out once."""
+    ws = T.words(sentence) if ws is None else ws
+    bare = fix_up(sentence) if bare is None else bare
     n = F.size(ws)
-    bare = fix_up(sentence)
     short = F.size(F.filter(ws, lambda w: F.length(w) < 2))
     numbers = F.size(F.filter(ws, lambda w: w.rlike(r"^[(\[]?[0-9][0-9.,]*[)\].,;:!?]*$")))
     first = F.substring(bare, 1, 1)
@@ -48,7 +50,9 @@ def reason(sentence: Column) -> Column:
 
 def judged(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``key, pos, sentence, reason`` of every sentence; null and empty texts have none."""
-    return texts.select(key, F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence")).withColumn("reason", reason(F.col("sentence")))
+    each = texts.select(key, F.posexplode(T.sentences(F.col(text))).alias("pos", "sentence"))
+    parts = each.select("*", T.words(F.col("sentence")).alias("_ws"), fix_up(F.col("sentence")).alias("_bare"))
+    return parts.select(key, "pos", "sentence", reason(F.col("sentence"), F.col("_ws"), F.col("_bare")).alias("reason"))
 
 
 def histogram(texts: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -464,7 +464,8 @@ def _first_ranks(spark, root):
 
 @query
 def eval_first_ranks(spark, root):
-    return _first_ranks(spark, root).select("case_id", F.col("rank").cast("long").alias("rank"))
+    """The rank of each case's document, 0 where it wasn't found."""
+    return _first_ranks(spark, root).select("case_id", F.coalesce("rank", F.lit(0)).cast("long").alias("rank"))
 
 
 @query
@@ -511,14 +512,19 @@ def components(spark, root):
     return connected_components(edges)
 
 
+def _block_texts(spark: SparkSession, root: str) -> DataFrame:
+    """Distinct blocks under one number."""
+    return _blocks(spark, root).select((F.col("book_id") * 1_000_000 + F.col("seq")).alias("block_id"), "text")
+
+
 @query
 def shingle_jaccard_pairs(spark, root):
-    return dedup.jaccard_pairs(_documents(spark, root), "doc_id")[1].select("a", "b", F.col("common").cast("long").alias("common"), "jaccard")
+    return dedup.jaccard_pairs(_block_texts(spark, root), "block_id")[1].select("a", "b", F.col("common").cast("long").alias("common"), "jaccard")
 
 
 @query
 def shingle_classes(spark, root):
-    return dedup.jaccard_pairs(_documents(spark, root), "doc_id")[0]
+    return dedup.jaccard_pairs(_block_texts(spark, root), "block_id")[0]
 
 
 @query

@@ -111,9 +111,9 @@ _JUDGED = f"""st AS (SELECT doc_id, unnest({_SENT.format('text')}) AS sentence F
       WHEN NOT regexp_matches(bare[1], '\\p{{Lu}}') THEN 'first_not_upper' WHEN NOT list_contains(['.', '?', '!'], sentence[-1]) THEN 'last_not_dot' WHEN {_CNT.format('\\.')} > 3 THEN 'too_many_dots' ELSE 'valid' END AS reason FROM s2)"""
 _REASONS = ("too_few_words", "too_many_short_words", "first_word_is_number", "brackets", "too_many_numbers", "too_many_commas", "begins_with_punctuation", "weird_chars", "first_not_upper", "last_not_dot", "too_many_dots", "valid")
 
-_SH = r"""dd AS (SELECT doc_id, regexp_extract_all(lower(text), '\pL+') AS w FROM documents),
-    gg AS (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM dd WHERE len(w) >= 5)),
-    kk AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS k FROM gg GROUP BY 1), cl AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY k) AS rep FROM kk)"""
+_SH = r"""dd AS (SELECT DISTINCT book_id * 1000000 + seq AS block_id, regexp_extract_all(lower(text), '\pL+') AS w FROM blocks),
+    gg AS (SELECT DISTINCT block_id, hash(list_slice(w, i, i + 4)) AS g FROM (SELECT block_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM dd WHERE len(w) >= 5)),
+    kk AS (SELECT block_id, count(*) AS n, list_sort(list(g)) AS k FROM gg GROUP BY 1), cl AS (SELECT block_id, n, min(block_id) OVER (PARTITION BY k) AS rep FROM kk)"""
 
 SQL: dict[str, str] = {
     "survey_latest": f"WITH {_M} SELECT path, size, status, sha256, epoch_us(surveyed_at) AS surveyed_us FROM m",
@@ -182,15 +182,15 @@ SQL: dict[str, str] = {
     "hybrid_search": f"WITH {_bm25(_DOCQ, CANDIDATES)}, {_DENSE} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM fu QUALIFY rank <= {TOP}",
     "substring_find": f"WITH {_M} SELECT path FROM m WHERE lower({_BASE}) LIKE '%history%'",
     "reachable": f"WITH {_B}, g AS (SELECT * FROM (VALUES (1, 2, NULL, NULL), (2, NULL, 'history', 'harbour'), (3, NULL, 'rydanez', NULL), (4, NULL, 'no such title', NULL), (5, 3, NULL, 'no such phrase'), (6, NULL, 'l_ ', NULL)) v(case_id, book_id, book_match, must_contain)), f AS (SELECT DISTINCT case_id FROM g JOIN books ON CASE WHEN g.book_id IS NOT NULL THEN books.id = g.book_id ELSE lower(title) LIKE lower('%' || book_match || '%') OR lower(author) LIKE lower('%' || book_match || '%') END JOIN b ON b.book_id = books.id WHERE must_contain IS NULL OR contains(lower({_NORM.format("b.text")}), lower(must_contain))) SELECT case_id, case_id IN (SELECT case_id FROM f) AS reachable FROM g",
-    "eval_first_ranks": f"WITH {_bm25(_DOCQ, TOP)} SELECT q.query_id::INT AS case_id, min(CASE WHEN id = q.query_id THEN rank END) AS rank FROM q LEFT JOIN ranked ON ranked.query_id = q.query_id GROUP BY 1",
+    "eval_first_ranks": f"WITH {_bm25(_DOCQ, TOP)} SELECT q.query_id::INT AS case_id, coalesce(min(CASE WHEN id = q.query_id THEN rank END), 0) AS rank FROM q LEFT JOIN ranked ON ranked.query_id = q.query_id GROUP BY 1",
     "eval_hit_mrr": f"WITH {_bm25(_DOCQ, TOP)}, r AS (SELECT q.query_id, min(CASE WHEN id = q.query_id THEN rank END) AS rank FROM q LEFT JOIN ranked ON ranked.query_id = q.query_id GROUP BY 1) SELECT count(*) AS cases, count(rank) AS hits, coalesce(round(count(rank) / nullif(count(*), 0)::DOUBLE, 6), 0) AS hit_rate, coalesce(round(avg(coalesce(1 / rank::DOUBLE, 0)), 6), 0) AS mrr FROM r",
     "merge_pairs": f"WITH {_PAIRS} SELECT a, b, equal FROM ok",
     "merge_pairs_new": f"WITH {_PAIRS} SELECT a, b, equal FROM ok WHERE ca >= TIMESTAMPTZ '2024-01-01 00:00:00+00' OR cb >= TIMESTAMPTZ '2024-01-01 00:00:00+00'",
     "merge_plan": f"{_PLAN} SELECT canonical, alternate FROM plan",
     "merged_files": f"{_PLAN} SELECT DISTINCT sha256, coalesce(canonical, book_id) AS book_id, CASE WHEN canonical IS NOT NULL AND role IS DISTINCT FROM 'duplicate' THEN 'alternate_format' ELSE role END AS role FROM book_files LEFT JOIN plan ON alternate = book_id",
     "components": "WITH d AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY text) AS component, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text <> '') SELECT id, component FROM d WHERE n > 1",
-    "shingle_jaccard_pairs": f"WITH {_SH}, rp AS (SELECT gg.doc_id, g, n FROM gg JOIN cl ON cl.doc_id = gg.doc_id WHERE rep = cl.doc_id), cm AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common, x.n + y.n - count(*) AS al FROM rp x JOIN rp y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n) SELECT a, b, common, round(common / al::DOUBLE, 6) AS jaccard FROM cm WHERE common * 1000 >= 800 * al",
-    "shingle_classes": f"WITH {_SH} SELECT doc_id, rep FROM cl",
+    "shingle_jaccard_pairs": f"WITH {_SH}, rp AS (SELECT gg.block_id, g, n FROM gg JOIN cl ON cl.block_id = gg.block_id WHERE rep = cl.block_id), cm AS (SELECT x.block_id AS a, y.block_id AS b, count(*) AS common, x.n + y.n - count(*) AS al FROM rp x JOIN rp y ON x.g = y.g AND x.block_id < y.block_id GROUP BY x.block_id, y.block_id, x.n, y.n) SELECT a, b, common, round(common / al::DOUBLE, 6) AS jaccard FROM cm WHERE common * 1000 >= 800 * al",
+    "shingle_classes": f"WITH {_SH} SELECT block_id, rep FROM cl",
     "page_scores": f"WITH {_SCORES} SELECT engine, slug, page, chars, cer, dict_ratio, garbage_ratio FROM sc",
     "engine_means": f"WITH {_SCORES} SELECT engine, slug, round(avg(cer) + 1e-10, 6) AS cer, round(avg(dict_ratio) + 1e-10, 6) AS dict_ratio, round(avg(garbage_ratio) + 1e-10, 6) AS garbage_ratio, count(*) AS pages FROM sc GROUP BY GROUPING SETS ((engine, slug), (engine))",
     "cer_pairs": f"WITH {_ENG} SELECT 'plain' AS first, 'worse' AS second, count(*) AS pages, round(avg(levenshtein(a.text, b.text)::DOUBLE / greatest(length(b.text), 1)), 6) AS cer FROM nm a JOIN nm b ON a.slug = b.slug AND a.page = b.page WHERE a.engine = 'plain' AND b.engine = 'worse'",
