@@ -28,7 +28,7 @@ JOIN, LINK, RARE, SLOTS = 0.33, 0.25, 8, 1 << 20
 
 #: Strings that name nobody, and words that are no part of a name.
 FILLERS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "author unknown", "author", "anonymous", "anon", "anon.", "various", "various authors", "various artists", "admin", "administrator", "user", "owner", "root", "default", "test", "unbekannt", "anonyme", "anonimo", "anónimo", "untitled", "n.n.", "nn", "s.n.", "sn")
-HONORIFICS = ("dr", "prof", "rev", "mr", "mrs", "ms", "sir", "st", "fr", "by", "the", "author", "von", "hon")
+HONORIFICS = ("dr", "prof", "rev", "mr", "mrs", "ms", "sir", "st", "fr", "by", "the", "von", "hon")
 LINKING = ("of", "at", "for", "de", "del", "der", "die", "das", "du", "des", "la", "le", "fur", "f", "and", "und", "et", "y", "e", "di", "da", "do")
 #: Short forms of given names, folded to plain letters.
 SHORT = {
