@@ -256,7 +256,8 @@ def entities(*columns: DataFrame) -> DataFrame:
     spark = names.sparkSession
     read = materialize(read_words(names, word_hubs(names)))
     # spellings with the same words, and readings with the same words, are treated once
-    spelt = materialize(read.groupBy("words").agg(F.min("read").alias("read"), F.min("surname").alias("surname")).withColumn("id", F.xxhash64("words")))
+    # (few bytes but much work a row: spread over all cores rather than packed into few partitions)
+    spelt = materialize(read.groupBy("words").agg(F.min("read").alias("read"), F.min("surname").alias("surname")).withColumn("id", F.xxhash64("words")).repartition(2 * spark.sparkContext.defaultParallelism, "id"))
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
