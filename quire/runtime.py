@@ -30,7 +30,21 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/quire/{uuid.uuid4().hex}"
     out = df if partitions is None else df.coalesce(partitions)
     out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # the shuffle files behind the table go once the driver's collector finds them unused; left to itself it may
+    # not look for a long time, and the disks hold every step's files
+    spark.sparkContext._jvm.System.gc()
+    made = spark.read.schema(df.schema).parquet(path)
+    made._quire_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more: all that was made of them has been written itself."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_quire_path", None)
+        if path:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
