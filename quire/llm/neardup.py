@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.hashing import mix, slices, windows, word_hashes
-from quire.runtime import materialize
+from quire.runtime import discard, materialize
 
 HASHES = 96
 #: Least depth, trees and full depth; one tree's first levels share no hash function with another tree's.
@@ -189,20 +189,22 @@ def _book_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
-    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees. ``keys``: id, near, deep.
+    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees, as a stored table. ``keys``: id,
+    near, deep.
 
     A region of more than DENSE ids is refined by the next level, four times at most; ids that still share a
     dense region then agree in all of the tree's hash functions and are compared as they are: no region is
     dropped and no partner left out. Only the ids of dense regions carry their deeper levels along.
     """
     keys = keys.where("near IS NOT NULL")
-    found = None
+    found, steps = None, []
     by = W.partitionBy("key")
     # most keys stand alone and go before copies of an id are looked for
     rows = keys.select(F.explode("near").alias("key"), "id")
     rows = rows.select("*", F.count("*").over(by).alias("n")).where("n > 1").dropDuplicates(["key", "id"]).drop("n")
     for level in range(LEVELS + 1):
         counted = materialize(rows.select("*", F.count("*").over(by).alias("n")).where("n > 1"))
+        steps.append(counted)
         last = level == LEVELS
         near = (counted if last else counted.where(F.col("n") <= DENSE)).select("key", "id")
         pairs = near.alias("a").join(near.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
@@ -215,9 +217,10 @@ def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
             rest = rest.join(deeper.select("id", F.col("x.near").alias("key"), F.col("x.deep").alias("deep")), ["key", "id"])
         bits = F.shiftrightunsigned("deep", 8 * level).bitwiseAND(F.lit(255))
         rows = rest.select(F.xxhash64("key", bits).alias("key"), "deep", "id")
-    if agreeing == 1:
-        return found.distinct()
-    return found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
+    pairs = found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
+    pairs = materialize(pairs)
+    discard(*steps)
+    return pairs
 
 
 #: Keys that may be broadcast; beyond, a fixed bitmap decides which rows go on to an ordinary join.
@@ -264,7 +267,7 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
     reps = books.groupBy("cls").agg(F.min(F.struct("book_id", "sig")).alias("x")).select("cls", F.col("x.book_id").alias("id"), "x.sig")
     reps = materialize(reps)
     classes = materialize(books.select("book_id", "cls").join(reps.select("cls", F.col("id").alias("rep")), "cls").select("book_id", "rep"))
-    pairs = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>, deep array<int>"))
+    pairs_of = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>, deep array<int>"))
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -272,7 +275,7 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
                 same = (_unpacked(pdf["sa"]) == _unpacked(pdf["sb"])).mean(axis=1)
                 yield pdf.loc[same >= threshold - SLACK, ["a", "b"]]
 
-    pairs = pairs.join(reps.selectExpr("id AS a", "sig AS sa"), "a").join(reps.selectExpr("id AS b", "sig AS sb"), "b")
+    pairs = pairs_of.join(reps.selectExpr("id AS a", "sig AS sa"), "a").join(reps.selectExpr("id AS b", "sig AS sb"), "b")
     pairs = materialize(pairs.mapInPandas(alike, "a long, b long"))
     asked = pairs.selectExpr("explode(array(a, b)) AS book_id").distinct()
     texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", "text").unionByName(edge)
@@ -289,7 +292,9 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
     common = sized.join(have.selectExpr("id AS a", "w"), "a").join(have.selectExpr("id AS b", "w"), ["b", "w"]).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # compared in whole numbers: c / (na + nb - c) >= threshold
     links = common.where(F.col("c") * 1000 >= F.lit(round(threshold * 1000)) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
-    return classes, materialize(links)
+    links = materialize(links)
+    discard(edge, books, reps, pairs_of, pairs, have)
+    return classes, links
 
 
 def _expand(links: DataFrame, members: DataFrame) -> DataFrame:
@@ -309,7 +314,7 @@ def book_pairs(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 def block_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of blocks of at least MIN_WORDS words ``(cls, book_id, seq)`` and links ``(a, b)`` between classes."""
     members = scan.where("cls IS NOT NULL").select("cls", "book_id", "seq").distinct()
-    pairs = materialize(candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near", "deep"), AGREEING))
+    pairs = candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near", "deep"), AGREEING)
     asked = pairs.selectExpr("explode(array(a, b)) AS cls").distinct()
     spots = materialize(members.groupBy("cls").agg(F.min(F.struct("book_id", "seq")).alias("x")).join(asked, "cls", "left_semi").select("cls", "x.book_id", "x.seq"))
 
@@ -324,7 +329,9 @@ def block_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD
     both = pairs.join(have.selectExpr("cls AS a", "w AS wa"), "a").join(have.selectExpr("cls AS b", "w AS wb"), "b")
     c, na, nb = F.size(F.array_intersect("wa", "wb")), F.size("wa"), F.size("wb")
     links = both.select("a", "b", c.alias("c"), na.alias("na"), nb.alias("nb")).where(F.col("c") * 1000 >= F.lit(round(threshold * 1000)) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
-    return members, materialize(links)
+    links = materialize(links)
+    discard(pairs, spots, have)
+    return members, links
 
 
 def found_pairs(blocks: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
