@@ -1,9 +1,9 @@
 """Near-duplicate texts by an LSH forest over MinHash signatures of five-word windows.
 
 Every text gets minima of ``HASHES`` hash functions over its distinct windows. A tree of the forest orders
-texts by a sequence of these minima; texts that share a prefix of at least the tree's least depth are
-candidates, and in dense regions the prefix is lengthened until a region is small or the sequence ends.
-Candidates are then compared exactly, on the windows themselves, so the forest decides only what is compared.
+texts by a sequence of these minima; texts that share a prefix of the tree's depth are candidates, in dense
+regions as elsewhere. Candidates are then compared exactly, on the windows themselves, so the forest decides
+only what is compared.
 
 Texts with the same words in the same order form a class and are treated once (``cls`` is a 64-bit hash of the
 words); books with the same full signature likewise. Copies are expanded only where a query asks for pairs.
@@ -21,9 +21,10 @@ from quire.llm.hashing import mix, slices, windows, word_hashes
 from quire.runtime import discard, materialize
 
 HASHES = 96
-#: Least depth, trees and full depth; one tree's first levels share no hash function with another tree's.
+#: Trees and their depth; no two trees share a hash function.
 #: A pair of similarity s shares a region with probability 1 - (1 - s**least) ** trees: at 0.6, 0.9999 and 0.9996.
-BLOCK_TREES, BLOCK_LEAST, BOOK_TREES, BOOK_LEAST, LEVELS = 20, 2, 32, 3, 4
+BLOCK_TREES, BLOCK_LEAST, BOOK_TREES, BOOK_LEAST = 20, 2, 32, 3
+#: Ids of a region that are joined at a time.
 DENSE = 64
 #: Blocks must agree in two trees (at a similarity of 0.6 missed with 0.0016); of books the share of equal minima
 #: may fall short of the threshold by SLACK, 3.6 standard deviations at 0.6 (missed with 0.0002).
@@ -46,20 +47,16 @@ def signatures(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_keys(sig: np.ndarray, trees: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per text and tree the 64-bit key of the least prefix, and 8 bits for each of four deeper levels."""
+def tree_keys(sig: np.ndarray, trees: int, least: int) -> np.ndarray:
+    """Per text and tree the 64-bit key of the prefix."""
     wide = sig.astype(np.uint64)
     near = np.empty((len(sig), trees), np.uint64)
-    deep = np.zeros((len(sig), trees), np.uint32)
     for t in range(trees):
         key = np.full(len(sig), t + 1, np.uint64)
         for level in range(least):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + wide[:, t * least + level])
         near[:, t] = key
-        for level in range(LEVELS):
-            col = mix(wide[:, (t * least + least + level * 7) % HASHES])
-            deep[:, t] |= (col & np.uint64(255)).astype(np.uint32) << np.uint32(8 * level)
-    return near, deep
+    return near
 
 
 def _split(texts: list[str | None]):
@@ -68,7 +65,7 @@ def _split(texts: list[str | None]):
     return words, first, grams, at
 
 
-_SCAN = "book_id long, seq int, n_words int, cls long, near array<long>, deep array<int>, head string, tail string, sig binary"
+_SCAN = "book_id long, seq int, n_words int, cls long, near array<long>, head string, tail string, sig binary"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,17 +89,17 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         new = np.zeros(len(pdf), bool)
         at_long = np.flatnonzero(long)
         new[at_long[np.unique(cls[at_long], return_index=True)[1]]] = True
-        near, deep = tree_keys(sig[place[new]], BLOCK_TREES, BLOCK_LEAST)
-        keys, deeps = np.full(len(pdf), None, object), np.full(len(pdf), None, object)
+        near = tree_keys(sig[place[new]], BLOCK_TREES, BLOCK_LEAST)
+        keys = np.full(len(pdf), None, object)
         for k, i in enumerate(np.flatnonzero(new)):
-            keys[i], deeps[i] = near[k].view(np.int64), deep[k].view(np.int32)
+            keys[i] = near[k].view(np.int64)
         joined = "\n".join(t.lower() for t in texts)
         heads, tails = [], []
         for i in range(len(texts)):
             a, b = first[i], first[i + 1]
             heads.append(" ".join(joined[start[k] : end[k]] for k in range(a, min(a + SIZE - 1, b))))
             tails.append(" ".join(joined[start[k] : end[k]] for k in range(max(b - SIZE + 1, a), b)))
-        yield pd.DataFrame({"book_id": pdf["book_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "n_words": n.astype(np.int32), "cls": pd.arrays.IntegerArray(cls, ~long), "near": keys, "deep": deeps, "head": heads, "tail": tails, "sig": None})
+        yield pd.DataFrame({"book_id": pdf["book_id"].to_numpy(), "seq": pdf["seq"].to_numpy(), "n_words": n.astype(np.int32), "cls": pd.arrays.IntegerArray(cls, ~long), "near": keys, "head": heads, "tail": tails, "sig": None})
         if has.any():
             owner = pdf["book_id"].to_numpy()[has]
             cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
@@ -111,7 +108,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _book_rows(books: np.ndarray, sig: np.ndarray) -> pd.DataFrame:
     none = pd.Series([None] * len(books), dtype=object)
-    return pd.DataFrame({"book_id": books, "seq": pd.arrays.IntegerArray(np.zeros(len(books), np.int32), np.ones(len(books), bool)), "n_words": np.zeros(len(books), np.int32), "cls": pd.arrays.IntegerArray(np.zeros(len(books), np.int64), np.ones(len(books), bool)), "near": none, "deep": none, "head": none, "tail": none, "sig": _packed(sig)})
+    return pd.DataFrame({"book_id": books, "seq": pd.arrays.IntegerArray(np.zeros(len(books), np.int32), np.ones(len(books), bool)), "n_words": np.zeros(len(books), np.int32), "cls": pd.arrays.IntegerArray(np.zeros(len(books), np.int64), np.ones(len(books), bool)), "near": none, "head": none, "tail": none, "sig": _packed(sig)})
 
 
 def scan_blocks(blocks: DataFrame) -> DataFrame:
@@ -184,42 +181,32 @@ def _seam_sigs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _book_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
-            near, deep = tree_keys(_unpacked(pdf["sig"]), BOOK_TREES, BOOK_LEAST)
-            yield pd.DataFrame({"id": pdf["id"], "near": list(near.view(np.int64)), "deep": list(deep.view(np.int32))})
+            near = tree_keys(_unpacked(pdf["sig"]), BOOK_TREES, BOOK_LEAST)
+            yield pd.DataFrame({"id": pdf["id"], "near": list(near.view(np.int64))})
 
 
 def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
-    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees, as a stored table. ``keys``: id,
-    near, deep.
+    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees, as a stored table. ``keys``: id, near.
 
-    A region of more than DENSE ids is refined by the next level, four times at most; ids that still share a
-    dense region then agree in all of the tree's hash functions and are compared as they are: no region is
-    dropped and no partner left out. Only the ids of dense regions carry their deeper levels along.
+    Every pair of a region is a candidate, however many ids the region has. The ids of a region are dealt into parts
+    of about DENSE by hash and parts are joined with parts, so that no task holds a large region.
     """
-    keys = keys.where("near IS NOT NULL")
-    found, steps = None, []
     by = W.partitionBy("key")
     # most keys stand alone and go before copies of an id are looked for
-    rows = keys.select(F.explode("near").alias("key"), "id")
+    rows = keys.where("near IS NOT NULL").select(F.explode("near").alias("key"), "id")
     rows = rows.select("*", F.count("*").over(by).alias("n")).where("n > 1").dropDuplicates(["key", "id"]).drop("n")
-    for level in range(LEVELS + 1):
-        counted = materialize(rows.select("*", F.count("*").over(by).alias("n")).where("n > 1"))
-        steps.append(counted)
-        last = level == LEVELS
-        near = (counted if last else counted.where(F.col("n") <= DENSE)).select("key", "id")
-        pairs = near.alias("a").join(near.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        found = pairs if found is None else found.union(pairs)
-        rest = counted.where(F.col("n") > DENSE)
-        if last or rest.isEmpty():
-            break
-        if level == 0:
-            deeper = keys.join(rest.select("id").distinct(), "id", "left_semi").select("id", F.explode(F.arrays_zip("near", "deep")).alias("x"))
-            rest = rest.join(deeper.select("id", F.col("x.near").alias("key"), F.col("x.deep").alias("deep")), ["key", "id"])
-        bits = F.shiftrightunsigned("deep", 8 * level).bitwiseAND(F.lit(255))
-        rows = rest.select(F.xxhash64("key", bits).alias("key"), "deep", "id")
-    pairs = found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
-    pairs = materialize(pairs)
-    discard(*steps)
+    parts = F.ceil(F.count("*").over(by) / F.lit(DENSE)).cast("int")
+    rows = rows.select("*", F.count("*").over(by).alias("n"), parts.alias("parts")).where("n > 1")
+    rows = materialize(rows.select("key", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("own"), F.sequence(F.lit(0), F.col("parts") - 1).alias("other")))
+    left = rows.select("key", F.col("id").alias("a"), F.col("own").alias("pa"), F.explode("other").alias("pb"))
+    right = rows.select("key", F.col("id").alias("b"), F.explode("other").alias("pa"), F.col("own").alias("pb"))
+    found = left.join(right, ["key", "pa", "pb"]).where("a < b").select("a", "b")
+    if agreeing > 1:
+        found = found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
+    else:
+        found = found.distinct()
+    pairs = materialize(found)
+    discard(rows)
     return pairs
 
 
@@ -267,7 +254,7 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
     reps = books.groupBy("cls").agg(F.min(F.struct("book_id", "sig")).alias("x")).select("cls", F.col("x.book_id").alias("id"), "x.sig")
     reps = materialize(reps)
     classes = materialize(books.select("book_id", "cls").join(reps.select("cls", F.col("id").alias("rep")), "cls").select("book_id", "rep"))
-    pairs_of = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>, deep array<int>"))
+    pairs_of = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>"))
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -314,7 +301,7 @@ def book_pairs(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 def block_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of blocks of at least MIN_WORDS words ``(cls, book_id, seq)`` and links ``(a, b)`` between classes."""
     members = scan.where("cls IS NOT NULL").select("cls", "book_id", "seq").distinct()
-    pairs = candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near", "deep"), AGREEING)
+    pairs = candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near"), AGREEING)
     asked = pairs.selectExpr("explode(array(a, b)) AS cls").distinct()
     spots = materialize(members.groupBy("cls").agg(F.min(F.struct("book_id", "seq")).alias("x")).join(asked, "cls", "left_semi").select("cls", "x.book_id", "x.seq"))
 
