@@ -148,31 +148,44 @@ def _utf8_sets(name: str) -> tuple[frozenset, frozenset]:
     return frozenset(c for c, b in table.items() if "\xc2" <= b <= "\xf4"), frozenset(c for c, b in table.items() if b < "\xc0")
 
 
-PROBE, TRIED = 64, 4
+_JOINS = "’–—…"
 _SIGNS = np.zeros(0x110000, bool)
 _SIGNS[[ord(c) for c in "«»“”„‘’‚–—…"]] = True
 
 
 def _likely_swaps(run: str, model: PairModel) -> list[tuple[str, str]]:
-    """The swaps that raise the likelihood of the first PROBE characters from the first one beyond ASCII on."""
-    first = next(k for k, c in enumerate(run) if c > "\x7f")
-    codes = np.frombuffer((" " + run + " ")[first : first + PROBE].encode("utf-32-le", "surrogatepass"), "<u4")
-    if codes.max() > 0xFFFF:
+    """The swaps that raise the likelihood of the run by GAIN, the likeliest first; of those with one result the first."""
+    codes = np.frombuffer((" " + run + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    wide = codes > 127
+    wide[[m.start() + 1 for m in _BREAK.finditer(run)]] = False
+    at = np.flatnonzero(wide)
+    if not len(at):
         return []
+    chars, kind = np.unique(codes[at], return_inverse=True)
     pairs, maps = _swaps()
-    ids = _slot_table()[maps[:, codes]]
-    base = _slot_table()[codes]
-    gain = model.follow[ids[:, :-1] * SLOTS + ids[:, 1:]].sum(1) - model.follow[base[:-1] * SLOTS + base[1:]].sum()
-    order = np.argsort(-gain, kind="stable")
-    out, seen = [], set()
-    for k in order[: 8 * TRIED]:
-        if gain[k] < GAIN / 2 or len(out) == TRIED:
-            break
-        made = ids[k].tobytes()
-        if made not in seen:
-            seen.add(made)
-            out.append(pairs[k])
-    return out
+    made = np.tile(chars, (len(pairs), 1))
+    basic = chars < 1 << 16
+    made[:, basic] = maps[:, chars[basic]]
+    made, first = np.unique(made, axis=0, return_index=True)
+    order = np.argsort(first)
+    made, first = _slot_table()[made[order]].astype(np.int64), first[order]
+    # columns of made for the changed characters, of the unchanged ones behind them
+    base = _slot_table()[codes].astype(np.int64)
+    column = np.arange(len(codes)) + len(chars)
+    column[at] = kind
+    left = np.unique(np.concatenate([at - 1, at]))
+    gain = np.empty(len(made))
+    before = model.follow[base[left] * SLOTS + base[left + 1]].sum(dtype=float)
+    step = max(1, (1 << 20) // len(codes))
+    for i in range(0, len(made), step):
+        part = np.hstack([made[i : i + step], np.tile(base, (len(made[i : i + step]), 1))])
+        gain[i : i + step] = model.follow[part[:, column[left]] * SLOTS + part[:, column[left + 1]]].sum(1, dtype=float) - before
+    return [pairs[first[k]] for k in np.argsort(-gain, kind="stable") if gain[k] > GAIN - 0.01]
+
+
+def _inside(run: str, k: int) -> bool:
+    """Whether a character stands between two letters."""
+    return 0 < k < len(run) - 1 and run[k - 1].isalpha() and run[k + 1].isalpha()
 
 
 def restore(run: str, model: PairModel) -> tuple[str, str | None]:
@@ -202,12 +215,15 @@ def restore(run: str, model: PairModel) -> tuple[str, str | None]:
                 seen.add(made)
                 pairs = [(x, y) for x, y in zip(best, made) if x != y]
                 changed = len(pairs)
-                # a printed sign or a capital is no damage
-                if all(_SIGNS[ord(x)] or x.lower() == y.lower() for x, y in pairs) or any("\x80" <= c < "\xa0" for c in made) or _mixed(best, made):
+                # a printed sign or a capital is no damage, but a sign between two letters may be
+                inner = {k for k, (x, y) in enumerate(zip(best, made)) if x != y and _SIGNS[ord(x)] and y.isalpha() and _inside(best, k)}
+                if not inner and all(_SIGNS[ord(x)] or x.lower() == y.lower() for x, y in pairs) or any("\x80" <= c < "\xa0" for c in made) or _mixed(best, made):
                     continue
                 # one Latin letter for another, as at the end of a cut line, takes more to believe
-                single = changed == 1 and all(c.isalpha() and c < "\u0250" for c in pairs[0])
-                if (s := model.likelihood(made)) > max(score, score - GAIN + max(min(PER_CHAR * changed, SURE), 2 * PER_CHAR * single)):
+                single = changed == 1 and (bool(inner) or all(c.isalpha() and c < "\u0250" for c in pairs[0]))
+                # signs that are printed between letters take most
+                joins = all(x in _JOINS for x, _ in pairs)
+                if (s := model.likelihood(made)) > max(score, score - GAIN + max(min(PER_CHAR * changed, SURE), 2 * PER_CHAR * single, SURE * joins)):
                     score, step, kept = s, f"{other} as {name}", made
         if step is None:
             break
@@ -241,9 +257,12 @@ _HYPHENS[[0xAC, 0xAD, 0x2010]] = True
 
 
 def _usual(codes: np.ndarray) -> np.ndarray:
-    """Pairs that are rare but never damage: printed signs beside ASCII or a letter, hyphens at the end of a line."""
-    plain = (codes < 128) | letter_table()[codes]
+    """Pairs that are rare but never damage: printed signs beside ASCII or a letter, unless they stand between two
+    letters, and hyphens at the end of a line."""
+    letter = letter_table()[codes]
+    plain = (codes < 128) | letter
     sign, hyphen, feed = _SIGNS[codes], _HYPHENS[codes], (codes == 10) | (codes == 32)
+    sign[1:-1] &= ~(letter[:-2] & letter[2:])
     end = np.append(hyphen[:-1] & feed[1:], False)
     return np.append((sign[:-1] & plain[1:]) | (plain[:-1] & sign[1:]) | end[:-1] | end[1:], False)
 
@@ -271,6 +290,14 @@ class Finder:
         low, lost = low & ~between, lost & ~between
         at, gain = at[low | lost], np.minimum(THETA - score[low | lost], 4.0)
         gain[lost[low | lost]] = 4.0
+        # a text's first character, against a line feed or a space before it
+        head = begins[:-1][np.diff(begins) > 1]
+        head = head[wide[head] & ~_SIGNS[codes[head]]]
+        score = np.maximum(self.model.mutual[10 * SLOTS + ids[head]], self.model.mutual[32 * SLOTS + ids[head]])
+        head, score = head[score < THETA], score[score < THETA]
+        at, gain = np.concatenate([head, at]), np.concatenate([np.minimum(THETA - score, 4.0), gain])
+        order = np.argsort(at, kind="stable")
+        at, gain = at[order], gain[order]
         cut = np.searchsorted(at, begins)
         for k in np.flatnonzero(np.diff(cut) > 0):
             places, text = at[cut[k] : cut[k + 1]] - begins[k], texts[k]

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,35 @@ def test_wrong_decodings_are_found_and_undone(spark):
     assert mojibake.damaged_records(empty, bk.where("false")).count() == 0
 
 
+def pair_model(texts):
+    made = next(mojibake._count(iter([pd.DataFrame({"text": texts})])))
+    return mojibake.PairModel(made["pair"].to_numpy(), made["n"].to_numpy())
+
+
+def test_swaps_are_tried_on_the_whole_run():
+    # up to its last words the run reads alike in cp437 and cp850
+    late = "é" * 3 + "dérédéré" * 9 + " São João não põe ÃÕ"
+    model = pair_model([*CLEAN * 20, *[late] * 20, "João não põe a São, e as irmãs estão nas estações; ÃÕ" ] * 4)
+    read = late.encode("cp850").decode("latin-1")
+    assert mojibake.restore(read, model)[0] == late
+    assert mojibake.restore(read + "\U0001d400", model)[0] == late + "\U0001d400"
+
+
+def test_signs_between_letters_and_first_characters():
+    model = pair_model(["Die Möbel der Größe nach, die schönen Wörter hören; während Mädchen wärmer wären. “Ja”, sagte er – und ging…", *CLEAN] * 200)
+    find = mojibake.Finder(model)
+    assert [x[2] for x in find(["Die M”bel h”ren"])[0]] and "".join(x[2] for x in find(["Die M”bel h”ren"])[0]).count("ö") == 2
+    assert find(["“Ja”, sagte er – und ging…", "keeper—a mill", "keeper’s mill"]) == [[], [], []]
+    # the pair after the first character is usual, only the one before it isn't
+    model.mutual[:] = 0
+    model.mutual[[10 * mojibake.SLOTS + 0xD8, 32 * mojibake.SLOTS + 0xD8]] = -20
+    seen = []
+    find = mojibake.Finder(model)
+    find.test = lambda run: seen.append(run) or (run, None)
+    find(["Øber allen", "", "Øber"])
+    assert seen == ["Øber", "Øber"]
+
+
 def test_segments_are_maximal():
     assert mojibake.segments(np.array([3, 4, 40, 41]), np.array([2.0, 2.0, 1.0, 1.0])) == [(3, 4), (40, 41)]
     assert mojibake.segments(np.array([3, 5, 7]), np.array([2.0, 2.0, 2.0])) == [(3, 7)]
