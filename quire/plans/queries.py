@@ -543,9 +543,11 @@ def _engines(spark: SparkSession, root: str) -> DataFrame:
     return key.select(F.lit("plain").alias("engine"), "slug", "page", "text").unionByName(key.select(F.lit("worse").alias("engine"), "slug", "page", worse.alias("text")))
 
 
-def _scored(spark, root):
+def _scored(spark, root, known="page % 2 = 0"):
+    """Pages against the plain ones as true text, where it is known. The SQL of page_scores and engine_means knows it
+    for even pages only."""
     pages = _engines(spark, root)
-    truth = pages.where("engine = 'plain' AND page % 2 = 0").select("slug", "page", F.col("text").alias("truth"))
+    truth = pages.where("engine = 'plain'").where(known).select("slug", "page", F.col("text").alias("truth"))
     words = _documents(spark, root).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿĀ-ž]{2,}"), F.lit(0))).alias("word"))
     return ocr_metrics.score_pages(pages, truth, words)
 
@@ -557,7 +559,7 @@ def page_scores(spark, root):
 
 @query
 def page_word_errors(spark, root):
-    return _scored(spark, root).where("wer IS NOT NULL").select("engine", "slug", "page", "wer")
+    return _scored(spark, root, "true").select("engine", "slug", "page", "wer")
 
 
 @query

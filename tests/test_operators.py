@@ -288,6 +288,15 @@ def test_page_metrics(spark):
     assert {(r.engine, r.slug) for r in ocr_metrics.means(ocr_metrics.score_pages(pages, truth, words)).collect()} == {("a", "s"), ("a", None), ("b", "s"), ("b", None)}
 
 
+def test_word_errors_of_every_page(spark, data):
+    from quire.plans.queries import FOUND
+
+    key = lambda q: {(r.engine, r.slug, r.page) for r in FOUND[q](spark, data).select("engine", "slug", "page").collect()}
+    made = FOUND["page_word_errors"](spark, data)
+    assert key("page_word_errors") == key("page_scores")
+    assert made.where("wer IS NULL OR page IS NULL").count() == 0
+
+
 @pytest.mark.parametrize("text, why", [("Too short.", "too_few_words"), ("A b c d e f.", "too_many_short_words"), ("1234567 was a good year here.", "first_word_is_number"), ("lower case starts are not sentences.", "first_not_upper"), ("This one never ends properly here", "last_not_dot"), ("This is a perfectly fine sentence.", "valid"), ("Many, many, many, many, many, many, many, commas here.", "too_many_commas")])
 def test_sentence_reasons(spark, text, why):
     assert spark.createDataFrame([(text,)], "t string").select(sentence_filter.reason(F.col("t"))).first()[0] == why
