@@ -4,9 +4,10 @@ A known word scores its log frequency in each language; an unseen word scores th
 character n-grams, from five letters down to one. Sentences take the language of the highest sum; a book's main
 language is that of most of its words.
 
-The model is fitted on at most TRAIN_BLOCKS labelled blocks (the first TRAIN_CHARS characters of each), drawn by
-hash from all books whose label can be read. Labels are partly wrong, so the fit is repeated with the sample's own
-sentences labelled by the previous fit; languages that keep less than a hundredth of the commonest one's share go.
+The model is fitted on at most LABEL_BLOCKS blocks of each label (the first TRAIN_CHARS characters of each) and
+BOOK_BLOCKS of each book, drawn by hash. Labels are partly wrong, so a book whose words are those of another label's
+books takes that label, and the fit is repeated with the sample's own sentences labelled by the previous fit. A
+language goes only if none of its books keeps it.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.hashing import code_points, letter_table, slices, word_hashes
-from quire.runtime import materialize
+from quire.runtime import discard, materialize
 
-TRAIN_BLOCKS, TRAIN_CHARS, ROUNDS, LEAST_SHARE, SAME = 12_000, 2_000, 3, 0.01, 0.6
+LABEL_BLOCKS, BOOK_BLOCKS, TRAIN_CHARS, ROUNDS = 1_000, 8, 2_000, 3
+#: Least cosine of a book's words with those of another label's books for it to take that label, and how much nearer
+#: than its own label's other books a label of fewer books must be; one of more books may be as much farther.
+SAME, NEARER = 0.6, 0.1
 LONGEST = 5
 MIN_BOOK_WORDS, MIN_SEGMENT_WORDS = 100, 15
 #: A sentence counts as foreign if it is this many nats likelier in the other language, in total.
@@ -145,51 +149,80 @@ class Scorer:
         return owner, count, pieces, sums
 
 
-def fit(texts: list[str], labels: list[str]) -> LanguageModel:
-    """Fit on labelled texts, then refit on the sentences as the previous fit labels them."""
+def fit(texts: list[str], labels: list[str], books: list[int]) -> LanguageModel:
+    """Fit on labelled texts of books, then refit on the sentences as the previous fit labels them."""
     split = re.compile(r"[^\W\d_]+")
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for text, label in zip(texts, labels):
-        counts[label].update(split.findall(text.lower()))
-    model = LanguageModel(_kept(counts))
+    counts = _by_label((split.findall(t.lower()) for t in texts), list(zip(books, labels)))
+    model = LanguageModel(counts)
     parts = [x for t in texts for x in re.split(r"(?<=[.!?…])\s+", t) if x]
     words = [split.findall(x.lower()) for x in parts]
     for _ in range(ROUNDS - 1):
         owner, _, _, sums = Scorer(model).sentences(parts)
         total = np.zeros((len(parts), len(model.langs)))
         np.add.at(total, owner, sums)
-        counts = defaultdict(Counter)
+        # a language that gets no sentence keeps its words
+        made: dict[str, Counter] = defaultdict(Counter)
         for ws, k, seen in zip(words, total.argmax(1), total.any(1)):
             if seen and len(ws) > 3:
-                counts[model.langs[k]].update(ws)
-        model = LanguageModel(_kept(counts))
+                made[model.langs[k]].update(ws)
+        counts = {k: made.get(k, c) for k, c in counts.items()}
+        model = LanguageModel(counts)
     return model
 
 
-def _kept(counts: dict[str, Counter]) -> dict[str, Counter]:
-    """Without languages that are hardly there, and without those whose words are those of a commoner language:
-    their texts only bear a wrong label."""
-    size = {k: sum(c.values()) for k, c in counts.items()}
-    kept: dict[str, Counter] = {}
-    for k in sorted(counts, key=lambda x: (-size[x], x)):
-        if size[k] >= LEAST_SHARE * max(size.values()) and all(_cosine(counts[k], c) < SAME for c in kept.values()):
-            kept[k] = counts[k]
-    return kept
-
-
-def _cosine(a: Counter, b: Counter) -> float:
-    dot = sum(n * b[w] for w, n in a.items() if w in b)
-    return dot / max((sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5, 1e-9)
+def _by_label(texts: Iterator[list[str]], keys: list[tuple[int, str]]) -> dict[str, Counter]:
+    """Words by label, after books with the words of another label's books have taken that label. A book is never
+    compared with its own words; a label of one book, like none of the others, stays. ``keys``: book and label by text."""
+    number: dict[str, int] = {}
+    ids = [np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in texts]
+    every = sorted({k for k, x in zip(keys, ids) if len(x)})
+    langs = sorted({k[1] for k in every})
+    if not every:
+        return {}
+    at = {k: i for i, k in enumerate(every)}
+    size = len(number)
+    cells, n = np.unique(np.concatenate([x + at[k] * size for k, x in zip(keys, ids) if len(x)]), return_counts=True)
+    row, col, n = cells // size, cells % size, n.astype(float)
+    starts = np.searchsorted(row, np.arange(len(every)))
+    norm = np.add.reduceat(n * n, starts)
+    own = np.array([langs.index(k[1]) for k in every])
+    me = np.arange(len(every))
+
+    def pools() -> np.ndarray:
+        return np.stack([np.bincount(col[mine], n[mine], size) for mine in (own[row] == k for k in range(len(langs)))])
+
+    for _ in range(ROUNDS):
+        pool, books = pools(), np.bincount(own, minlength=len(langs))
+        dot = np.stack([np.add.reduceat(n * p[col], starts) for p in pool], axis=1)
+        square = (pool * pool).sum(1)
+        near = dot / np.maximum(np.sqrt(norm[:, None] * square[None, :]), 1e-9)
+        rest = np.maximum(square[own] - 2 * dot[me, own] + norm, 0)
+        alone = (dot[me, own] - norm) / np.maximum(np.sqrt(norm * rest), 1e-9)
+        # of two labels with as many books the first in the alphabet counts as the larger
+        rank = np.argsort(np.argsort([-(b * len(langs) - k) for k, b in enumerate(books)]))
+        need = alone[:, None] + np.where(rank[None, :] < rank[own][:, None], -NEARER, NEARER)
+        near[(near < SAME) | (near <= need)] = -1
+        near[me, own] = -1
+        best = near.argmax(1)
+        moves = near[me, best] > 0
+        if not moves.any():
+            break
+        own = np.where(moves, best, own)
+    words = list(number)
+    return {langs[k]: Counter({words[i]: int(p[i]) for i in np.flatnonzero(p)}) for k, p in enumerate(pools()) if p.any()}
 
 
 def train(blocks: DataFrame, books: DataFrame) -> LanguageModel:
-    labelled = books.select(F.col("id").alias("book_id"), norm_label(F.col("language")).alias("label")).where("label IS NOT NULL")
-    # keys first, so that only TRAIN_BLOCKS texts are ever moved
-    keys = blocks.where("text IS NOT NULL").select("book_id", "seq").orderBy(F.xxhash64("book_id", "seq"), "book_id", "seq").limit(TRAIN_BLOCKS).distinct()
-    drawn = blocks.where("text IS NOT NULL").select("book_id", "seq", F.substring("text", 1, TRAIN_CHARS).alias("text"))
-    drawn = drawn.join(F.broadcast(keys), ["book_id", "seq"]).dropDuplicates(["book_id", "seq"])
-    sample = drawn.join(labelled, "book_id").select("label", "text").toPandas()
-    return fit(sample["text"].tolist(), sample["label"].tolist())
+    labelled = books.select(F.col("id").alias("book_id"), norm_label(F.col("language")).alias("label")).where("label IS NOT NULL").distinct()
+    # keys first, so that only the drawn texts are ever moved; every book's first block goes before any second one
+    keys = blocks.where("text IS NOT NULL AND text <> ''").select("book_id", "seq").distinct().join(labelled, "book_id").withColumn("h", F.xxhash64("book_id", "seq"))
+    keys = keys.withColumn("nth", F.row_number().over(W.partitionBy("label", "book_id").orderBy("h", "seq"))).where(F.col("nth") <= BOOK_BLOCKS)
+    keys = keys.withColumn("rank", F.row_number().over(W.partitionBy("label").orderBy("nth", "h", "book_id", "seq"))).where(F.col("rank") <= LABEL_BLOCKS)
+    keys = materialize(keys.select("book_id", "seq", "label"))
+    drawn = blocks.where("text IS NOT NULL AND text <> ''").select("book_id", "seq", F.substring("text", 1, TRAIN_CHARS).alias("text"))
+    sample = drawn.join(F.broadcast(keys), ["book_id", "seq"]).dropDuplicates(["label", "book_id", "seq"]).select("label", "book_id", "text").toPandas()
+    discard(keys)
+    return fit(sample["text"].tolist(), sample["label"].tolist(), sample["book_id"].tolist())
 
 
 def block_languages(blocks: DataFrame, model: LanguageModel) -> DataFrame:

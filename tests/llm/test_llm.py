@@ -353,6 +353,23 @@ def test_languages_of_books_files_and_segments(spark):
     assert got == {("books", "1", "en"), ("books", "3", "fr"), ("books", "4", "en"), ("books", "6", "de"), ("books", "8", "en"), ("files", "p2", "de"), ("blocks", "0/9", "de")}
 
 
+def test_mislabelled_large_and_rare_languages(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    # a German book with a third of all blocks bears a French label
+    for b, lang, n, label in [(0, "de", 160, "fr"), *[(b, "en", 40, "en") for b in range(1, 7)], *[(b, "de", 6, "de") for b in range(7, 13)], *[(b, "fr", 6, "fr") for b in range(13, 17)]]:
+        rows += [(b, s, None, prose(rng, lang, 4)) for s in range(n)]
+        labels.append((b, None, None, label, 1.0))
+    # one book of a language with less than a hundredth of the commonest one's words
+    other = "jezioro zima młyn cicho kamień dom rzeka list przez nad pod".split()
+    rows.append((20, 0, None, " ".join(rng.choice(other) for _ in range(40)) + "."))
+    rows.append((20, 1, None, " ".join(rng.choice(other) for _ in range(70)) + "."))
+    labels.append((20, None, None, "pl", 1.0))
+    book, _ = langid.languages(blocks(spark, rows), books(spark, labels))
+    got = {r.book_id: r.lang for r in book.collect()}
+    assert got == {0: "de", 20: "pl"} | {b: "en" for b in range(1, 7)} | {b: "de" for b in range(7, 13)} | {b: "fr" for b in range(13, 17)}
+
+
 def test_unseen_words_back_off(spark):
     counts = {k: Counter(w.lower() for w in v for _ in range(5)) for k, v in VOCABULARY.items()}
     model = langid.LanguageModel(counts)
