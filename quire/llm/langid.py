@@ -101,6 +101,38 @@ class LanguageModel:
         return self.flat
 
 
+#: A word parted at a line's end, a run of single letters (a head set with spaces), and a line of nothing but a number.
+_PARTED = re.compile(r"(?<=[^\W\d_])[-\xad¬‐][ \t]*\n[ \t]*(?=[^\W\d_])")
+_SPACED = re.compile(r"(?:(?<!\w)[^\W\d_]\s+){5,}")
+_NUMBER_LINE = re.compile(r"\W*(?:\w{1,5}\.?\s+)?(?:\d{1,5}|[ivxlcIVXLC]{1,8})\W*")
+#: A first or last line of less than this share of the longest one may be a head, and its words no part of a sentence.
+SHORT_LINE = 0.75
+
+
+def running_text(text: str) -> str:
+    """A page's text as it was written: parted words joined, letter-spaced heads and lines of a number left out, and
+    short outer lines and paragraphs closed by a full stop, so that no head runs into a sentence."""
+    if "\n" not in text:
+        return text
+    lines = text.split("\n")
+    full = SHORT_LINE * max(map(len, lines))
+    filled = [k for k, x in enumerate(lines) if x.strip()]
+    outer = {*filled[:2], *filled[-2:]}
+    made: list[str] = []
+    for k, line in enumerate(lines):
+        bare = line.strip()
+        if bare and k in outer and len(filled) > 1 and (_SPACED.search(bare) or _NUMBER_LINE.fullmatch(bare)):
+            continue
+        if not bare and made and made[-1][-1:] not in ".":
+            made[-1] += "."
+        elif bare:
+            head = k == filled[0] and len(bare) < full and bare[-1] not in "-\xad¬‐"
+            if made and k == filled[-1] and len(bare) < full and bare[:1].isupper() and made[-1].rstrip()[-1] not in "-\xad¬‐.":
+                made[-1] += "."
+            made.append(bare + "." if head else bare)
+    return _PARTED.sub("", "\n".join(made))
+
+
 _ENDS = np.zeros(0x110000, bool)
 _ENDS[[ord(c) for c in ".!?…"]] = True
 _SPACE = np.zeros(0x110000, bool)
@@ -116,7 +148,7 @@ class Scorer:
 
     def sentences(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per sentence: its text, letter words, words between white space, scores (one column a language)."""
-        texts = [(t or "").lower() for t in texts]
+        texts = [running_text(t or "").lower() for t in texts]
         codes, begins = code_points(texts)
         words, first, start, end = word_hashes(texts)
         n = len(self.model.langs)
@@ -150,11 +182,18 @@ class Scorer:
 
 
 def fit(texts: list[str], labels: list[str], books: list[int]) -> LanguageModel:
-    """Fit on labelled texts of books, then refit on the sentences as the previous fit labels them."""
+    """Fit on labelled texts of books, then refit on the distinct sentences as the previous fit labels them."""
     split = re.compile(r"[^\W\d_]+")
-    counts = _by_label((split.findall(t.lower()) for t in texts), list(zip(books, labels)))
+    each = [re.split(r"(?<=[.!?…])\s+", running_text(t)) for t in texts]
+    # a sentence printed in books of several labels, such as a notice, tells nothing of any of them
+    of: dict[str, set[str]] = defaultdict(set)
+    for xs, label in zip(each, labels):
+        for x in xs:
+            of[x].add(label)
+    telling = (split.findall(" ".join(x for x in dict.fromkeys(xs) if len(of[x]) == 1).lower()) for xs in each)
+    counts = _by_label(telling, list(zip(books, labels)))
     model = LanguageModel(counts)
-    parts = [x for t in texts for x in re.split(r"(?<=[.!?…])\s+", t) if x]
+    parts = [x for x in of if x]
     words = [split.findall(x.lower()) for x in parts]
     for _ in range(ROUNDS - 1):
         owner, _, _, sums = Scorer(model).sentences(parts)

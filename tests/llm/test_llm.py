@@ -370,6 +370,33 @@ def test_mislabelled_large_and_rare_languages(spark):
     assert got == {0: "de", 20: "pl"} | {b: "en" for b in range(1, 7)} | {b: "de" for b in range(7, 13)} | {b: "fr" for b in range(13, 17)}
 
 
+def test_running_text_of_pages():
+    page = "22   T H E   M I L L E R \u2019 S   P A L E\nbeside the canal while the sunlit fisher-\nman watched it. And a second line of text\n\nfollows here as the last one of the page\n- 7 -"
+    made = langid.running_text(page)
+    assert "fisherman" in made and "M I L L" not in made and "- 7 -" not in made and "text.\nfollows" in made
+    # a short head doesn't run into the sentence below it
+    assert langid.running_text("Notes on Mills\nSin avisar el molinero sigui\u00f3 la p\u00e1gina sin due\u00f1o").startswith("Notes on Mills.\n")
+    assert langid.running_text("one line") == "one line" and langid.running_text("") == "" and langid.running_text("\n\n") is not None
+
+
+def test_spaced_heads_and_common_notices(spark):
+    rng = random.Random(14)
+    rows, labels = [], []
+    notice = "This digital copy was prepared for private study. Readers who notice an error are asked to write to the catalogue desk."
+    for b, lang in enumerate(["en"] * 4 + ["de"] * 4 + ["fr"] * 2):
+        rows += [(b, s, None, prose(rng, lang, 4)) for s in range(12)]
+        labels.append((b, None, None, lang, 1.0))
+    # letter-spaced heads of twenty letters over plain text of the book's own language, and one notice in all languages' books
+    for b in (0, 4, 8):
+        lines = prose(rng, ["en", "de", "fr"][b // 4], 2).split(" ")
+        rows.append((b, 20, 3, "T H E   H E A V Y   B A S K E T   O F   M I L L S\n" + "\n".join(" ".join(lines[i : i + 9]) for i in range(0, len(lines), 9))))
+        rows.append((b, 21, None, notice))
+    none = spark.createDataFrame([], "path string, sha256 string, language string, surveyed_at timestamp")
+    bf = spark.createDataFrame([], "sha256 string, book_id long")
+    got = {tuple(r) for r in langid.corrections(blocks(spark, rows), books(spark, labels), none, bf).collect()}
+    assert got == {("blocks", "4/21", "en"), ("blocks", "8/21", "en")}
+
+
 def test_unseen_words_back_off(spark):
     counts = {k: Counter(w.lower() for w in v for _ in range(5)) for k, v in VOCABULARY.items()}
     model = langid.LanguageModel(counts)
