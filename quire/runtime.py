@@ -11,17 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, single machine) a temporary folder is set.
+    Only on a single machine that leaves it unset, as in tests, a temporary folder is set; a cluster must name one,
+    because no executor could read what another wrote to its own disk.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write ``df`` as a Parquet table into the shared folder and read it back.
+def materialize(df: DataFrame, partitions: int | None = None, free: bool = True) -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared folder and read it back; with ``free`` the driver then looks for
+    shuffle files that nothing needs any more.
 
     This cuts the lineage like a reliable checkpoint, but in a compact columnar form that later
     scans can prune. A lost executor costs nothing: the files are on shared storage.
@@ -32,7 +37,8 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     out.write.option("compression", "zstd").parquet(path)
     # the shuffle files behind the table go once the driver's collector finds them unused; left to itself it may
     # not look for a long time, and the disks hold every step's files
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        spark.sparkContext._jvm.System.gc()
     made = spark.read.schema(df.schema).parquet(path)
     made._quire_path = path
     return made
