@@ -7,23 +7,31 @@ in at most one position of some group and so share a cell: a vector seen in none
 in at least 2t positions, and once 2t exceeds the allowed distance no near match can remain unseen. The rerank
 compares the full vectors.
 
-Cells and full vectors are stored as tables; a batch is probed against them and appended, history isn't read again
-except in the cells that are probed. Equal vectors are stored once, with the first record that brought them.
+Cells, full vectors and content hashes are stored as versions of an index, one for each batch. A batch is probed
+against the versions before it and then appended. Of the stored cells only the keys are scanned, by a semi-join with
+the batch's keys before anything moves; full vectors are read of the cells that are met. Equal vectors are stored
+once, with the first record that brought them. A version counts once its mark is written, after all of its tables,
+so a stopped run leaves nothing behind that is half there; doing a batch again changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from quire.llm.hashing import mix
-from quire.runtime import materialize
+from quire.llm.neardup import only
+from quire.runtime import discard, materialize, shared_dir
 
 POSITIONS, GROUPS, SHARE = 128, 26, 0.6
+RECORDS, CELLS = "rank long, sha256 string, cls long, sig binary", "key long, cls long"
+#: The rank of what was stored before a batch came.
+_BEFORE = -(1 << 63)
 
 
 def _cell_positions() -> list[np.ndarray]:
@@ -38,23 +46,22 @@ def least_equal(share: float) -> int:
     return int(np.ceil(round(share * POSITIONS, 6)))
 
 
-def vectors(records: DataFrame, signature: str = "minhash") -> DataFrame:
-    """``cls, sig, first`` of the distinct vectors of ``records`` (with a sortable column ``rank``); rows whose
-    vector is null or not of POSITIONS numbers have none. ``sig`` holds 32-bit minima."""
+def packed(records: DataFrame) -> DataFrame:
+    """RECORDS of records (rank, sha256, minhash): ``sig`` holds the 32-bit minima and ``cls`` their hash; both are null
+    where the vector is null, holds a null or isn't of POSITIONS numbers."""
+    ok = (F.size("minhash") == POSITIONS) & ~F.exists("minhash", lambda x: x.isNull())
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"cls": pdf["cls"], "sig": [np.asarray(x, np.int64).astype(np.uint32).tobytes() for x in pdf["v"]]})
+            pdf["sig"] = [None if x is None else np.asarray(x, np.int64).astype(np.uint32).tobytes() for x in pdf.pop("v")]
+            yield pdf
 
-    ok = records.where((F.size(signature) == POSITIONS) & ~F.exists(signature, lambda x: x.isNull()))
-    each = ok.select(F.xxhash64(signature).alias("cls"), F.col(signature).alias("v"), "rank")
-    seen = each.groupBy("cls").agg(F.min("rank").alias("first"), F.max("rank").alias("last"), F.any_value("v").alias("v"))
-    sigs = seen.select("cls", "v").mapInPandas(pack, "cls long, sig binary")
-    return seen.drop("v").join(sigs, "cls")
+    slim = records.select(F.col("rank").cast("long").alias("rank"), "sha256", F.when(ok, F.xxhash64("minhash")).alias("cls"), F.when(ok, F.col("minhash")).alias("v"))
+    return slim.mapInPandas(pack, RECORDS)
 
 
-def cells(vecs: DataFrame) -> DataFrame:
-    """``key, cls``: all cells of each vector."""
+def cells(vectors: DataFrame) -> DataFrame:
+    """CELLS of distinct vectors (cls, sig): all cells of each."""
     places = _cell_positions()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +77,7 @@ def cells(vecs: DataFrame) -> DataFrame:
                     keys[:, k] = key
                 yield pd.DataFrame({"key": keys.ravel().view(np.int64), "cls": np.repeat(part["cls"].to_numpy(), len(places))})
 
-    return vecs.select("cls", "sig").mapInPandas(run, "key long, cls long")
+    return vectors.select("cls", "sig").mapInPandas(run, CELLS)
 
 
 def _equal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,93 +87,104 @@ def _equal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[["a", "b"]].assign(equal=(a == b).sum(axis=1).astype(np.int32))
 
 
-def rerank(pairs: DataFrame, vecs: DataFrame, share: float) -> DataFrame:
-    """``a, b, equal`` of distinct candidate pairs that have enough equal positions."""
-    side = lambda x: vecs.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}"))
-    both = pairs.distinct().join(side("a"), "a").join(side("b"), "b")
-    return both.mapInPandas(_equal, "a long, b long, equal int").where(F.col("equal") >= least_equal(share))
+def rerank(pairs: DataFrame, vectors: DataFrame, share: float) -> DataFrame:
+    """Of candidate pairs ``a, b`` those with enough equal positions, and how many."""
+    side = lambda x: vectors.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_equal, "a long, b long, equal int").where(F.col("equal") >= least_equal(share))
 
 
-def earliest_match(asked: DataFrame, vecs: DataFrame, index: DataFrame, share: float = SHARE) -> DataFrame:
-    """``cls, match, best, equal`` for the classes in ``asked``: of the near vectors seen before the class's last
-    record, one of the earliest (``best`` is its first record).
-
-    asked: rows of ``vecs`` (cls, sig, first, last). First every cell offers only its earliest vector, which settles
-    most queries, among them all of a large group of near copies; the others then meet all earlier vectors of their
-    cells. No cell and no partner is left out for the queries that are still open.
-    """
-    of = cells(asked).join(asked.select("cls", "last"), "cls")
-    dated = index.join(vecs.select("cls", "first"), "cls")
-    leaders = dated.groupBy("key").agg(F.min(F.struct("first", "cls")).alias("x")).select("key", F.col("x.cls").alias("b"), F.col("x.first").alias("first"))
-    some = of.join(leaders, "key").where("cls <> b AND first < last").select(F.col("cls").alias("a"), "b")
-    firsts = vecs.select(F.col("cls").alias("b"), F.col("first").alias("best"))
-    settled = materialize(rerank(some, vecs, share).join(firsts, "b"))
-    found = settled.groupBy("a").agg(F.min("best").alias("best"))
-    # open: some record of the class is not later than the match found, or there is none
-    still = asked.join(found.withColumnRenamed("a", "cls"), "cls", "left").where("best IS NULL OR NOT (best < first)").select("cls", "last")
-    rest = of.drop("last").join(still, "cls").join(dated.select("key", F.col("cls").alias("b"), "first"), "key").where("cls <> b AND first < last")
-    more = rerank(rest.select(F.col("cls").alias("a"), "b"), vecs, share).join(firsts, "b")
-    every = settled.unionByName(more)
-    return every.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("best", (-F.col("equal")).alias("e"), "b")).alias("x")).select("cls", F.col("x.b").alias("match"), "x.best", (-F.col("x.e")).alias("equal"))
-
-
-def _rank(kind: int, *columns) -> F.Column:
-    return F.struct(F.lit(kind).alias("kind"), *[F.coalesce(c, F.lit(0)).cast("long").alias(f"r{k}") for k, c in enumerate(columns)])
-
-
-def classify(incoming: DataFrame, books: DataFrame, book_files: DataFrame, share: float = SHARE) -> DataFrame:
+class CellIndex:
+    """A persisted index under a shared path: tables ``records`` (RECORDS) and ``cells`` (CELLS), each with a folder a
+    version, and one empty file a version that was written to its end."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def versions(self) -> list[int]:
+        fs, where = self._fs("done")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+
+    def _read(self, name: str, schema: StructType | str, versions: list[int]) -> DataFrame:
+        parts = [f"{self.path}/{name}/{v:09d}" for v in versions]
+        return self.spark.read.schema(schema).parquet(*parts) if parts else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, name: str, version: int) -> DataFrame:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}/{version:09d}")
+        return self._read(name, df.schema, [version])
+
+    def vectors(self, versions: list[int] | None = None) -> DataFrame:
+        """``cls, sig`` as stored: a vector that comes again is stored once a version."""
+        return self._read("records", RECORDS, self.versions() if versions is None else versions).where("cls IS NOT NULL").select("cls", "sig")
+
+    def add(self, records: DataFrame, version: int, share: float = SHARE, ask: bool = True) -> DataFrame | None:
+        """Store ``records`` (rank, sha256, minhash) as ``version``, after probing them against the versions before it.
+
+        Gives per record ``rank, exact, near``: whether its sha256, or a vector near its own, is stored or on a record
+        here of a smaller rank; with ``ask`` off (history to begin with) nothing is asked.
+        """
+        before = [v for v in self.versions() if v < version]
+        own = self._write(packed(records), "records", version)
+        firsts = own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("rank").alias("rank"), F.any_value("sig").alias("sig"))
+        made = self._write(cells(firsts), "cells", version)
+        found = self._ask(own, firsts.select("cls", "rank"), made, before, share) if ask else None
+        fs, where = self._fs(f"done/{version:09d}")
+        fs.create(where, True).close()
+        return found
+
+    def _ask(self, own: DataFrame, firsts: DataFrame, made: DataFrame, before: list[int], share: float) -> DataFrame:
+        """The answers for a batch's records (``own``), whose vectors first stand in ``firsts`` and have cells ``made``.
+
+        Of the stored cells only those are moved that the batch meets. First each of them offers only one vector (a
+        stored one, else the batch's earliest), which settles most vectors, among them all of a large group of near
+        copies; the vectors still open then meet all earlier ones of their cells. What is met in no cell differs in
+        more positions than allowed. No cell and no partner is left out for vectors that are still open.
+        """
+        stored, n = self.vectors(before), own.count()
+        keys = n * sum(len(x) for x in np.array_split(np.arange(POSITIONS), GROUPS))
+        hits = only(self._read("cells", CELLS, before), made.select("key"), ["key"], keys).select("key", F.col("cls").alias("b"), F.lit(_BEFORE).alias("rank_b"))
+        mine = made.join(firsts, "cls")
+        met = materialize(hits.unionByName(mine.select("key", F.col("cls").alias("b"), F.col("rank").alias("rank_b"))), free=False)
+        asking = mine.select("key", F.col("cls").alias("a"), F.col("rank").alias("rank_a"))
+        first = met.groupBy("key").agg(F.min(F.struct("rank_b", "b")).alias("x")).select("key", "x.*")
+
+        def near(other: DataFrame, asking: DataFrame, most: int | None = None) -> DataFrame:
+            pairs = materialize(asking.join(other, "key").where("rank_b < rank_a").select("a", "b").distinct(), free=False)
+            vectors = only(stored, pairs.select(F.col("b").alias("cls")), ["cls"], most).unionByName(own.where("cls IS NOT NULL").select("cls", "sig")).dropDuplicates(["cls"])
+            return rerank(pairs, vectors, share).select(F.col("a").alias("cls")).distinct()
+
+        settled = materialize(near(first, asking, keys), free=False)
+        late = near(met, asking.join(settled, asking["a"] == settled["cls"], "left_anti"))
+        nears = settled.unionByName(late).withColumn("n", F.lit(True))
+        shas = own.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("rank").alias("sha_first"))
+        old = only(self._read("records", RECORDS, before).select("sha256"), own.where("sha256 IS NOT NULL").select("sha256"), ["sha256"], n).distinct().withColumn("old", F.lit(True))
+        every = own.select("rank", "sha256", "cls").join(shas.join(old, "sha256", "left"), "sha256", "left").join(firsts.withColumnRenamed("rank", "cls_first"), "cls", "left").join(nears, "cls", "left")
+        exact, again = F.col("old") | (F.col("sha_first") < F.col("rank")), F.col("n") | (F.col("cls_first") < F.col("rank"))
+        out = materialize(every.select("rank", F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(again, F.lit(False)).alias("near")), free=False)
+        discard(met, settled)
+        return out
+
+
+def classify(incoming: DataFrame, books: DataFrame, book_files: DataFrame, share: float = SHARE, path: str | None = None) -> DataFrame:
     """``item_id, match_kind`` (exact, near or new), one row per item; items are ordered by (batch_no, item_id).
 
     exact: the sha256 is in ``book_files`` or on an earlier item; near: enough positions equal those of a book or an
-    earlier item. Null sha256 and null or malformed vectors match nothing; repeated item rows count once.
+    earlier item. The index (under ``path``, else a new one in the shared folder) is begun with the books; then each
+    batch in turn is probed against it and appended to it. Null sha256 and null or malformed vectors match nothing;
+    repeated item rows count once; a null batch_no comes first.
     """
-    items = incoming.select("item_id", "batch_no", "sha256", "minhash", _rank(1, F.col("batch_no"), F.col("item_id")).alias("rank")).dropDuplicates(["item_id"])
-    items = materialize(items)
-    first = items.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("rank").alias("first_rank"))
-    known = book_files.where("sha256 IS NOT NULL").select("sha256").distinct().withColumn("known", F.lit(True))
-    exact = items.join(first, "sha256").join(known, "sha256", "left").where("known OR first_rank < rank").select("item_id")
-
-    history = books.select("minhash", _rank(0, F.lit(0), F.lit(0)).alias("rank")).unionByName(items.select("minhash", "rank"))
-    vecs = materialize(vectors(history))
-    asked = vecs.where("last.kind = 1")
-    match = earliest_match(asked, vecs, materialize(cells(vecs)), share)
-    own = items.where((F.size("minhash") == POSITIONS)).select("item_id", "rank", F.xxhash64("minhash").alias("cls"))
-    near = own.join(vecs.select("cls", "first"), "cls").join(match.select("cls", "best"), "cls", "left").where("first < rank OR best < rank").select("item_id")
-    kinds = items.select("item_id").join(exact.withColumn("e", F.lit(1)), "item_id", "left").join(near.withColumn("n", F.lit(1)), "item_id", "left")
-    return kinds.select("item_id", F.when(F.col("e") == 1, "exact").when(F.col("n") == 1, "near").otherwise("new").alias("match_kind"))
-
-
-@dataclass
-class CellIndex:
-    """The persisted tables of one index: ``vectors`` and ``cells`` under a shared path."""
-
-    spark: SparkSession
-    path: str
-
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def append(self, records: DataFrame) -> None:
-        """Add records (minhash, rank); vectors already stored are kept with their first record."""
-        new = vectors(records)
-        if self.exists():
-            new = new.join(self.vectors().select("cls"), "cls", "left_anti")
-        new = materialize(new)
-        new.write.mode("append").parquet(f"{self.path}/vectors")
-        cells(new).repartition("key").sortWithinPartitions("key").write.mode("append").parquet(f"{self.path}/cells")
-
-    def exists(self) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/vectors")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-    def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/vectors")
-
-    def probe(self, records: DataFrame, share: float = SHARE) -> DataFrame:
-        """``cls, match, best, equal`` of the records' vectors that have a near one in the index or among earlier records."""
-        new = vectors(records)
-        stored = self.vectors()
-        both = stored.select("cls", "first", "sig").unionByName(new.select("cls", "first", "sig").join(stored.select("cls"), "cls", "left_anti"))
-        index = self.spark.read.parquet(f"{self.path}/cells").unionByName(cells(new))
-        return earliest_match(new, both, index, share)
+    spark = incoming.sparkSession
+    index = CellIndex(spark, path or f"{shared_dir(spark).rstrip('/')}/quire/{uuid.uuid4().hex}")
+    items = incoming.where("item_id IS NOT NULL").select("batch_no", F.col("item_id").alias("rank"), "sha256", "minhash").dropDuplicates(["rank"])
+    items = materialize(items, free=False)
+    none = F.lit(None)
+    history = books.select("minhash", none.cast("string").alias("sha256")).unionByName(book_files.select(none.cast("array<long>").alias("minhash"), "sha256"))
+    index.add(history.withColumn("rank", F.lit(0)), 0, share, ask=False)
+    out = items.where("false").select("rank", F.lit(False).alias("exact"), F.lit(False).alias("near"))
+    # one row a batch: there are as many as there were runs
+    for k, row in enumerate(items.select("batch_no").distinct().orderBy("batch_no").collect(), 1):
+        out = out.unionByName(index.add(items.where(F.col("batch_no").eqNullSafe(F.lit(row.batch_no))).drop("batch_no"), k, share))
+    return out.select(F.col("rank").alias("item_id"), F.when(F.col("exact"), "exact").when(F.col("near"), "near").otherwise("new").alias("match_kind"))

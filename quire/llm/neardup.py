@@ -214,11 +214,12 @@ def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
 BROADCAST_KEYS, _BITS = 500_000, 1 << 26
 
 
-def only(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key is in ``keys`` (a stored table): a broadcast semi-join while the keys are few. Beyond, most
+def only(rows: DataFrame, keys: DataFrame, on: list[str], most: int | None = None) -> DataFrame:
+    """Rows whose key is in ``keys`` (a stored table of at most ``most`` rows, which are else counted): a broadcast
+    semi-join while the keys are few. Beyond, most
     other rows are first dropped by a bitmap of _BITS bits over the keys' hashes, which misses no member, so that
     only the rest is shuffled."""
-    if keys.count() <= BROADCAST_KEYS:
+    if (keys.count() if most is None else most) <= BROADCAST_KEYS:
         return rows.join(F.broadcast(keys.select(on)), on, "left_semi")
     at = F.pmod(F.xxhash64(*on), F.lit(_BITS))
 

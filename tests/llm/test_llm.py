@@ -194,20 +194,45 @@ def test_batches_against_brute_force(spark):
 def test_persisted_cells_grow_by_batches(spark, tmp_path):
     rng = np.random.default_rng(5)
     sigs = signatures(rng, 60)
-    rows = [(k, s) for k, s in enumerate(sigs)]
-    df = spark.createDataFrame(rows, "rank long, minhash array<long>")
-    index = incremental.CellIndex(spark, f"file://{tmp_path}/index")
-    assert not index.exists()
-    index.append(df.where("rank < 20"))
+    rows = [(k, s, None) for k, s in enumerate([*sigs, sigs[7]])]
+    df = spark.createDataFrame(rows, "rank long, minhash array<long>, sha256 string")
+    path = f"file://{tmp_path}/index"
+    assert incremental.CellIndex(spark, path).versions() == []
+    incremental.CellIndex(spark, path).add(df.where("rank < 20"), 0, ask=False)
     hits = set()
-    for lo in (20, 40):
-        batch = df.where(f"rank >= {lo} AND rank < {lo + 20}")
-        found = {r.cls for r in index.probe(batch).collect()}
-        hits |= {r["rank"] for r in batch.select("rank", F.xxhash64("minhash").alias("cls")).collect() if r.cls in found}
-        index.append(batch)
-    want = {k for k, s in rows if k >= 20 and any(j < k and sum(x == y for x, y in zip(s, t)) >= 77 for j, t in rows)}
+    for version, lo in enumerate((20, 40), 1):
+        # each batch by an index opened anew, and the second one twice, as after a stop before its mark was written
+        batch = df.where(f"rank >= {lo} AND rank < {lo + 21 if lo == 40 else lo + 20}")
+        for k in range(version):
+            index = incremental.CellIndex(spark, path)
+            if k:
+                fs, where = index._fs(f"done/{version:09d}")
+                fs.delete(where, False)
+            found = {r["rank"] for r in index.add(batch, version).where("near").collect()}
+            hits |= found
+    want = {k for k, s, _ in rows if k >= 20 and any(j < k and sum(x == y for x, y in zip(s, t)) >= 77 for j, t, _ in rows)}
     assert hits == want and want
-    assert index.vectors().count() == 60
+    # a vector that comes again is stored once a version
+    assert incremental.CellIndex(spark, path).vectors().distinct().count() == 60
+
+
+def test_large_groups_of_near_copies_are_settled_by_leaders(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 32, 128)
+    rows = []
+    for k in range(300):
+        s = base.copy()
+        s[rng.choice(128, 6, replace=False)] = rng.integers(0, 1 << 32, 6)
+        rows.append((k, [int(x) for x in s], None))
+    df = spark.createDataFrame(rows, "rank long, minhash array<long>, sha256 string")
+    asked = []
+    plain = incremental.rerank
+    monkeypatch.setattr(incremental, "rerank", lambda pairs, *x: asked.append(pairs.count()) or plain(pairs, *x))
+    index = incremental.CellIndex(spark, f"file://{tmp_path}/index")
+    index.add(df.where("rank < 200"), 0, ask=False)
+    assert index.add(df.where("rank >= 200"), 1).where("near").count() == 100
+    # not each of a hundred against each of two hundred, and no second pass
+    assert asked[0] <= 200 and asked[1] == 0
 
 
 def test_cells_share_a_key_up_to_the_bound():
