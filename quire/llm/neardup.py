@@ -1,9 +1,12 @@
 """Near-duplicate texts by an LSH forest over MinHash signatures of five-word windows.
 
-Every text gets minima of ``HASHES`` hash functions over its distinct windows. A tree of the forest orders
-texts by a sequence of these minima; texts that share a prefix of the tree's depth are candidates, in dense
-regions as elsewhere. Candidates are then compared exactly, on the windows themselves, so the forest decides
-only what is compared.
+Every text gets minima of ``HASHES`` hash functions over its distinct windows. Each tree of the forest is a sorted
+order of all texts by a sequence of these minima, hashed to one number; neighbours in the order whose common prefix
+has the tree's depth are candidates. A region of an order with more than ``DENSE`` texts is too shallow there: all of
+its texts are looked at again at the greatest depth there is, on their windows themselves (two texts of a similarity
+of s share one of the rarest (1 - s) n + 1 windows of either, so that common boilerplate pairs nothing). A pair whose
+regions are all dense is found there, without chance; any other pair by the order in which its region isn't dense.
+Candidates are then compared exactly, on their windows, so the forest decides only what is compared.
 
 Texts with the same words in the same order form a class and are treated once (``cls`` is a 64-bit hash of the
 words); books with the same full signature likewise. Copies are expanded only where a query asks for pairs.
@@ -11,10 +14,11 @@ words); books with the same full signature likewise. Copies are expanded only wh
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.hashing import mix, slices, windows, word_hashes
@@ -22,13 +26,14 @@ from quire.runtime import discard, materialize
 
 HASHES = 96
 #: Trees and their depth; no two trees share a hash function.
-#: A pair of similarity s shares a region with probability 1 - (1 - s**least) ** trees: at 0.6, 0.9999 and 0.9996.
-BLOCK_TREES, BLOCK_LEAST, BOOK_TREES, BOOK_LEAST = 20, 2, 32, 3
-#: Ids of a region that are joined at a time.
+#: A pair of similarity s shares a region with probability 1 - (1 - s**least) ** trees: at 0.6, 0.9989 and 0.9996, at
+#: 0.7, 0.99999 and more.
+BLOCK_TREES, BLOCK_LEAST, BOOK_TREES, BOOK_LEAST = 28, 3, 32, 3
+#: Most texts of a region whose pairs are compared as they stand; texts of a part of a hot window that are joined at a time.
 DENSE = 64
-#: Blocks must agree in two trees (at a similarity of 0.6 missed with 0.0016); of books the share of equal minima
-#: may fall short of the threshold by SLACK, 3.6 standard deviations at 0.6 (missed with 0.0002).
-AGREEING, SLACK = 2, 0.18
+#: The share of equal minima of two books may fall short of the threshold by SLACK, 3.6 standard deviations at 0.6
+#: (missed with 0.0002).
+SLACK = 0.18
 THRESHOLD, MIN_WORDS, SIZE = 0.6, 40, 5
 _CHUNK = 2048
 _FACTORS = (np.random.default_rng(20240607).integers(1, 2**31, HASHES, dtype=np.int64).astype(np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -185,28 +190,116 @@ def _book_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": pdf["id"], "near": list(near.view(np.int64))})
 
 
-def candidates(keys: DataFrame, agreeing: int = 1) -> DataFrame:
-    """Pairs ``a < b`` of ids that share a region of at least ``agreeing`` trees, as a stored table. ``keys``: id, near.
+_ROWS, _PAIRS = pa.schema([("key", pa.int64()), ("id", pa.int64())]), pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    Every pair of a region is a candidate, however many ids the region has. The ids of a region are dealt into parts
-    of about DENSE by hash and parts are joined with parts, so that no task holds a large region.
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id) of all orders. A key that is dense within a batch is sent on once, without an id, and its ids
+    without a key: so a region that holds much of all rows never comes together."""
+    for batch in batches:
+        ids, near = batch.column(0).to_numpy(), batch.column(1)
+        if not len(ids):
+            continue
+        keys = near.flatten().to_numpy()
+        owner = np.repeat(ids, len(keys) // len(ids))
+        values, kind, n = np.unique(keys, return_inverse=True, return_counts=True)
+        hot = np.flatnonzero(n > DENSE)
+        if len(hot):
+            hot = hot[[len(np.unique(owner[kind == k])) > DENSE for k in hot]]
+        if len(hot):
+            dense = np.isin(kind, hot)
+            gone = np.unique(owner[dense])
+            yield pa.record_batch([pa.array(values[hot]), pa.nulls(len(hot), pa.int64())], schema=_ROWS)
+            yield pa.record_batch([pa.nulls(len(gone), pa.int64()), pa.array(gone)], schema=_ROWS)
+            keys, owner = keys[~dense], owner[~dense]
+        yield pa.record_batch([pa.array(keys), pa.array(owner)], schema=_ROWS)
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, id): pairs ``a < b`` of a region, and ids of a dense one (without b). Of a region that
+    runs over a batch's end at most DENSE + 1 ids are kept."""
+    keep_key, keep_id, keep_mark = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def pairs(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (mark[1:] != mark[:-1]))
+        key, ids, mark = key[new], ids[new], mark[new]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(start, len(key)))
+        dense = (size > DENSE) | np.logical_or.reduceat(mark, start)
+        for n in np.unique(size[~dense]):
+            if n > 1:
+                rows = ids[start[~dense & (size == n)][:, None] + np.arange(n)]
+                i, j = np.triu_indices(n, 1)
+                yield pa.record_batch([pa.array(rows[:, i].ravel()), pa.array(rows[:, j].ravel())], schema=_PAIRS)
+        gone = np.unique(ids[np.repeat(dense, size) & ~mark])
+        if len(gone):
+            yield pa.record_batch([pa.array(gone), pa.nulls(len(gone), pa.int64())], schema=_PAIRS)
+
+    for batch in batches:
+        key, ids = batch.column(0), batch.column(1)
+        if key.null_count:
+            loose = key.is_null().to_numpy(zero_copy_only=False)
+            gone = np.unique(ids.to_numpy(zero_copy_only=False)[loose].astype(np.int64))
+            yield pa.record_batch([pa.array(gone), pa.nulls(len(gone), pa.int64())], schema=_PAIRS)
+            keyed = batch.filter(pa.array(~loose))
+            key, ids = keyed.column(0), keyed.column(1)
+        mark = np.concatenate([keep_mark, ids.is_null().to_numpy(zero_copy_only=False)])
+        key = np.concatenate([keep_key, key.to_numpy()])
+        ids = np.concatenate([keep_id, ids.fill_null(0).to_numpy()])
+        if not len(key):
+            continue
+        cut = np.searchsorted(key, key[-1])
+        if cut:
+            yield from pairs(key[:cut], ids[:cut], mark[:cut])
+        key, ids, mark = key[cut:], ids[cut:], mark[cut:]
+        new = np.append(True, (ids[1:] != ids[:-1]) | (mark[1:] != mark[:-1]))
+        key, ids, mark = key[new], ids[new], mark[new]
+        if len(key) > DENSE or mark.any():
+            gone = ids[~mark]
+            yield pa.record_batch([pa.array(gone), pa.nulls(len(gone), pa.int64())], schema=_PAIRS)
+            key, ids, mark = key[:1], np.zeros(1, np.int64), np.ones(1, bool)
+        keep_key, keep_id, keep_mark = key, ids, mark
+    if len(keep_key):
+        yield from pairs(keep_key, keep_id, keep_mark)
+
+
+def _within(rows: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of ids that share a key. rows: key, id, distinct. The ids of a key are dealt into parts of
+    about DENSE by hash and parts are joined with parts, so that no task holds a large group."""
+    counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = rows.join(counts, "key").select("key", "id", F.ceil(F.col("n") / F.lit(DENSE)).cast("int").alias("parts"))
+    dealt = materialize(dealt.select("key", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("own"), F.sequence(F.lit(0), F.col("parts") - 1).alias("other")))
+    left = dealt.select("key", F.col("id").alias("a"), F.col("own").alias("pa"), F.explode("other").alias("pb"))
+    right = dealt.select("key", F.col("id").alias("b"), F.explode("other").alias("pa"), F.col("own").alias("pb"))
+    found = materialize(left.join(right, ["key", "pa", "pb"]).where("a < b").select("a", "b").distinct())
+    discard(dealt)
+    return found
+
+
+def by_rare_windows(windows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs ``a < b`` among which are all of at least ``threshold``. windows: id, w, distinct.
+
+    Windows are ordered by how many texts have them. A pair of the threshold has one of the first
+    n - ceil(threshold n) + 1 windows of both in common.
     """
-    by = W.partitionBy("key")
-    # most keys stand alone and go before copies of an id are looked for
-    rows = keys.where("near IS NOT NULL").select(F.explode("near").alias("key"), "id")
-    rows = rows.select("*", F.count("*").over(by).alias("n")).where("n > 1").dropDuplicates(["key", "id"]).drop("n")
-    parts = F.ceil(F.count("*").over(by) / F.lit(DENSE)).cast("int")
-    rows = rows.select("*", F.count("*").over(by).alias("n"), parts.alias("parts")).where("n > 1")
-    rows = materialize(rows.select("key", "id", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("own"), F.sequence(F.lit(0), F.col("parts") - 1).alias("other")))
-    left = rows.select("key", F.col("id").alias("a"), F.col("own").alias("pa"), F.explode("other").alias("pb"))
-    right = rows.select("key", F.col("id").alias("b"), F.explode("other").alias("pa"), F.col("own").alias("pb"))
-    found = left.join(right, ["key", "pa", "pb"]).where("a < b").select("a", "b")
-    if agreeing > 1:
-        found = found.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing).select("a", "b")
-    else:
-        found = found.distinct()
-    pairs = materialize(found)
-    discard(rows)
+    common = windows.groupBy("w").agg(F.count("*").alias("c"))
+    sized = windows.join(common, "w").withColumn("n", F.count("*").over(W.partitionBy("id"))).withColumn("at", F.row_number().over(W.partitionBy("id").orderBy("c", "w")))
+    first = sized.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1))
+    return _within(first.select(F.col("w").alias("key"), "id"))
+
+
+def candidates(keys: DataFrame, windows_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs ``a < b`` of ids that are neighbours in some order, as a stored table. keys: id, near; ``windows_of`` gives
+    the distinct windows (id, w) of a stored table of ids, for the texts of dense regions."""
+    rows = keys.where("near IS NOT NULL").select("id", "near").mapInArrow(_orders, "key long, id long")
+    rows = rows.repartition(F.coalesce("key", "id")).sortWithinPartitions("key", "id")
+    found = materialize(rows.mapInArrow(_neighbours, "a long, b long"))
+    pairs = found.where("b IS NOT NULL")
+    dense = materialize(found.where("b IS NULL").select(F.col("a").alias("id")).distinct())
+    if not dense.isEmpty():
+        pairs = pairs.unionByName(by_rare_windows(materialize(windows_of(dense)), threshold))
+    pairs = materialize(pairs.distinct())
+    discard(found)
     return pairs
 
 
@@ -255,7 +348,17 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
     reps = books.groupBy("cls").agg(F.min(F.struct("book_id", "sig")).alias("x")).select("cls", F.col("x.book_id").alias("id"), "x.sig")
     reps = materialize(reps)
     classes = materialize(books.select("book_id", "cls").join(reps.select("cls", F.col("id").alias("rep")), "cls").select("book_id", "rep"))
-    pairs_of = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>"))
+    texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", "text").unionByName(edge)
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches):
+            _, _, g, at = _split(pdf["text"].tolist())
+            yield pd.DataFrame({"id": np.repeat(pdf["book_id"].to_numpy(), np.diff(at)), "w": g.astype(np.int64)}).drop_duplicates()
+
+    def windows_of(ids: DataFrame) -> DataFrame:
+        return only(texts, ids.select(F.col("id").alias("book_id")), ["book_id"]).mapInPandas(grams, "id long, w long").distinct()
+
+    pairs_of = candidates(reps.select("id", "sig").mapInPandas(_book_keys, "id long, near array<long>"), windows_of, threshold)
 
     def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -265,16 +368,7 @@ def book_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 
     pairs = pairs_of.join(reps.selectExpr("id AS a", "sig AS sa"), "a").join(reps.selectExpr("id AS b", "sig AS sb"), "b")
     pairs = materialize(pairs.mapInPandas(alike, "a long, b long"))
-    asked = pairs.selectExpr("explode(array(a, b)) AS book_id").distinct()
-    texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", "text").unionByName(edge)
-
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in slices(batches):
-            _, _, g, at = _split(pdf["text"].tolist())
-            yield pd.DataFrame({"id": np.repeat(pdf["book_id"].to_numpy(), np.diff(at)), "w": g.astype(np.int64)}).drop_duplicates()
-
-    have = only(texts, asked, ["book_id"]).mapInPandas(grams, "id long, w long").distinct()
-    have = materialize(have)
+    have = materialize(windows_of(pairs.selectExpr("explode(array(a, b)) AS id").distinct()))
     counts = have.groupBy("id").agg(F.count("*").alias("n"))
     sized = pairs.join(counts.selectExpr("id AS a", "n AS na"), "a").join(counts.selectExpr("id AS b", "n AS nb"), "b").where(f"least(na, nb) >= {threshold} * greatest(na, nb)")
     common = sized.join(have.selectExpr("id AS a", "w"), "a").join(have.selectExpr("id AS b", "w"), ["b", "w"]).groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
@@ -302,23 +396,27 @@ def book_pairs(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD)
 def block_links(scan: DataFrame, blocks: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of blocks of at least MIN_WORDS words ``(cls, book_id, seq)`` and links ``(a, b)`` between classes."""
     members = scan.where("cls IS NOT NULL").select("cls", "book_id", "seq").distinct()
-    pairs = candidates(scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near"), AGREEING)
-    asked = pairs.selectExpr("explode(array(a, b)) AS cls").distinct()
-    spots = materialize(members.groupBy("cls").agg(F.min(F.struct("book_id", "seq")).alias("x")).join(asked, "cls", "left_semi").select("cls", "x.book_id", "x.seq"))
+    texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", F.col("seq").cast("int").alias("seq"), "text")
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
             _, _, g, at = _split(pdf["text"].tolist())
             yield pd.DataFrame({"book_id": pdf["book_id"], "seq": pdf["seq"], "w": [np.unique(g[i:j]).astype(np.int64) for i, j in zip(at[:-1], at[1:])]})
 
-    texts = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", F.col("seq").cast("int").alias("seq"), "text")
-    have = only(texts, spots, ["book_id", "seq"]).mapInPandas(grams, "book_id long, seq int, w array<long>").join(spots, ["book_id", "seq"]).dropDuplicates(["cls"]).select("cls", "w")
-    have = materialize(have)
+    def windows(ids: DataFrame) -> DataFrame:
+        """``cls, w``: the distinct windows of classes (id), as one array each, read at one of the places of each."""
+        spots = members.join(ids.select(F.col("id").alias("cls")), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("book_id", "seq")).alias("x"))
+        spots = materialize(spots.select("cls", "x.book_id", "x.seq"))
+        return only(texts, spots, ["book_id", "seq"]).mapInPandas(grams, "book_id long, seq int, w array<long>").join(spots, ["book_id", "seq"]).dropDuplicates(["cls"]).select("cls", "w")
+
+    keys = scan.where("near IS NOT NULL").select(F.col("cls").alias("id"), "near")
+    pairs = candidates(keys, lambda ids: windows(ids).select(F.col("cls").alias("id"), F.explode("w").alias("w")), threshold)
+    have = materialize(windows(pairs.selectExpr("explode(array(a, b)) AS id").distinct()))
     both = pairs.join(have.selectExpr("cls AS a", "w AS wa"), "a").join(have.selectExpr("cls AS b", "w AS wb"), "b")
     c, na, nb = F.size(F.array_intersect("wa", "wb")), F.size("wa"), F.size("wb")
     links = both.select("a", "b", c.alias("c"), na.alias("na"), nb.alias("nb")).where(F.col("c") * 1000 >= F.lit(round(threshold * 1000)) * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
     links = materialize(links)
-    discard(pairs, spots, have)
+    discard(pairs, have)
     return members, links
 
 
