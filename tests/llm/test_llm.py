@@ -536,6 +536,22 @@ def test_best_fit_keeps_every_constraint(rule):
     assert full.max() + 1 <= np.ceil(sizes.sum() / 100) * 1.05
 
 
+def test_attention_and_number_of_documents_open_containers():
+    # two of 95 and 5 would fit by their tokens, but not by their attention cost
+    assert len(set(packing.best_fit(np.array([95, 5]), 100, 50, 10000.0))) == 1
+    assert len(set(packing.best_fit(np.array([95, 5]), 100, 50, 9000.0))) == 2
+    assert len(set(packing.best_fit(np.ones(20, int), 100, 6, 9000.0))) == 4
+
+
+def test_lots_do_not_depend_on_the_layout(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice((None, i % 30)), " ".join("word" for _ in range(rng.randrange(60)))) for i in range(300)]
+    sizes = spark.createDataFrame([("slip", 64)], "container_name string, capacity_tokens int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [sorted(map(str, packing.pack(d, sizes).collect())) for d in (docs.coalesce(1), docs.repartition(7))]
+    assert made[0] == made[1]
+
+
 def test_packing_loses_nothing(spark):
     rng = random.Random(2)
     docs = spark.createDataFrame([(i, " ".join("word" for _ in range(rng.choice((0, 3, 50, 700))))) for i in range(80)] + [(90, None), (91, ""), (1, "again"), (None, "no id")], "doc_id long, text string")
