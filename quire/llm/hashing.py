@@ -17,9 +17,15 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Beyond this code point there are no letters.
+_ASSIGNED = 0x40000
+
+
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
+    found = np.zeros(sys.maxunicode + 1, bool)
+    found[:_ASSIGNED] = [chr(c).isalpha() for c in range(_ASSIGNED)]
+    return found
 
 
 def mix(x: np.ndarray) -> np.ndarray:

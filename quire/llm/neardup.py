@@ -216,13 +216,23 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, id): pairs ``a < b`` of a region, and ids of a dense one (without b). Of a region that
-    runs over a batch's end at most DENSE + 1 ids are kept."""
+    """Of rows sorted by key: pairs ``a < b`` of a region, and ids of a dense one (without b). Of a region that runs over
+    a batch's end at most DENSE + 1 ids are kept."""
     keep_key, keep_id, keep_mark = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
-    def pairs(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def distinct(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((mark, ids, key))
+        key, ids, mark = key[order], ids[order], mark[order]
         new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (mark[1:] != mark[:-1]))
-        key, ids, mark = key[new], ids[new], mark[new]
+        return key[new], ids[new], mark[new]
+
+    def pairs(key: np.ndarray, ids: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # most keys stand alone
+        same = key[1:] == key[:-1]
+        several = np.append(same, False) | np.append(False, same)
+        if not several.any():
+            return
+        key, ids, mark = distinct(key[several], ids[several], mark[several])
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(start, len(key)))
         dense = (size > DENSE) | np.logical_or.reduceat(mark, start)
@@ -239,7 +249,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids = batch.column(0), batch.column(1)
         if key.null_count:
             loose = key.is_null().to_numpy(zero_copy_only=False)
-            gone = np.unique(ids.to_numpy(zero_copy_only=False)[loose].astype(np.int64))
+            gone = np.unique(ids.fill_null(0).to_numpy()[loose])
             yield pa.record_batch([pa.array(gone), pa.nulls(len(gone), pa.int64())], schema=_PAIRS)
             keyed = batch.filter(pa.array(~loose))
             key, ids = keyed.column(0), keyed.column(1)
@@ -251,9 +261,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = np.searchsorted(key, key[-1])
         if cut:
             yield from pairs(key[:cut], ids[:cut], mark[:cut])
-        key, ids, mark = key[cut:], ids[cut:], mark[cut:]
-        new = np.append(True, (ids[1:] != ids[:-1]) | (mark[1:] != mark[:-1]))
-        key, ids, mark = key[new], ids[new], mark[new]
+        key, ids, mark = distinct(key[cut:], ids[cut:], mark[cut:])
         if len(key) > DENSE or mark.any():
             gone = ids[~mark]
             yield pa.record_batch([pa.array(gone), pa.nulls(len(gone), pa.int64())], schema=_PAIRS)
@@ -292,7 +300,7 @@ def candidates(keys: DataFrame, windows_of: Callable[[DataFrame], DataFrame], th
     """Pairs ``a < b`` of ids that are neighbours in some order, as a stored table. keys: id, near; ``windows_of`` gives
     the distinct windows (id, w) of a stored table of ids, for the texts of dense regions."""
     rows = keys.where("near IS NOT NULL").select("id", "near").mapInArrow(_orders, "key long, id long")
-    rows = rows.repartition(F.coalesce("key", "id")).sortWithinPartitions("key", "id")
+    rows = rows.repartition(F.coalesce("key", "id")).sortWithinPartitions("key")
     found = materialize(rows.mapInArrow(_neighbours, "a long, b long"))
     pairs = found.where("b IS NOT NULL")
     dense = materialize(found.where("b IS NULL").select(F.col("a").alias("id")).distinct())
