@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
 #: The characters Python's str.split() parts words at.
 SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{N}_]"
+#: What doesn't count in a title: bracketed parts and these signs.
+TITLE_NOISE = r"[(\[{].*?[)\]}]|[-_.,;:!?'\"]+"
 #: Limits of the quality score, the excerpt and the title.
 EXCERPT_CHARS, TITLE_CHARS = 400, 200
 
@@ -100,8 +103,7 @@ def title_from_filename(path: Column) -> Column:
 
 def title_key(title: Column) -> Column:
     """Lower case without bracketed parts and punctuation: the same for editions of one work."""
-    bare = F.regexp_replace(F.lower(title), r"\([^)]*\)|\[[^\]]*\]", " ")
-    return normalize_ws(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+    return normalize_ws(F.regexp_replace(F.lower(title), TITLE_NOISE, " "))
 
 
 def query_tokens(text: Column) -> Column:
@@ -178,8 +180,25 @@ def highlight(text: Column, query: Column) -> Column:
     return F.array_join(bind(F.coalesce(query_tokens(query), F.array().cast("array<string>")), marked), "")
 
 
+@lru_cache(maxsize=1)
+def _composed() -> dict[str, str]:
+    """Composed letters by their full decomposition."""
+    every = ((c, unicodedata.normalize("NFD", c)) for c in map(chr, (*range(0xC0, 0x1200), *range(0x1E00, 0x2000))))
+    return {d: c for c, d in every if d != c and unicodedata.normalize("NFC", d) == c and unicodedata.combining(d[-1])}
+
+
+def compose(text: Column) -> Column:
+    """Letters with combining marks as single characters (NFC), where there is one; marks in another order than the
+    canonical one stay as they are."""
+    table = F.create_map(*[F.lit(x) for pair in _composed().items() for x in pair])
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\P{Mn}\p{Mn}*|\p{Mn}+"), F.lit(0))
+    made = bind(table, lambda known: F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) > 1, F.coalesce(F.try_element_at(known, p), p)).otherwise(p)), ""))
+    return F.when(text.rlike(r"\p{Mn}"), made).otherwise(text)
+
+
 def ocr_normalize(text: Column) -> Column:
-    """Plain quotes and dashes, single spaces."""
+    """Composed letters, plain quotes and dashes, single spaces."""
+    text = compose(text)
     return normalize_ws(F.translate(text, "„“”‚‘’—–", "\"\"\"'''--"))
 
 
@@ -189,9 +208,19 @@ def cer(read: Column, truth: Column) -> Column:
 
 
 def garbage_ratio(text: Column) -> Column:
-    """Share of characters no printed page has; 0 for nothing."""
+    """Share of characters no printed page has; null for nothing."""
     good = r"[A-Za-zÀ-ÿĀ-ž0-9\s.,;:!?()\[\]\-'\"„“”‚‘’«»&/%§+*=°_—–]"
-    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, good, "")) / F.length(text)).otherwise(F.lit(0.0))
+    return F.when(F.length(text) > 0, F.length(F.regexp_replace(text, good, "")) / F.length(text))
+
+
+#: How titles begin that an export left behind.
+JUNK_TITLES = r"(?i)^(microsoft (word|powerpoint)|dokument\d*|document\d*|doc\d+|untitled|unbenannt|new document|scan\d*|print|acrobat|slide ?1|präsentation\d*)\b"
+
+
+def pick_title(*titles: Column, path: Column) -> Column:
+    """The first title that says something, else the one the file's name gives."""
+    fit = [F.when((F.length(t) > 0) & ~F.trim(t).rlike(JUNK_TITLES), t) for t in titles]
+    return F.coalesce(*fit, title_from_filename(path))
 
 
 def natural_key(name: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from quire.functions import text as T
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Both tables as one, of each key the row with the greatest ``order`` (rows of ``new`` win ties).
@@ -22,12 +24,14 @@ def changed_files(found: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def listing(books: DataFrame, book_files: DataFrame, status: str | None = None, search: str | None = None) -> DataFrame:
-    """Works with the number of their files, optionally by status and by a part of title or author (any case)."""
+    """Works with the number of their files, optionally by status and by a part of title or author, which is a pattern
+    with % and _ (any case)."""
     out = books
     if status is not None:
         out = out.where(F.col("status") == status)
     if search is not None:
-        like = lambda c: F.lower(F.coalesce(c, F.lit(""))).contains(search.lower())
+        pattern = "%" + search.lower().replace("\\", "\\\\") + "%"
+        like = lambda c: F.lower(F.coalesce(c, F.lit(""))).like(pattern)
         out = out.where(like("title") | like("author"))
     counts = book_files.dropDuplicates(["sha256"]).groupBy("book_id").agg(F.count("sha256").alias("files"))
     return out.join(counts, out["id"] == counts["book_id"], "left").select("id", "title", "author", "status", F.coalesce("files", F.lit(0)).alias("files"))
@@ -38,9 +42,12 @@ def primary_paths(book_files: DataFrame) -> DataFrame:
     return book_files.where("role = 'primary'").groupBy("book_id").agg(F.min("path").alias("path"))
 
 
-def awaiting(books: DataFrame, book_files: DataFrame, status: str = "awaiting_ocr") -> DataFrame:
-    """Works in a status with the path of their primary file."""
+def awaiting(books: DataFrame, book_files: DataFrame, status: str = "awaiting_ocr", limit: int | None = None) -> DataFrame:
+    """Works in a status with the path of their primary file; with a limit the first ones by id."""
     queue = books.where(F.col("status") == status).select("id", "language")
+    if limit is not None:
+        having = book_files.where("role = 'primary'").select(F.col("book_id").alias("id"))
+        queue = queue.join(having, "id", "left_semi").orderBy("id").limit(limit)
     return queue.join(primary_paths(book_files), F.col("id") == F.col("book_id")).select("id", "language", "path")
 
 
@@ -95,6 +102,27 @@ def retryable(books: DataFrame, book_files: DataFrame) -> tuple[DataFrame, DataF
     return again, books.join(again.select("id"), "id", "left_anti")
 
 
+def finalize(works: DataFrame, blocks: DataFrame, detected: DataFrame | None = None, chars: int = 12_000, least: float = 0.85) -> DataFrame:
+    """Works (book_id, title, author, language, path; survey_title, survey_author, survey_language) with their final
+    ``title, author, language, quality``.
+
+    Quality is scored on the first ``chars`` characters of the work's blocks, joined by spaces. The detected language
+    (book_id, lang, confidence) counts from ``least`` on, then the extracted one, then the survey's.
+    """
+    w = W.partitionBy("book_id").orderBy("seq")
+    slim = blocks.where("book_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["book_id", "seq"]).select("book_id", "seq", "text")
+    # blocks that begin within the sample: few of each work, however long it is
+    begins = F.coalesce(F.sum(F.length("text") + 1).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = slim.withColumn("_at", begins).where(F.col("_at") < chars).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("seq", "text"))).alias("x"))
+    scored = parts.select("book_id", F.round(T.quality_score(F.substring(F.array_join("x.text", " "), 1, chars)), 3).alias("quality"))
+    out = works.join(scored, "book_id", "left")
+    if detected is not None:
+        out = out.join(detected.select("book_id", F.when(F.col("confidence") >= least, F.col("lang")).alias("_lang")), "book_id", "left")
+    else:
+        out = out.withColumn("_lang", F.lit(None).cast("string"))
+    return out.select("book_id", T.pick_title(F.col("title"), F.col("survey_title"), path=F.col("path")).alias("title"), F.coalesce("author", "survey_author").alias("author"), F.coalesce("_lang", "language", "survey_language").alias("language"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+
+
 def show(books: DataFrame, book_files: DataFrame, blocks: DataFrame, book_id: int, first: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One work, its files by role, and its first blocks."""
     return books.where(F.col("id") == book_id), book_files.where(F.col("book_id") == book_id).orderBy("role", "path"), blocks.where(F.col("book_id") == book_id).dropDuplicates(["seq"]).orderBy("seq").limit(first)

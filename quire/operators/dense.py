@@ -20,8 +20,8 @@ def _unit(rows) -> np.ndarray:
 def cosine_top(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec_id", vector: str = "embedding", farthest: bool = False) -> DataFrame:
     """``query_id, key, score, rank``: the nearest (or farthest) ``top`` vectors of each query, ties by key.
 
-    queries: query_id and a vector column of the same length. Null vectors and vectors of another length than the
-    block's are left out; a vector of zeros has a similarity of 0 to all. Each partition keeps the best of its rows,
+    queries: query_id and a vector column. The commonest length among the queries' vectors counts (of equally common
+    ones the longest); null vectors and those of another length find nothing and are not found; a vector of zeros has a similarity of 0 to all. Each partition keeps the best of its rows,
     so what is merged is at most ``top`` rows a query and partition.
     """
     spark = vectors.sparkSession
@@ -57,12 +57,10 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, top: int, key: str = "vec
 
         return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInPandas(run, f"query_id {qkind}, {key} {kind}, score double")
 
-    width = None
-    for r in queries.select("query_id", vector).where(F.col(vector).isNotNull()).toLocalIterator():
-        if width is None:
-            width = len(r[vector])
-        if len(r[vector]) == width:
-            batch.append(r)
+    asked = queries.select("query_id", vector).where(F.col(vector).isNotNull())
+    widths = asked.groupBy(F.size(vector).alias("w")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col("w").desc()).first()
+    for r in asked.where(F.size(vector) == widths.w).toLocalIterator() if widths else ():
+        batch.append(r)
         if len(batch) == BLOCK:
             found = search(batch) if found is None else found.unionByName(search(batch))
             batch = []

@@ -31,14 +31,22 @@ def hydrate(hits: DataFrame, passages: DataFrame, details: DataFrame, key: str =
     return out.join(details, on or key) if details is not None else out
 
 
-def hybrid(passages: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, candidates: int = CANDIDATES, rerank: Callable[[Column, Column], Column] | None = None, key: str = "id") -> DataFrame:
+def works_of(hits: DataFrame, passages: DataFrame, books: DataFrame, paths: DataFrame, key: str = "id") -> DataFrame:
+    """Hits with their passage, the title, author and language of its work and the path of the work's primary file
+    (null where it has none); hits whose passage or work is gone are dropped. passages: key, book_id and more."""
+    details = books.select(F.col("id").alias("book_id"), "title", "author", "language").join(paths, "book_id", "left")
+    return hydrate(hits, passages.where("book_id IS NOT NULL"), details, key, "book_id")
+
+
+def hybrid(passages: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int = 10, candidates: int = CANDIDATES, rerank: Callable[[Column, Column], Column] | None = None, key: str = "id", index: lexical.Postings | None = None) -> DataFrame:
     """``query_id, key, score, rank``: both legs' best candidates, fused; optionally reranked by a column function of
     the query and the passage text.
 
     passages: key, text; vectors: key, embedding; queries: query_id, query, embedding (either may be null, which
-    leaves that leg out for the query).
+    leaves that leg out for the query); index: stored postings of the passages, else they are read here.
     """
-    lex = lexical.bm25(passages, queries.select("query_id", "query"), candidates, key)
+    asked = queries.select("query_id", "query")
+    lex = index.search(asked, candidates) if index is not None else lexical.bm25(passages, asked, candidates, key)
     den = dense.cosine_top(vectors, queries.select("query_id", "embedding"), candidates, key)
     fused = rrf([lex, den], key)
     if rerank is None:

@@ -1,10 +1,13 @@
-"""BM25 over a postings table."""
+"""BM25 over postings, made on the spot or kept as an index that grows by versions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.functions import text as T
+from quire.runtime import discard, materialize
 
 K1, B, LEAST_IDF, DIGITS = 1.2, 0.75, 1e-6, 9
 
@@ -25,23 +28,116 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return split.groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+class Postings:
+    """An inverted index under a shared path, kept by versions: ``terms`` (term, key, tf, dl), sorted by term, ``docs``
+    (key, dl) and ``gone`` (keys whose rows of earlier versions no longer count). A version counts once its mark is
+    written, after its tables."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id"):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _fs(self, name: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
+    def versions(self) -> list[int]:
+        fs, where = self._fs("done")
+        return sorted(int(x.getPath().getName()) for x in fs.listStatus(where)) if fs.exists(where) else []
+
+    def write(self, version: int, passages: DataFrame | None = None, gone: DataFrame | None = None, text: str = "text") -> None:
+        """Add passages (key, text) as ``version`` and take the keys in ``gone`` out of all earlier ones. A changed
+        passage is both. Doing a version again writes the same again."""
+        at = f"{version:09d}"
+        if passages is not None:
+            # the tokens are made once, and both tables read from them
+            tokens = materialize(passages.select(self.key, T.index_tokens(F.col(text)).alias("tokens")).select(self.key, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens"), free=False)
+            rows = tokens.select(self.key, "dl", F.explode("tokens").alias("term")).groupBy("term", self.key, "dl").agg(F.count("*").alias("tf"))
+            # a term that is in most passages is spread over several files, each of which holds few terms
+            rows.repartitionByRange("term", self.key).sortWithinPartitions("term").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/terms/{at}")
+            tokens.select(self.key, "dl").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/docs/{at}")
+            discard(tokens)
+        if gone is not None:
+            gone.select(self.key).distinct().write.mode("overwrite").parquet(f"{self.path}/gone/{at}")
+        fs, where = self._fs(f"done/{at}")
+        fs.create(where, True).close()
+
+    def _read(self, name: str) -> DataFrame:
+        """The live rows of a table."""
+        done = self.versions()
+        have = lambda kind: [v for v in done if (x := self._fs(f"{kind}/{v:09d}"))[0].exists(x[1])]
+        parts = [self.spark.read.parquet(f"{self.path}/{name}/{v:09d}").withColumn("_v", F.lit(v)) for v in have(name)]
+        if not parts:
+            raise ValueError(f"nothing is indexed under {self.path}")
+        rows = reduce(DataFrame.unionByName, parts)
+        dead = [self.spark.read.parquet(f"{self.path}/gone/{v:09d}").withColumn("_gone", F.lit(v)) for v in have("gone")]
+        if dead:
+            last = reduce(DataFrame.unionByName, dead).groupBy(self.key).agg(F.max("_gone").alias("_gone"))
+            rows = rows.join(last, self.key, "left").where("_gone IS NULL OR _v >= _gone").drop("_gone")
+        return rows.drop("_v")
+
+    def terms(self) -> DataFrame:
+        return self._read("terms")
+
+    def docs(self) -> DataFrame:
+        return self._read("docs")
+
+    def search(self, queries: DataFrame, top: int) -> DataFrame:
+        """As ``bm25``, without reading any text."""
+        return _ranked(self.terms(), self.docs(), queries, top, self.key)
+
+
+#: Query terms that may be broadcast; more are joined by shuffling.
+BROADCAST_TERMS = 500_000
+
+
+def _ranked(terms: DataFrame, docs: DataFrame, queries: DataFrame, top: int, key: str) -> DataFrame:
+    """The best ``top`` of each query, found by bounds on the score of each term.
+
+    A query's terms are ordered by the most each can add. The scores by its rarest terms alone give a score that its
+    best ``top`` reach at least; terms that together can't add as much (the common ones) find no passage of their own,
+    and are looked up only for passages that may still get among the best.
+    """
+    asked = materialize(query_terms(queries), free=False)
+    few = asked.count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    hits = materialize(terms.join(small(asked.select("term").distinct()), "term", "left_semi").select("term", key, "tf", "dl"), free=False)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    w = W.partitionBy("query_id").orderBy(F.col("most").desc(), "term")
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("most"), "df", "avgdl")
+    before = F.coalesce(F.sum("df").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum("most").over(w.rowsBetween(W.currentRow, W.unboundedFollowing))
+    weighted = materialize(weighted.select("*", before.alias("before"), rest.alias("rest")), free=False)
+    # this much of its most does a term add to a passage
+    part = F.col("most") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+    def scores(of: DataFrame) -> DataFrame:
+        return hits.join(small(of), "term").select("query_id", key, part.alias("part"), "most")
+
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
+    rare = scores(weighted.where(F.col("before") < top)).groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    reached = rare.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).groupBy("query_id").agg(F.when(F.count("*") == top, F.min("score")).alias("reached"))
+    bound = materialize(weighted.join(reached, "query_id", "left").withColumn("finds", F.col("reached").isNull() | (F.col("rest") >= F.col("reached") - 1e-6)), free=False)
+    found = scores(bound.where("finds")).groupBy("query_id", key).agg(F.sum("part").alias("score"))
+    others = bound.where("NOT finds")
+    if others.isEmpty():
+        full = found
+    else:
+        more = others.groupBy("query_id").agg(F.sum("most").alias("more"), F.first("reached").alias("reached"))
+        near = materialize(found.join(more, "query_id", "left").where("more IS NULL OR score + more >= reached - 1e-6").select("query_id", key, "score"), free=False)
+        added = scores(others).join(near.select("query_id", key), ["query_id", key], "left_semi").groupBy("query_id", key).agg(F.sum("part").alias("added"))
+        full = near.join(added, ["query_id", key], "left").select("query_id", key, (F.col("score") + F.coalesce("added", F.lit(0.0))).alias("score"))
+    rounded = full.select("query_id", key, F.round("score", DIGITS).alias("score"))
+    return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def bm25(passages: DataFrame, queries: DataFrame, top: int, key: str = "id", text: str = "text") -> DataFrame:
     """``query_id, key, score, rank``: the best ``top`` passages of each query by BM25, ties by key.
 
-    Terms of all queries first restrict the postings; document frequencies and lengths are of all passages. A query
-    without a token finds nothing.
+    Document frequencies and lengths are of all passages. A query without a token finds nothing. The passages are read
+    here and now; ``Postings`` keeps what was read.
     """
-    terms = query_terms(queries)
-    tokens = passages.select(key, T.index_tokens(F.col(text)).alias("tokens"))
-    sized = tokens.select(key, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = sized.select(key, "dl", F.explode("tokens").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = terms.join(df, "term").join(F.broadcast(stats), F.lit(True)).select("query_id", "term", "times", idf.alias("idf"), "avgdl")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = tf.join(weighted, "term").groupBy("query_id", key).agg(F.round(F.sum(part), DIGITS).alias("score"))
-    w = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    tokens = passages.select(key, T.index_tokens(F.col(text)).alias("tokens")).select(key, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens")
+    rows = tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    return _ranked(rows, tokens.select(key, "dl"), queries, top, key)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
+from quire.runtime import materialize
 
 #: Formats of the manifest, and the constants of the size estimates.
 EBOOKS = ("pdf", "epub", "mobi", "txt", "html", "fb2", "djvu")
@@ -104,13 +105,55 @@ def estimates(inputs: DataFrame, embed_rate: float = EMBED_RATE, ocr_rate: float
     return df.withColumn("ram_fit", fits).withColumn("embed_time", T.humanize_hours(F.col("embed_hours"))).withColumn("ocr_time", T.humanize_hours(F.col("ocr_hours")))
 
 
+def languages(files: DataFrame) -> DataFrame:
+    """Usable files and their bytes by language; files without one are counted in the totals."""
+    return group_counts(files.where(is_usable() & (F.col("language") != "")), "language")
+
+
+def recommendations(files: DataFrame) -> DataFrame:
+    """``topic, amount``: what the manifest calls for, with the figure behind it; ``proceed`` where it calls for nothing.
+
+    office files to convert; scanned files above a quarter of the usable ones; a vector index above half of the memory;
+    copies that waste more than 5 GB; archives to unpack; an unknown language on more than 30 % of the usable files.
+    """
+    usable = is_usable().cast("long")
+    counts = files.agg(
+        F.sum((F.col("format") == "doc").cast("long")).alias("office"), F.sum(usable).alias("usable"),
+        F.sum((is_ebook() & (F.col("text_class") == "scanned")).cast("long")).alias("scanned"), F.sum((is_usable() & (F.coalesce("language", F.lit("")) == "")).cast("long")).alias("unknown"),
+    )
+    # all of these are single rows
+    one = counts.crossJoin(duplicate_totals(files)).crossJoin(archives(files)).crossJoin(estimates(size_inputs(files)).select("vector_ram_gb"))
+    one = one.na.fill(0)
+    share = lambda c: F.col(c) / F.greatest("usable", F.lit(1))
+    rules = (
+        ("convert_office", F.col("office") > 0, "office"), ("recognise_scans", (F.col("usable") > 0) & (share("scanned") > 0.25), "scanned"),
+        ("index_on_disk", F.col("vector_ram_gb") > RAM_GB * 0.5, "vector_ram_gb"), ("skip_copies", F.col("wasted_bytes") > 5 * GB, "redundant_files"),
+        ("unpack_archives", F.col("archives") > 0, "archives"), ("detect_languages", (F.col("usable") > 0) & (share("unknown") > 0.3), "unknown"),
+    )
+    made = F.array_compact(F.array(*[F.when(when, F.struct(F.lit(topic).alias("topic"), F.col(c).cast("double").alias("amount"))) for topic, when, c in rules]))
+    none = F.array(F.struct(F.lit("proceed").alias("topic"), F.lit(0.0).alias("amount")))
+    return one.select(F.inline(F.when(F.size(made) > 0, made).otherwise(none)))
+
+
+def render(row) -> str:
+    """The report (its one row) as text for a console: a block for each part."""
+    import json
+
+    lines = []
+    for part, value in json.loads(row[0]).items():
+        lines.append(part)
+        for item in value if isinstance(value, list) else [value]:
+            lines.append("  " + "  ".join(f"{k}: {v:,}" if isinstance(v, int) else f"{k}: {v}" for k, v in item.items()))
+    return "\n".join(lines)
+
+
 def report(files: DataFrame) -> DataFrame:
-    """The whole report as one row of JSON, every part computed by its own aggregate."""
-    m = latest(files)
+    """The whole report as one row of JSON, every part computed by its own aggregate over the manifest as stored once."""
+    m = materialize(latest(files), free=False)
     one = totals(m)
     parts = {
         "formats": group_counts(m, "format"), "statuses": group_counts(m, "status"), "text_layer": text_layers(m), "duplicates": duplicate_totals(m), "works": works_estimate(m),
-        "problems": problem_counts(m), "archives": archives(m), "languages": group_counts(m.where(is_usable()), "language"), "estimates": estimates(size_inputs(m)),
+        "problems": problem_counts(m), "archives": archives(m), "languages": languages(m), "estimates": estimates(size_inputs(m)), "recommendations": recommendations(m),
     }
     row = one.select(F.to_json(F.struct("*")).alias("totals"))
     for name, df in parts.items():

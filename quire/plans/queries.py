@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,13 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import text as T
 from quire.operators import catalog, chunking, dedup, dense, evaluation, fusion, lexical, ocr_metrics, planner, report, sentence_filter
 from quire.operators.components import connected_components
-from quire.runtime import materialize, table
+from quire.runtime import fingerprint, materialize, shared_dir, table
 
 Q = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Q] = {}
 
-#: A fixed query set of the lexical searches.
-SEARCHES = ((1, "lighthouse keeper of the northern harbour"), (2, "Der Müller und die Bäckerei"), (3, "bibliothèque du monastère"), (4, "el almacén almacén"), (5, "сад за церковью"))
 TOP, CANDIDATES = 10, 50
 
 
@@ -57,7 +56,12 @@ def survey_by_status(spark, root):
 
 @query
 def survey_languages(spark, root):
-    return report.group_counts(_manifest(spark, root).where(report.is_usable()), "language")
+    return report.languages(_manifest(spark, root))
+
+
+@query
+def survey_recommendations(spark, root):
+    return report.recommendations(_manifest(spark, root))
 
 
 @query
@@ -134,11 +138,14 @@ def runs_with_files(spark, root):
 
 @query
 def format_magic(spark, root):
-    """Formats by the rule table, from names alone."""
+    """Formats by the rule table, from names alone, and from names and first bytes: each file begins as one of its
+    format does (txt and html as their text does)."""
     from quire.sources.files import detect_format
 
     m = _manifest(spark, root)
-    return m.select("path", detect_format(F.col("path"), F.lit("").cast("binary")).alias("by_name"))
+    begins = {"pdf": "255044462D312E37", "epub": "504B0304", "zip": "504B0304", "djvu": "41542654464F524D", "rar": "526172211A07", "7z": "377ABCAF271C", "fb2": "3C46696374696F6E426F6F6B3E", "mobi": "00" * 60 + "424F4F4B4D4F4249"}
+    head = F.coalesce(*[F.when(F.col("format") == k, F.unhex(F.lit(v))) for k, v in begins.items()], F.unhex(F.lit("2020")))
+    return m.select("path", detect_format(F.col("path"), F.lit("").cast("binary")).alias("by_name"), detect_format(F.col("path"), head).alias("by_content"))
 
 
 # ------------------------------------------------------------------ planning
@@ -175,9 +182,16 @@ def changed_files(spark, root):
     return catalog.changed_files(report.latest(files), old).select("path", "size", "mtime_ns", "probe_version")
 
 
+def _as_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The manifest as a dump of pages: every readable file is one, named alike in its folder."""
+    m = _manifest(spark, root).where(report.is_usable())
+    return m.withColumn("format", F.lit("html")).withColumn("path", F.concat(T.parent(F.col("path")), F.lit("/page 1"), T.basename(F.col("path"))))
+
+
 @query
 def exploded_dirs(spark, root):
-    return planner.exploded_dirs(planner.representatives(planner.candidates(_manifest(spark, root))))
+    """Folders whose readable files would be the chapters of one book, were they all pages."""
+    return planner.exploded_dirs(planner.representatives(planner.candidates(_as_pages(spark, root))))
 
 
 @query
@@ -188,7 +202,7 @@ def dir_titles(spark, root):
 
 @query
 def member_order(spark, root):
-    return planner.exploded_members(_manifest(spark, root))
+    return planner.exploded_members(_as_pages(spark, root))
 
 
 # ------------------------------------------------------------------ catalog
@@ -209,6 +223,22 @@ def awaiting_queue(spark, root):
     return catalog.awaiting(table(spark, root, "books"), table(spark, root, "book_files"))
 
 
+@query
+def awaiting_first(spark, root):
+    """The first five works of the queue, by id."""
+    return catalog.awaiting(table(spark, root, "books"), table(spark, root, "book_files"), limit=5)
+
+
+@query
+def final_titles(spark, root):
+    """Titles, authors, languages and qualities as they are settled after extraction: the work's own record first, then
+    the survey's of its primary file."""
+    books, files, m = table(spark, root, "books"), table(spark, root, "book_files"), _manifest(spark, root)
+    survey = catalog.primary_paths(files).join(m.select("path", F.col("title").alias("survey_title"), F.col("author").alias("survey_author"), F.col("language").alias("survey_language")), "path", "left")
+    works = books.select(F.col("id").alias("book_id"), "title", "author", "language").join(survey, "book_id", "left")
+    return catalog.finalize(works, table(spark, root, "blocks"))
+
+
 @query
 def primary_paths(spark, root):
     return catalog.primary_paths(table(spark, root, "book_files"))
@@ -216,7 +246,8 @@ def primary_paths(spark, root):
 
 @query
 def books_without_blocks(spark, root):
-    return catalog.without_blocks(table(spark, root, "books"), table(spark, root, "blocks"))
+    """Works that should have text and have none on numbered pages."""
+    return catalog.without_blocks(table(spark, root, "books"), table(spark, root, "blocks").where("page IS NOT NULL"))
 
 
 @query
@@ -371,10 +402,6 @@ def char_offsets(spark, root):
 # ------------------------------------------------------------------ search
 
 
-def _searches(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SEARCHES, "query_id int, query string")
-
-
 def _passages(spark: SparkSession, root: str) -> DataFrame:
     return _documents(spark, root).select(F.col("doc_id").alias("id"), "text")
 
@@ -389,15 +416,35 @@ def _cases(spark: SparkSession, root: str) -> DataFrame:
     return d.join(_vectors(spark, root).withColumnRenamed("id", "query_id"), "query_id", "left")
 
 
+def _index(spark: SparkSession, root: str) -> lexical.Postings:
+    """The stored postings of the documents; made once, and anew when the table's files change."""
+    of = fingerprint(spark, f"{root.rstrip('/')}/documents.parquet")
+    index = lexical.Postings(spark, f"{shared_dir(spark).rstrip('/')}/quire/postings/{of}")
+    if not index.versions():
+        index.write(0, _passages(spark, root))
+    return index
+
+
 @query
 def postings_stats(spark, root):
     """Document and collection frequency of every term."""
-    return lexical.postings(_passages(spark, root)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return _index(spark, root).terms().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query
+def postings_after_changes(spark, root):
+    """The same for an index of all documents from which those without a title were taken out again."""
+    index = lexical.Postings(spark, f"{shared_dir(spark).rstrip('/')}/quire/postings/{uuid.uuid4().hex}")
+    docs = _documents(spark, root)
+    index.write(0, _passages(spark, root))
+    index.write(1, gone=docs.where("title IS NULL").select(F.col("doc_id").alias("id")))
+    return index.terms().groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 @query
 def bm25_topk(spark, root):
-    return lexical.bm25(_passages(spark, root), _searches(spark), TOP).select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+    hits = _index(spark, root).search(_cases(spark, root).select("query_id", "query"), TOP)
+    return hits.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query
@@ -415,14 +462,14 @@ def cosine_bottomk(spark, root):
 @query
 def rrf_fusion(spark, root):
     c = materialize(_cases(spark, root))
-    lex = lexical.bm25(_passages(spark, root), c.select("query_id", "query"), CANDIDATES)
+    lex = _index(spark, root).search(c.select("query_id", "query"), CANDIDATES)
     den = dense.cosine_top(_vectors(spark, root), c.select("query_id", "embedding"), CANDIDATES, "id")
     return fusion.rrf([lex, den])
 
 
 @query
 def hybrid_search(spark, root):
-    out = fusion.hybrid(_passages(spark, root), _vectors(spark, root), materialize(_cases(spark, root)), TOP)
+    out = fusion.hybrid(_passages(spark, root), _vectors(spark, root), materialize(_cases(spark, root)), TOP, index=_index(spark, root))
     return out.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -434,6 +481,17 @@ def hydrate(spark, root):
     return fusion.hydrate(hits, docs, None)
 
 
+@query
+def hydrate_works(spark, root):
+    """Blocks found by the titles of every hundredth work, with the record and the primary file of their work."""
+    books, b = table(spark, root, "books"), _block_texts(spark, root).join(_blocks(spark, root).select((F.col("book_id") * 1_000_000 + F.col("seq")).alias("block_id"), "book_id", "seq"), "block_id").dropDuplicates(["block_id"]).withColumnRenamed("block_id", "id")
+    b = materialize(b)
+    asked = books.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.coalesce("title", F.lit("")).alias("query"))
+    hits = lexical.bm25(b.select("id", "text"), asked, TOP)
+    out = fusion.works_of(hits, b.select("id", "book_id", "seq"), books, catalog.primary_paths(table(spark, root, "book_files")))
+    return out.select("query_id", "id", F.col("rank").cast("long").alias("rank"), "score", "book_id", "seq", "title", "author", "language", "path")
+
+
 @query
 def substring_find(spark, root):
     return _manifest(spark, root).where(F.contains(F.lower(T.basename(F.col("path"))), F.lit("history"))).select("path")
@@ -454,10 +512,12 @@ def reachable(spark, root):
 
 
 def _first_ranks(spark, root):
-    """Golden cases: a document must be found by its own title; every hundredth document is one."""
+    """Golden cases: a document must be found by its own title and vector; every hundredth document is one."""
     docs = _documents(spark, root)
     cases = docs.where("doc_id % 100 = 0").select(F.col("doc_id").cast("int").alias("case_id"), F.coalesce("title", F.lit("")).alias("query"), F.col("doc_id").alias("book_id"), F.lit(None).cast("string").alias("book_match"), F.lit(None).cast("string").alias("must_contain"))
-    hits = lexical.bm25(_passages(spark, root), cases.select(F.col("case_id").alias("query_id"), "query"), TOP)
+    asked = cases.select(F.col("case_id").alias("query_id"), "query", "book_id")
+    asked = asked.join(_vectors(spark, root).withColumnRenamed("id", "book_id"), "book_id", "left").drop("book_id")
+    hits = fusion.hybrid(_passages(spark, root), _vectors(spark, root), materialize(asked), TOP, index=_index(spark, root))
     full = hits.join(docs.select(F.col("doc_id").alias("id"), "title", "text"), "id").select(F.col("query_id").alias("case_id"), "rank", F.col("id").alias("book_id"), "title", F.lit(None).cast("string").alias("author"), "text")
     return evaluation.first_ranks(cases, full)
 
@@ -543,11 +603,10 @@ def _engines(spark: SparkSession, root: str) -> DataFrame:
     return key.select(F.lit("plain").alias("engine"), "slug", "page", "text").unionByName(key.select(F.lit("worse").alias("engine"), "slug", "page", worse.alias("text")))
 
 
-def _scored(spark, root, known="page % 2 = 0"):
-    """Pages against the plain ones as true text, where it is known. The SQL of page_scores and engine_means knows it
-    for even pages only."""
+def _scored(spark, root):
+    """Pages against the plain ones as true text."""
     pages = _engines(spark, root)
-    truth = pages.where("engine = 'plain'").where(known).select("slug", "page", F.col("text").alias("truth"))
+    truth = pages.where("engine = 'plain'").select("slug", "page", F.col("text").alias("truth"))
     words = _documents(spark, root).select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿĀ-ž]{2,}"), F.lit(0))).alias("word"))
     return ocr_metrics.score_pages(pages, truth, words)
 
@@ -559,7 +618,7 @@ def page_scores(spark, root):
 
 @query
 def page_word_errors(spark, root):
-    return _scored(spark, root, "true").select("engine", "slug", "page", "wer")
+    return _scored(spark, root).select("engine", "slug", "page", "wer")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -53,6 +54,17 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Changes with the files under a path: their names, sizes and times."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True)
+    seen = hashlib.sha256()
+    while files.hasNext():
+        x = files.next()
+        seen.update(f"{x.getPath()} {x.getLen()} {x.getModificationTime()}\n".encode())
+    return seen.hexdigest()[:32]
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A Parquet table of the data folder; ``root`` may be a local path or any URI."""
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")

@@ -6,8 +6,11 @@ import html
 import io
 import posixpath
 import re
+import subprocess
+import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from urllib.parse import unquote
 
 import pandas as pd
@@ -67,32 +70,31 @@ def reading_order(z: zipfile.ZipFile) -> tuple[list[str], dict[str, str]]:
     return order or sorted((n for n in names if re.search(r"\.x?html?$", n, re.I)), key=natural), metadata(tree)
 
 
-def _chapter(parts: list[str], index: int | None, title: str | None, seq: int) -> list[tuple]:
-    out, offset = [], 0
-    for t in parts:
-        out.append((seq + len(out), t, len(t.split()), index, title, None, offset))
-        offset += len(t) + 1
-    return out
+def numbered(chapters: list[tuple[int | None, str | None, list[str]]]) -> list[tuple]:
+    """Block rows of chapters (number, title, paragraphs): numbered over the whole book, placed within their chapter as
+    if it were joined by line feeds."""
+    rows = []
+    for number, title, parts in chapters:
+        ends = list(accumulate((len(t) + 1 for t in parts), initial=0))
+        rows += [(t, len(t.split()), number, title, None, at) for t, at in zip(parts, ends)]
+    return [(seq, *row) for seq, row in enumerate(rows)]
 
 
 def read_epub(raw: bytes) -> tuple[list[tuple], dict]:
-    blocks: list[tuple] = []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         order, meta = reading_order(z)
-        for k, name in enumerate(order):
-            parts, heading = html_blocks(z.read(name).decode("utf-8", "replace"))
-            blocks += _chapter(parts, k, heading, len(blocks))
-    return blocks, meta
+        pages = [html_blocks(z.read(name).decode("utf-8", "replace")) for name in order]
+    return numbered([(k, heading, parts) for k, (parts, heading) in enumerate(pages)]), meta
 
 
 def read_txt(raw: bytes) -> tuple[list[tuple], dict]:
     parts = [x for p in re.split(r"\n\s*\n", decode(raw)) if (x := " ".join(p.split()))]
-    return _chapter(parts, None, None, 0), {}
+    return numbered([(None, None, parts)]), {}
 
 
 def read_html(raw: bytes) -> tuple[list[tuple], dict]:
     parts, heading = html_blocks(decode(raw))
-    return _chapter(parts, 0, heading, 0), {"title": heading} if heading else {}
+    return numbered([(0, heading, parts)]), {"title": heading} if heading else {}
 
 
 def read_pages(texts: list[str], ocr: Callable[[int], str] | None = None) -> list[tuple]:
@@ -108,6 +110,31 @@ def read_pages(texts: list[str], ocr: Callable[[int], str] | None = None) -> lis
     return out
 
 
+def layered_pages(layer: str | None, pages: int, ocr: Callable[[int], str] | None = None) -> list[tuple]:
+    """Block rows of a work of pictures: its hidden text layer (pages parted by form feeds) if that has PAGE_WORDS words
+    a page on average, else what the recogniser makes of each page."""
+    texts = (layer or "").split("\f")
+    if sum(len(t.split()) for t in texts) >= PAGE_WORDS * max(1, pages):
+        return read_pages((texts + [""] * pages)[:pages])
+    return read_pages([""] * pages, ocr)
+
+
+def converting_reader(command: list[str], ending: str, made: str = "epub", timeout: float = 240.0) -> Callable[[bytes], tuple[list[tuple], dict]]:
+    """A reader that has a program turn the file into a format there is a reader for. ``command``: words with {0} for the
+    file and {1} for what is to be made. A missing program, a failure or more than ``timeout`` seconds is an error."""
+
+    def read(raw: bytes) -> tuple[list[tuple], dict]:
+        with tempfile.TemporaryDirectory() as folder:  # the program's own files, gone when it ends
+            source, target = f"{folder}/in.{ending}", f"{folder}/out.{made}"
+            with open(source, "wb") as f:
+                f.write(raw)
+            subprocess.run([w.format(source, target) for w in command], check=True, capture_output=True, timeout=timeout)
+            with open(target, "rb") as f:
+                return READERS[made](f.read())
+
+    return read
+
+
 READERS: dict[str, Callable[[bytes], tuple[list[tuple], dict]]] = {"epub": read_epub, "txt": read_txt, "html": read_html, "fb2": read_html}
 _OUT = "book_key string, status string, title string, author string, language string, error string, blocks array<struct<seq:int,text:string,word_count:int,chapter_idx:int,chapter_title:string,page:int,char_offset:int>>"
 

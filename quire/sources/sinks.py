@@ -23,6 +23,49 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(max(done)) if done else None
 
 
+def commit_work(tables: dict[str, DataFrame], root: str, version: int) -> None:
+    """Several tables (works, their files and their blocks) under one version: readers see all of it or nothing, as
+    the version's mark is written after the last table. Doing it again overwrites what a stopped run left."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/v={version:09d}")
+    spark = df.sparkSession
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_done/{version:09d}")
+    mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def read_work(spark: SparkSession, root: str, name: str, key: str | None = None) -> DataFrame | None:
+    """A table of all versions with a mark; with a key, of each key the rows of its newest version only."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(f"{root}/_done")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(s.getPath().getName() for s in fs.listStatus(base)) if fs.exists(base) else []
+    if not done:
+        return None
+    df = spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/v={v}" for v in done])
+    if key is not None:
+        newest = df.groupBy(key).agg(F.max("v").alias("v"))
+        df = df.join(newest, [key, "v"], "left_semi")
+    return df.drop("v")
+
+
+def start_run(spark: SparkSession, path: str, run_id: int, root: str, sampled: bool, probe_version: int) -> None:
+    """Note that a survey has begun. Notes are only ever appended; ``runs`` folds them to one row a run."""
+    row = spark.createDataFrame([(run_id, root, sampled, probe_version)], "id long, root string, sampled boolean, probe_version int")
+    row.withColumn("started_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/started")
+
+
+def finish_run(spark: SparkSession, path: str, run_id: int, seen: int, probed: int, skipped: int, errors: int) -> None:
+    """Note that a survey has ended, with its counts."""
+    row = spark.createDataFrame([(run_id, seen, probed, skipped, errors)], "id long, files_seen long, files_probed long, files_skipped long, errors long")
+    row.withColumn("finished_at", F.current_timestamp()).write.mode("append").parquet(f"{path}/finished")
+
+
+def runs(started: DataFrame, finished: DataFrame) -> DataFrame:
+    """One row a run; of several notes on one end the last counts, and a run that wasn't finished has no end."""
+    last = finished.groupBy("id").agg(F.max_by(F.struct(*[c for c in finished.columns if c != "id"]), "finished_at").alias("x")).select("id", "x.*")
+    return started.join(last, "id", "left")
+
+
 def append_errors(errors: DataFrame, path: str) -> None:
     """Failures appended as they come; retries are rows of their own."""
     errors.select("path", "sha256", "stage", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(path)
