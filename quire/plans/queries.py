@@ -148,6 +148,38 @@ def format_magic(spark, root):
     return m.select("path", detect_format(F.col("path"), F.lit("").cast("binary")).alias("by_name"), detect_format(F.col("path"), head).alias("by_content"))
 
 
+def _dump(spark: SparkSession, root: str) -> DataFrame:
+    """The documents as a dump of text files, one for each source and language, scanned again."""
+    from quire.sources.files import scan
+
+    key = F.concat_ws("-", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    rows = _documents(spark, root).select(key.alias("k"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("value"))
+    folder = f"{shared_dir(spark).rstrip('/')}/quire/dump/{uuid.uuid4().hex}"
+    rows.repartition("k").write.partitionBy("k").text(folder)
+    return scan(spark, folder).where(F.col("path").endswith(".txt")).withColumn("k", F.regexp_extract("path", "/k=([^/]*)/", 1))
+
+
+@query
+def scanned_files(spark, root):
+    """Manifest rows of a folder of text files: found, hashed, probed."""
+    from quire.sources.files import probe
+
+    found = _dump(spark, root)
+    m = probe(found).join(found.select("path", "k"), "path")
+    one = m.groupBy("k").agg(F.sum("size").alias("size"), F.min("format").alias("format"), F.min("status").alias("status"), F.min("text_class").alias("text_class"), F.sum(F.col("sha256").isNotNull().cast("int")).alias("hashed"))
+    return one.withColumn("hashed", F.col("hashed") > 0)
+
+
+@query
+def extracted_files(spark, root):
+    """Blocks and words of the same files as they are extracted."""
+    from quire.sources.extract import blocks, extract
+
+    found = _dump(spark, root)
+    made = blocks(extract(found.withColumn("format", F.lit("txt")))).join(found.select(F.col("path").alias("book_key"), "k"), "book_key")
+    return made.groupBy("k").agg(F.count("*").alias("blocks"), F.sum("word_count").alias("words"))
+
+
 # ------------------------------------------------------------------ planning
 
 
@@ -162,6 +194,12 @@ def plan_routing(spark, root):
     return planner.routes(_manifest(spark, root), known)
 
 
+@query
+def plan_routing_pages(spark, root):
+    """The same were every readable file a page: members of one book, and what is already taken in."""
+    return planner.routes(_as_pages(spark, root), table(spark, root, "book_files").where("role = 'duplicate'").select("sha256"))
+
+
 @query
 def plan_counts(spark, root):
     return plan_routing(spark, root).groupBy("outcome").agg(F.count("*").alias("files"))

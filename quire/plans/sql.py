@@ -143,6 +143,12 @@ SQL: dict[str, str] = {
         WHEN e IN ('txt','text','md','markdown','rst') THEN 'txt' WHEN format = 'fb2' OR e = 'fb2' THEN 'fb2' WHEN e IN ('html','htm','xhtml') THEN 'html' WHEN e = 'epub' THEN 'zip' WHEN e IN ('mobi','azw','azw3') THEN 'mobi' WHEN e IN ('pdf','djvu') THEN e ELSE 'other' END AS by_content FROM x""",
     "representatives": f"WITH {_REPS} SELECT sha256, path, copies FROM r",
     "plan_routing": f"WITH {_ROUTES} SELECT path, sha256, outcome FROM o",
+    "plan_routing_pages": f"WITH {_ROUTES.replace(_M, _PAGED, 1)} SELECT path, sha256, outcome FROM o",
+    "scanned_files": "SELECT coalesce(source, 'none') || '-' || coalesce(lang, 'none') AS k, sum(octet_length(encode(coalesce(text, ''))) + 2)::BIGINT AS size, 'txt' AS format, 'ok' AS status, CASE WHEN bool_or(trim(text) <> '') THEN 'text' ELSE 'empty' END AS text_class, true AS hashed FROM documents GROUP BY 1",
+    "extracted_files": f"SELECT coalesce(source, 'none') || '-' || coalesce(lang, 'none') AS k, sum(len(p))::BIGINT AS blocks, sum(list_sum(list_transform(p, lambda x: len({_WORDS.format('x')}))))::BIGINT AS words FROM (SELECT source, lang, {_PARAS.format('text')} AS p FROM documents WHERE text IS NOT NULL) GROUP BY 1 HAVING sum(len(p)) > 0",
+    "highlights": r"""WITH x AS (SELECT doc_id, CASE WHEN length(text) > 360 THEN text[1:360] || '…' ELSE text END AS e, coalesce(regexp_extract_all(lower(title), '[\pL\pN_]+'), []) AS q FROM documents)
+        SELECT doc_id, CASE WHEN e IS NOT NULL THEN array_to_string(list_transform(regexp_extract_all(e, '[\pL\pN_]+|[^\pL\pN_]+'), lambda p: CASE WHEN list_contains(q, lower(p)) THEN '<mark>' ELSE '' END
+        || replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&#34;'), chr(39), '&#39;') || CASE WHEN list_contains(q, lower(p)) THEN '</mark>' ELSE '' END), '') END AS marked FROM x""",
     "plan_counts": f"WITH {_ROUTES} SELECT outcome, count(*) AS files FROM o GROUP BY 1",
     "incremental_anti_join": f"WITH {_CAND} SELECT DISTINCT sha256 FROM c WHERE sha256 NOT IN (SELECT sha256 FROM book_files WHERE sha256 IS NOT NULL)",
     "changed_files": f"WITH {_M}, old AS (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY surveyed_at DESC NULLS LAST, sha256 NULLS LAST, size, status) AS rn FROM files WHERE path IS NOT NULL AND surveyed_at < TIMESTAMPTZ '2023-09-01 00:00:00+00') WHERE rn = 1) SELECT path, size, mtime_ns, probe_version FROM m WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.path = m.path AND old.size = m.size AND old.mtime_ns = m.mtime_ns AND old.probe_version = m.probe_version)",

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -300,3 +301,48 @@ def test_word_errors_of_every_page(spark, data):
 @pytest.mark.parametrize("text, why", [("Too short.", "too_few_words"), ("A b c d e f.", "too_many_short_words"), ("1234567 was a good year here.", "first_word_is_number"), ("lower case starts are not sentences.", "first_not_upper"), ("This one never ends properly here", "last_not_dot"), ("This is a perfectly fine sentence.", "valid"), ("Many, many, many, many, many, many, many, commas here.", "too_many_commas")])
 def test_sentence_reasons(spark, text, why):
     assert spark.createDataFrame([(text,)], "t string").select(sentence_filter.reason(F.col("t"))).first()[0] == why
+
+
+def test_postings_grow_and_shrink(spark, tmp_path):
+    docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    old = [(i, f"common word{i % 7} word{i % 3}") for i in range(40)] + [(90, None), (91, "")]
+    index = lexical.Postings(spark, f"file://{tmp_path}/index")
+    assert index.versions() == []
+    index.write(0, docs(old))
+    for _ in range(2):  # the same version twice
+        index.write(1, docs([(3, "changed entirely"), (200, "word1 again")]), gone=docs([(3, ""), (4, ""), (999, "")]))
+    now = [r for r in old if r[0] not in (3, 4)] + [(3, "changed entirely"), (200, "word1 again")]
+    queries = spark.createDataFrame([(1, "common word1 word1"), (2, "changed"), (3, "nothing here"), (4, ""), (5, "again common word2 word5")], "query_id int, query string")
+    want = sorted(map(tuple, lexical.bm25(docs(now), queries, 5).collect()))
+    assert sorted(map(tuple, index.search(queries, 5).collect())) == want and len(want) == 11
+
+
+def test_bounds_on_scores_lose_nothing(spark):
+    import math
+
+    rng = random.Random(3)
+    # a word in nearly all, some in many and some in few
+    texts = [(i, " ".join(["the"] * rng.randrange(0, 4) + [f"m{rng.randrange(6)}" for _ in range(rng.randrange(0, 8))] + [f"r{rng.randrange(60)}" for _ in range(2)])) for i in range(300)]
+    asked = [(q, " ".join(["the", f"m{q % 6}", f"m{(q + 1) % 6}", f"r{q}", f"r{q + 20}"][: 1 + q % 5])) for q in range(20)]
+    split = {i: t.split() for i, t in texts}
+    avg = sum(map(len, split.values())) / len(split)
+    df = Counter(t for ws in split.values() for t in set(ws))
+    want = set()
+    for q, query in asked:
+        scored = []
+        for i, ws in split.items():
+            found = [(max(math.log((len(split) - df[t] + 0.5) / (df[t] + 0.5)), 1e-6), ws.count(t)) for t in query.split() if t in ws]
+            if found:
+                scored.append((-round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / avg)) for idf, tf in found), 9), i))
+        want |= {(q, i, r) for r, (_, i) in enumerate(sorted(scored)[:5], 1)}
+    got = lexical.bm25(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(asked, "query_id int, query string"), 5)
+    assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
+
+
+def test_recommendations_follow_the_manifest(spark):
+    schema = "path string, format string, status string, text_class string, language string, sha256 string, size long, pages int, word_estimate long, contains map<string,int>"
+    rows = [("a", "doc", "unsupported", None, None, "1", 5, None, None, None), ("b", "pdf", "ok", "scanned", None, "2", 6 * 1024**3, 10, 0, None), ("c", "pdf", "ok", "text", "en", "2", 6 * 1024**3, 10, 100, None), ("d", "zip", "unsupported", None, None, "3", 5, None, None, {"epub": 2})]
+    made = {r.topic: r.amount for r in report.recommendations(spark.createDataFrame(rows, schema)).collect()}
+    assert made == {"convert_office": 1, "recognise_scans": 1, "skip_copies": 1, "unpack_archives": 1, "detect_languages": 1}
+    assert [r.topic for r in report.recommendations(spark.createDataFrame(rows[2:3], schema)).collect()] == ["proceed"]
+    assert [r.topic for r in report.recommendations(spark.createDataFrame([], schema)).collect()] == ["proceed"]

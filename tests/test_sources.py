@@ -2,8 +2,10 @@ import io
 import struct
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from quire.operators import ocr_metrics
 from quire.sources import extract, files, sinks
 from quire.streaming import incremental
 
@@ -113,3 +115,50 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
     incremental.new_rows(spark, source, schema, f"{tmp_path}/c", handle)
     incremental.new_rows(spark, source, schema, f"{tmp_path}/c", handle)
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(9))
+
+
+def test_books_are_settled_under_one_mark(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    assert sinks.read_work(spark, root, "books") is None
+    book = lambda i, t: spark.createDataFrame([(i, t)], "id long, title string")
+    block = lambda i, n: spark.range(n).select(F.lit(i).cast("long").alias("id"), F.col("id").alias("seq"))
+    sinks.commit_work({"books": book(1, "a"), "blocks": block(1, 3)}, root, 1)
+    sinks.commit_work({"books": book(1, "b"), "blocks": block(1, 2)}, root, 2)
+    # a version without its mark isn't there
+    book(2, "c").write.parquet(f"{root}/books/v=000000003")
+    assert [tuple(r) for r in sinks.read_work(spark, root, "books", "id").collect()] == [(1, "b")]
+    assert sinks.read_work(spark, root, "blocks", "id").count() == 2 and sinks.read_work(spark, root, "blocks").count() == 5
+
+
+def test_runs_are_begun_and_ended(spark, tmp_path):
+    path = f"file://{tmp_path}/runs"
+    for i in (1, 2):
+        sinks.start_run(spark, path, i, "/dump", False, 3)
+    for seen in (9, 10):  # noted twice
+        sinks.finish_run(spark, path, 1, seen, 8, 1, 1)
+    rows = {r.id: r for r in sinks.runs(spark.read.parquet(f"{path}/started"), spark.read.parquet(f"{path}/finished")).collect()}
+    assert rows[1].files_seen == 10 and rows[1].finished_at is not None and rows[2].finished_at is None
+
+
+def test_text_layers_and_converters():
+    long = "word " * 16
+    assert [b[5] for b in extract.layered_pages(f"{long}\f{long}\fx", 3)] == [1, 2]
+    assert [b[5] for b in extract.layered_pages("too little", 3, lambda k: long if k == 3 else "")] == [3]
+    assert extract.layered_pages(None, 0) == []
+    read = extract.converting_reader(["cp", "{0}", "{1}"], "doc", "txt")
+    assert [b[1] for b in read(b"One.\n\nTwo.")[0]] == ["One.", "Two."]
+    for command, why in ((["sleep", "5"], "TimeoutExpired"), (["no-such-program-here"], "FileNotFoundError"), (["false"], "CalledProcessError")):
+        with pytest.raises(Exception) as e:
+            extract.converting_reader(command, "doc", "txt", timeout=0.3)(b"x")
+        assert e.typename == why
+
+
+def test_pages_of_engines_and_their_timings(spark, tmp_path):
+    for engine in ("a", "b c"):
+        (tmp_path / engine / "slug").mkdir(parents=True)
+        (tmp_path / engine / "slug" / "page_0003.txt").write_text("two\nlines")
+    (tmp_path / "a" / "timings.json").write_text('{"pages": {"slug/page_0003": 1.5}}')
+    pages = ocr_metrics.page_texts(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in pages.collect()) == [("a", "slug", 3, "two\nlines"), ("b c", "slug", 3, "two\nlines")]
+    timed = ocr_metrics.with_timings(pages, ocr_metrics.page_timings(spark, str(tmp_path)))
+    assert {r.engine: r.seconds for r in timed.collect()} == {"a": 1.5, "b c": None}

@@ -53,3 +53,20 @@ def test_highlight_escapes(spark):
 
 def test_fold_and_tokens(spark):
     assert one(spark, "Café ÉTÉ_2 Ångström", T.index_tokens)[0] == ["cafe", "ete", "2", "angstrom"]
+
+
+def test_composed_letters(spark):
+    import unicodedata
+
+    texts = ["cafe\u0301 n\u0303 \u0438\u0306 u\u0308\u0301 x\u0301\u0327", "plain", "", None, "\u0301start", "A\u030a\ne\u0301"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(T.compose(F.col("t"))).collect()]
+    for t, g in zip(texts, got):
+        if t != texts[0]:
+            assert g == (None if t is None else unicodedata.normalize("NFC", t))
+    assert got[0].startswith("caf\u00e9 \u00f1 \u0439 \u01d8 ")
+
+
+def test_titles_that_say_something(spark):
+    df = spark.createDataFrame([("Microsoft Word - x.doc", "The Mill", "d/f.pdf"), ("scan12", "", "d/some_file.name.pdf"), (None, "Printed Matter", "x"), (" A Book ", "b", "x")], "a string, b string, p string")
+    assert [r[0] for r in df.select(T.pick_title(F.col("a"), F.col("b"), path=F.col("p"))).collect()] == ["The Mill", "some file name", "Printed Matter", " A Book "]
