@@ -23,7 +23,7 @@ def word_errors(read: Column, truth: Column) -> Column:
 def page_texts(spark: SparkSession, root: str) -> DataFrame:
     """``engine, slug, page, text`` of outputs stored as ``engine/slug/page_0003.txt`` below ``root``."""
     parts = F.regexp_extract_all("path", F.lit(r"[^/]+"), F.lit(0))
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "page_*.txt").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "page_*.txt").text(root, wholetext=True)
     named = raw.select("value", F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")).alias("path")).withColumn("p", parts)
     at = lambda k: F.element_at("p", -k)
     return named.select(at(3).alias("engine"), at(2).alias("slug"), F.regexp_extract(at(1), r"(\d+)", 1).cast("int").alias("page"), F.col("value").alias("text"))
@@ -31,7 +31,7 @@ def page_texts(spark: SparkSession, root: str) -> DataFrame:
 
 def page_timings(spark: SparkSession, root: str) -> DataFrame:
     """``engine, slug, page, seconds`` of the files ``engine/timings.json`` (an object ``pages`` of seconds by slug/page)."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "timings.json").text(root)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "timings.json").text(root, wholetext=True)
     pages = F.from_json(F.get_json_object("value", "$.pages"), "map<string,double>")
     rows = raw.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("engine"), F.explode(pages).alias("k", "seconds"))
     return rows.select("engine", F.split("k", "/")[0].alias("slug"), F.regexp_extract("k", r"(\d+)$", 1).cast("int").alias("page"), "seconds")
