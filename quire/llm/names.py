@@ -1,12 +1,14 @@
 """Variant spellings of one person's or organisation's name.
 
-Names become vectors of character n-grams weighted by the third power of their inverse document frequency. A sparse cosine join
-finds all pairs of at least JOIN: of each vector only the rarest n-grams are indexed, as many as are needed so
-that the rest alone cannot reach JOIN (no best-n cut, so no partner is lost). Pairs whose words contradict each
-other are dropped, and the connected rest is grouped by average linkage under the same contradictions.
-
-Words within one edit of a far commoner word of the same list are read as its typing errors; that reading, initials,
-abbreviations and short forms of given names decide what is a contradiction.
+Names become vectors of character n-grams, weighted by inverse document frequency. A sparse cosine join finds all pairs
+of at least JOIN (in vectors of 3- to 5-grams by the third power of the weight, so that common endings count for
+little): of each vector only the rarest n-grams are indexed, as many as are needed so that the rest alone cannot reach
+JOIN. There is no best-n cut, so no partner is lost. Pairs whose words contradict each other count as not similar;
+then average linkage groups what is left, contradictions included in the averages: a few errors don't part a group,
+and a chain of likenesses doesn't join two.
+
+The linkage is worked out on the edges themselves, in rounds that join all pairs of groups that are each other's
+nearest; for average linkage that gives the groups of the one-by-one order. No component is ever collected.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.hashing import mix
-from quire.operators.components import connected_components
-from quire.runtime import materialize
+from quire.llm.neardup import pairs_within
+from quire.runtime import discard, materialize
 
-JOIN, LINK, RARE, SLOTS = 0.33, 0.25, 8, 1 << 20
+#: Least cosine of the join, least average cosine of a group, slots of the n-grams (rarer ones share slots).
+JOIN, LINK, SLOTS = 0.2, 0.22, 1 << 20
+#: Words as alike as this share of their pairs of letters may be one word with errors.
+ALIKE = 0.7
 
 #: Strings that name nobody, and words that are no part of a name.
 FILLERS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "author unknown", "author", "anonymous", "anon", "anon.", "various", "various authors", "various artists", "admin", "administrator", "user", "owner", "root", "default", "test", "unbekannt", "anonyme", "anonimo", "anónimo", "untitled", "n.n.", "nn", "s.n.", "sn")
@@ -53,7 +58,7 @@ def parse(name: str) -> tuple[tuple[tuple[str, bool], ...], int]:
     out, last_before = [], []
     for m in _WORD.finditer(name):
         word = "".join(c for c in unicodedata.normalize("NFKD", m[1].lower().translate(_PLAIN)) if not unicodedata.combining(c))
-        if word in HONORIFICS or word in LINKING and len(word) > 1 or word == "f" and "Heimat" in name:
+        if word in HONORIFICS or word in LINKING and len(word) > 1:
             continue
         if 0 <= m.start() < comma:
             last_before.append(len(out))
@@ -77,59 +82,82 @@ def one_edit(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] if len(a) > len(b) else a[i:] == b[i + 1 :]
 
 
+def canonical(name: str) -> str:
+    """The words of a name, folded, the surname last; one that is cut short ends in a point."""
+    words, k = parse(name)
+    return " ".join(w + "." * cut for w, cut in (*words[:k], *words[k + 1 :], *words[k : k + 1]))
+
+
+def _words(canonical: str) -> list[tuple[str, bool]]:
+    return [(w.rstrip("."), w.endswith(".")) for w in canonical.split(" ")]
+
+
+def _alike(a: str, b: str) -> float:
+    """The share of common pairs of letters of two words."""
+    pairs = [{p[i : i + 2] for i in range(len(p) - 1)} for p in (f" {a} ", f" {b} ")]
+    return 2 * len(pairs[0] & pairs[1]) / (len(pairs[0]) + len(pairs[1]))
+
+
+@lru_cache(maxsize=200_000)
 def _word_fits(a: str, cut_a: bool, b: str, cut_b: bool) -> bool:
-    if a == b:
-        return True
-    if len(a) > 6 and len(b) > 6 and (a == b + "er" or b == a + "er"):  # places as adjectives
+    """Whether two words may be one: equal, one the beginning of the other, one with errors of the other, or short forms."""
+    if a == b or cut_a and b.startswith(a) or cut_b and a.startswith(b):
         return True
     forms_a, forms_b = SHORT.get(a, a).split(), SHORT.get(b, b).split()
-    if set(forms_a) & set(forms_b):
+    if set(forms_a) & set(forms_b) or cut_a and any(x.startswith(a) for x in forms_b) or cut_b and any(x.startswith(b) for x in forms_a):
         return True
-    if cut_a and any(x.startswith(a) for x in (b, *forms_b)):
+    shorter, longer = sorted((a, b), key=len)
+    if len(shorter) > 5 and longer.startswith(shorter) or len(shorter) > 3 and (one_edit(a, b) or _alike(a, b) >= ALIKE):
         return True
-    return cut_b and any(x.startswith(b) for x in (a, *forms_a))
+    # a short word may be a short form that no list has
+    return not cut_a and not cut_b and len(shorter) <= 4 and a[0] == b[0]
 
 
-def agree(a: tuple, b: tuple) -> bool:
-    """Whether two parsed names (words, place of the surname) may name the same: every word of the one with fewer
-    words finds its own word in the other, surnames meet, and only initials, or all given names, may be missing."""
-    (wa, sa), (wb, sb) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    if not wa or not wb or wa[sa][1] or wb[sb][1]:
-        return False
-    if len(wa) == 1:
-        return wa[0][0] == wb[sb][0] and len(wb) <= 3
-    free = list(range(len(wb)))
-    for word, cut in sorted(wa, key=lambda x: (x[1], len(x[0]) == 1)):
-        fits = [k for k in free if _word_fits(word, cut, *wb[k])]
+def contradict(a: str, b: str) -> bool:
+    """Whether two canonical names can't name the same: some word of the one with fewer words finds no word of its own
+    in the other, or more than initials is left over there (but a surname may stand alone)."""
+    few, many = sorted((_words(a), _words(b)), key=len)
+    if len(few) == 1 and (few[0][1] or not (few[0][0] == many[-1][0] or one_edit(few[0][0], many[-1][0]) or _alike(few[0][0], many[-1][0]) >= ALIKE)):
+        return True
+    free = list(range(len(many)))
+    for word, cut in sorted(few, key=lambda x: (x[1], len(x[0]) == 1)):
+        fits = [k for k in free if _word_fits(word, cut, *many[k])]
         if not fits:
-            return False
+            return True
         # a whole word first, then initials
-        free.remove(min(fits, key=lambda k: (wb[k][0] != word, wb[k][1] and len(wb[k][0]) == 1, k)))
-    if not all(len(wb[k][0]) == 1 for k in free):
-        return False
-    # the surname of one must not be the given name of the other
-    return any(_word_fits(*w, *wb[sb]) for w in wa) and any(_word_fits(*w, *wa[sa]) for w in wb)
+        free.remove(min(fits, key=lambda k: (many[k][0] != word, many[k][1] and len(many[k][0]) == 1, k)))
+    return len(few) > 1 and any(len(many[k][0]) > 1 for k in free)
 
 
-def _grams(words: tuple[tuple[str, bool], ...]) -> np.ndarray:
-    """Slots of the 3- to 5-grams of the padded words."""
+def _grams(canonical: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the 2- to 5-grams of the words (and of what they are short for) and of their initials; and the length
+    of each, 0 for an initial."""
     found = set()
-    for w, _ in words:
-        w = f" {w} "
-        found.update(w[i : i + k] for k in (3, 4, 5) for i in range(len(w) - k + 1))
-    codes = np.array([list(g.ljust(5, "\0").encode("utf-32-le")) for g in found], np.uint8).reshape(-1, 20).view("<u4").astype(np.uint64)
-    key = np.zeros(len(codes), np.uint64)
+    for w, cut in _words(canonical):
+        for form in {w, *(() if cut else SHORT.get(w, "").split())}:
+            found.add((0, form[0]))
+            p = f"^{form}" if cut else f"^{form}$"
+            found.update((k, p[i : i + k]) for k in (2, 3, 4, 5) for i in range(len(p) - k + 1))
+    sizes, grams = zip(*sorted(found))
+    codes = np.array([list(g.ljust(5, "\0").encode("utf-32-le")) for g in grams], np.uint8).reshape(-1, 20).view("<u4").astype(np.uint64)
+    sizes = np.array(sizes)
+    key = sizes.astype(np.uint64)
     for k in range(5):
         key = mix(key * np.uint64(31) + codes[:, k])
-    return np.unique((key % np.uint64(SLOTS)).astype(np.int64))
+    slots, first = np.unique((key % np.uint64(SLOTS)).astype(np.int64), return_index=True)
+    return slots, sizes[first]
 
 
-def vector(words: tuple, weight: np.ndarray) -> dict[int, float]:
-    slots = _grams(words)
-    w = weight[slots]
-    slots, w = slots[w > 0], w[w > 0]
-    norm = float(np.sqrt((w * w).sum())) or 1.0
-    return dict(zip(slots.tolist(), (w / norm).tolist()))
+def vectors(canonical: str, weight: np.ndarray) -> tuple[dict[int, float], dict[int, float]]:
+    """Two vectors of unit length by slot: steeply weighted 3- to 5-grams, and plainly weighted 2- to 4-grams."""
+    slots, size = _grams(canonical)
+    out = []
+    for inside, power in (((size == 0) | (size > 2), 3), (size < 5, 1)):
+        w = weight[slots[inside]] ** power
+        some = w > 0
+        norm = float(np.sqrt((w * w).sum())) or 1.0
+        out.append(dict(zip(slots[inside][some].tolist(), (w[some] / norm).tolist())))
+    return out[0], out[1]
 
 
 def cosine(a: dict[int, float], b: dict[int, float]) -> float:
@@ -150,176 +178,109 @@ def distinct_names(*columns: DataFrame) -> DataFrame:
     return every.groupBy("name").agg(F.count("*").alias("rows"))
 
 
-def word_hubs(names: DataFrame) -> DataFrame:
-    """``(word, hub)`` of words read as typing errors of a commoner word one edit away. names: name, rows."""
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [(w, n) for name, n in zip(pdf["name"], pdf["rows"]) for w in {x for x, cut in parse(name)[0] if not cut and len(x) > 3}]
-            if out:
-                yield pd.DataFrame(out, columns=["word", "rows"])
-
-    table = materialize(names.mapInPandas(words, "word string, rows long").groupBy("word").agg(F.count("*").alias("n"), F.sum("rows").alias("rows")))
-    near = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.lit(1000))))))
-    keys = table.select("word", "n", "rows", F.explode(near).alias("key"))
-    a, b = keys.alias("a"), keys.alias("b")
-    bigger = F.expr("b.n > a.n OR (b.n = a.n AND (b.rows > a.rows OR (b.rows = a.rows AND b.word < a.word)))")
-    enough = F.expr("a.n <= 2 OR b.n >= 4 * a.n")
-    pairs = a.join(b, "key").where((F.col("a.word") != F.col("b.word")) & bigger & enough).select(F.col("a.word").alias("word"), F.col("b.word").alias("hub"), F.col("b.n").alias("n")).distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf[[one_edit(x, y) for x, y in zip(pdf["word"], pdf["hub"])]]
-
-    best = pairs.mapInPandas(verify, "word string, hub string, n long").groupBy("word").agg(F.max(F.struct("n", "hub")).alias("x"))
-    hubs = materialize(best.select("word", F.col("x.hub").alias("hub")))
-    # the error of an error goes to the word itself
-    onward = hubs.select(F.col("word").alias("hub"), F.col("hub").alias("onward"))
-    return materialize(hubs.join(onward, "hub", "left").select("word", F.coalesce("onward", "hub").alias("hub")))
-
-
-def read_words(names: DataFrame, hubs: DataFrame) -> DataFrame:
-    """``name, words, read, surname``: the words as typed and as read, joined by spaces (a cut one ends in a point)."""
-
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(name, k, w, cut, parse(name)[1]) for name in pdf["name"] for k, (w, cut) in enumerate(parse(name)[0])]
-            if rows:
-                yield pd.DataFrame(rows, columns=["name", "k", "word", "cut", "surname"])
-
-    parts = names.mapInPandas(split, "name string, k int, word string, cut boolean, surname int").join(hubs, "word", "left")
-    typed = F.concat("word", F.when(F.col("cut"), ".").otherwise(""))
-    read = F.concat(F.coalesce("hub", "word"), F.when(F.col("cut"), ".").otherwise(""))
-    rows = parts.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("k", typed.alias("t"), read.alias("r")))).alias("x"), F.first("surname").alias("surname"))
-    return rows.select("name", F.array_join("x.t", " ").alias("words"), F.array_join("x.r", " ").alias("read"), "surname")
-
-
-def _both(typed: str, read: str) -> tuple:
-    """The words of a spelling and of its reading: what its vector is made of."""
-    return (*_unjoin(typed, 0)[0], *_unjoin(read, 0)[0])
-
+def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
+    """``id, grp`` of all ids in ``edges`` (a < b, sim): groups of average linkage that stop at ``least``, named by their
+    smallest id; pairs without an edge have a similarity of 0.
 
-def _unjoin(words: str, surname: int) -> tuple[tuple[tuple[str, bool], ...], int]:
-    return tuple((w.rstrip("."), w.endswith(".")) for w in words.split(" ")), surname
-
-
-def linkage(names: list[tuple[str, int]], typed: list[list[str]], weight: np.ndarray) -> list[int]:
-    """Average linkage of groups that must not be joined when any of their names contradict.
-
-    names: the words as read and the surname's place; typed: the spellings behind each. The average similarity of
-    two groups is the product of their vector sums over the product of their sizes.
+    In each round all pairs of groups that are each other's nearest are joined; of equally near ones the pair of the
+    smallest ids counts, so there is always such a pair. Sums and sizes are added up by partial aggregation.
     """
-    parsed = [[_unjoin(*x)] for x in names]
-    sums: list[dict[int, float]] = []
-    size = [len(t) for t in typed]
-    for (read, _), spellings in zip(names, typed):
-        total: dict[int, float] = {}
-        for s in spellings:
-            for k, x in vector(_both(s, read), weight).items():
-                total[k] = total.get(k, 0.0) + x
-        sums.append(total)
-    group, alive = list(range(len(names))), list(range(len(names)))
-    score: dict[tuple[int, int], float] = {}
-    for x, i in enumerate(alive):
-        for j in alive[x + 1 :]:
-            if agree(parsed[i][0], parsed[j][0]):
-                score[i, j] = cosine(sums[i], sums[j]) / (size[i] * size[j])
-    while score:
-        (i, j), best = max(score.items(), key=lambda x: (x[1], -x[0][0], -x[0][1]))
-        if best < LINK:
-            break
-        for k, x in sums[j].items():
-            sums[i][k] = sums[i].get(k, 0.0) + x
-        size[i] += size[j]
-        parsed[i] += parsed[j]
-        group = [i if g == j else g for g in group]
-        alive.remove(j)
-        old = set(score)
-        for k in alive:
-            was = [(min(i, k), max(i, k)) in old, (min(j, k), max(j, k)) in old]
-            score.pop((min(j, k), max(j, k)), None)
-            if k != i:
-                score.pop((min(i, k), max(i, k)), None)
-                if all(was):
-                    score[min(i, k), max(i, k)] = cosine(sums[i], sums[k]) / (size[i] * size[k])
-        score.pop((i, j), None)
-    return group
+    ids = edges.selectExpr("explode(array(a, b)) AS id").distinct()
+    members = materialize(ids.select("id", F.col("id").alias("grp")), free=False)
+    links = materialize(edges.select("a", "b", F.col("sim").cast("double").alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb")), free=False)
+    while True:
+        near = links.selectExpr("a", "b", "named_struct('near', s / (na * nb), 'x', -a, 'y', -b) AS o")
+        ends = near.selectExpr("a AS u", "o").unionByName(near.selectExpr("b AS u", "o"))
+        best = ends.groupBy("u").agg(F.max("o").alias("o")).where(F.col("o.near") >= least)
+        # a pair that is the best of both its ends stands there twice
+        joined = best.groupBy((-F.col("o.x")).alias("a"), (-F.col("o.y")).alias("b")).agg(F.count("*").alias("n")).where("n = 2")
+        joined = materialize(joined.select("b", F.col("a").alias("to")), free=False)
+        if joined.isEmpty():
+            return members.select("id", "grp")
+        to = joined.select(F.col("b").alias("grp"), "to")
+        before, members = members, materialize(members.join(to, "grp", "left").select("id", F.coalesce("to", "grp").alias("grp")), free=False)
+        sizes = materialize(members.groupBy("grp").agg(F.count("*").alias("n")), free=False)
+        moved = links.join(joined.withColumnRenamed("b", "a").withColumnRenamed("to", "ta"), "a", "left").join(joined.withColumnRenamed("to", "tb"), "b", "left")
+        moved = moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "s").where("a <> b")
+        moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
+        sized = moved.join(sizes.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b")
+        old, links = links, materialize(sized.select("a", "b", "s", "na", "nb"), free=False)
+        discard(before, sizes, joined, old)
 
 
 def entities(*columns: DataFrame) -> DataFrame:
     """``(name, entity)`` of all distinct names; the entity is the hash of the first of its names by code point.
 
     Each argument is a one-column table of names. Nulls, fillers and strings without two letters are left out, a
-    repeated name counts once, and a name without a variant is its own entity.
+    repeated name counts once, and a name without a variant is its own entity. A name of words that don't count is
+    an entity of its own spelling.
     """
-    names = materialize(distinct_names(*columns))
+    names = distinct_names(*columns)
     spark = names.sparkSession
-    read = materialize(read_words(names, word_hubs(names)))
-    # spellings with the same words, and readings with the same words, are treated once
-    # (few bytes but much work a row: spread over all cores rather than packed into few partitions)
-    spelt = materialize(read.groupBy("words").agg(F.min("read").alias("read"), F.min("surname").alias("surname")).withColumn("id", F.xxhash64("words")).repartition(2 * spark.sparkContext.defaultParallelism, "id"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"name": pdf["name"], "words": [canonical(x) for x in pdf["name"]]})
+
+    read = materialize(names.select("name").mapInPandas(fold, "name string, words string"), free=False)
+    # spellings of the same words are treated once (few bytes but much work a row: spread over all cores)
+    spelt = materialize(read.where("words <> ''").select("words").distinct().withColumn("id", F.xxhash64("words")).repartition(2 * spark.sparkContext.defaultParallelism, "id"), free=False)
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for pdf in batches:
-            for w, r in zip(pdf["words"], pdf["read"]):
-                total[_grams(_both(w, r))] += 1
+            for w in pdf["words"]:
+                total[_grams(w)[0]] += 1
         have = np.flatnonzero(total)
         yield pd.DataFrame({"slot": have, "n": total[have]})
 
-    counted = spelt.select("words", "read").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    # at most SLOTS sums reach the driver
+    counted = spelt.select("words").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(SLOTS)
     df[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    most = max(float(df.max()), 2.0)
-    # an n-gram of a single spelling can't match anything and has no weight; one of fewer than RARE spellings is
-    # likelier made by a typing error than the mark of a name
-    weight = np.where(df > 1, np.log((most * 2 + RARE) / np.maximum(df, RARE)) ** 3, 0.0).astype(np.float32)
+    # an n-gram of a single spelling can't match anything and has no weight
+    weight = np.where(df > 1, np.log(max(spelt.count(), 2) / np.maximum(df, 1)), 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast(weight)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, w, r in zip(pdf["id"], pdf["words"], pdf["read"]):
+            for i, w in zip(pdf["id"], pdf["words"]):
                 left = 1.0
-                for slot, x in sorted(vector(_both(w, r), shared.value).items(), key=lambda x: (-x[1], x[0])):
+                for slot, x in sorted(vectors(w, shared.value)[0].items(), key=lambda x: (-x[1], x[0])):
                     if left < JOIN * JOIN:
                         break
                     out.append((slot, i))
                     left -= x * x
             if out:
-                yield pd.DataFrame(out, columns=["slot", "id"])
+                yield pd.DataFrame(out, columns=["key", "id"])
 
-    index = materialize(spelt.mapInPandas(prefix, "slot long, id long"))
-    pairs = index.alias("a").join(index.alias("b"), "slot").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    side = lambda x: spelt.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.col("read").alias(f"r{x}"), F.col("surname").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    pairs = pairs_within(materialize(spelt.mapInPandas(prefix, "key long, id long"), free=False))
+    side = lambda x: spelt.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(2 * spark.sparkContext.defaultParallelism)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vec = lru_cache(maxsize=100_000)(lambda w, r: vector(_both(w, r), shared.value))
-        words = lru_cache(maxsize=100_000)(_unjoin)
+        vec = lru_cache(maxsize=100_000)(lambda w: vectors(w, shared.value))
         for pdf in batches:
-            keep = [agree(words(ra, sa), words(rb, sb)) and cosine(vec(wa, ra), vec(wb, rb)) >= JOIN for wa, ra, sa, wb, rb, sb in zip(pdf["wa"], pdf["ra"], pdf["sa"], pdf["wb"], pdf["rb"], pdf["sb"])]
-            yield pdf.loc[keep, ["a", "b"]]
-
-    edges = materialize(both.mapInPandas(judge, "a long, b long"))
-    parts = connected_components(edges)
-    items = spelt.join(parts, "id").groupBy("component", "read", "surname").agg(F.collect_list("words").alias("typed"))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["read", "surname"]).reset_index(drop=True)
-        group = linkage(list(zip(pdf["read"], pdf["surname"])), [list(x) for x in pdf["typed"]], shared.value)
-        return pd.DataFrame({"component": pdf["component"], "read": pdf["read"], "surname": pdf["surname"], "grp": group})
-
-    linked = items.groupBy("component").applyInPandas(link, "component long, read string, surname int, grp int")
-    of = spelt.join(parts, "id").join(linked, ["component", "read", "surname"]).select("words", F.concat_ws("/", "component", "grp").alias("g"))
-    named = read.select("name", "words").join(of, "words", "left").select("name", F.coalesce("g", F.concat(F.lit("w:"), "words")).alias("g"))
-    named = materialize(named)
+            out = []
+            for a, b, wa, wb in zip(pdf["a"], pdf["b"], pdf["wa"], pdf["wb"]):
+                if cosine(vec(wa)[0], vec(wb)[0]) >= JOIN and not contradict(wa, wb):
+                    out.append((a, b, cosine(vec(wa)[1], vec(wb)[1])))
+            if out:
+                yield pd.DataFrame(out, columns=["a", "b", "sim"])
+
+    edges = materialize(both.mapInPandas(judge, "a long, b long, sim double"), free=False)
+    grouped = average_linkage(edges)
+    of = spelt.join(grouped, "id", "left").select("words", F.coalesce("grp", "id").cast("string").alias("g"))
+    named = read.join(of, "words", "left").select("name", F.coalesce("g", F.concat(F.lit("w:"), "name")).alias("g"))
+    named = materialize(named, free=False)
     first = named.groupBy("g").agg(F.xxhash64(F.min("name")).alias("entity"))
+    discard(read, spelt, pairs, edges)
     return named.join(first, "g").select("name", "entity")
 
 
 def name_pairs(*columns: DataFrame) -> DataFrame:
     """Pairs ``name_a < name_b`` (by code point) of distinct strings of one entity."""
-    e = materialize(entities(*columns))
+    e = materialize(entities(*columns), free=False)
     a, b = e.select("entity", F.col("name").alias("name_a")), e.select("entity", F.col("name").alias("name_b"))
     return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")

@@ -271,7 +271,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(keep_key, keep_id, keep_mark)
 
 
-def _within(rows: DataFrame) -> DataFrame:
+def pairs_within(rows: DataFrame) -> DataFrame:
     """All pairs ``a < b`` of ids that share a key. rows: key, id, distinct. The ids of a key are dealt into parts of
     about DENSE by hash and parts are joined with parts, so that no task holds a large group."""
     counts = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -293,7 +293,7 @@ def by_rare_windows(windows: DataFrame, threshold: float = THRESHOLD) -> DataFra
     common = windows.groupBy("w").agg(F.count("*").alias("c"))
     sized = windows.join(common, "w").withColumn("n", F.count("*").over(W.partitionBy("id"))).withColumn("at", F.row_number().over(W.partitionBy("id").orderBy("c", "w")))
     first = sized.where((F.col("c") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1))
-    return _within(first.select(F.col("w").alias("key"), "id"))
+    return pairs_within(first.select(F.col("w").alias("key"), "id"))
 
 
 def candidates(keys: DataFrame, windows_of: Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:

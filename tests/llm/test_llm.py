@@ -314,6 +314,33 @@ def test_names_are_grouped_by_entity(spark):
     assert names.name_pairs(df.where("false")).count() == 0
 
 
+def test_linkage_in_rounds_is_average_linkage(spark):
+    rng = np.random.default_rng(4)
+    n = 40
+    sim = np.where(rng.random((n, n)) < 0.25, rng.random((n, n)), 0)
+    sim = np.triu(sim, 1) + np.triu(sim, 1).T
+    groups = {k: [k] for k in range(n)}
+    while True:
+        score = {(a, b): sim[np.ix_(groups[a], groups[b])].mean() for a in groups for b in groups if a < b}
+        a, b = max(score, key=score.get)
+        if score[a, b] < 0.15:
+            break
+        groups[a] += groups.pop(b)
+    want = {frozenset(v) for v in groups.values()}
+    rows = [(int(a), int(b), float(sim[a, b])) for a, b in zip(*np.nonzero(np.triu(sim)))]
+    got = defaultdict(set)
+    for r in names.average_linkage(spark.createDataFrame(rows, "a long, b long, sim double"), 0.15).collect():
+        got[r.grp].add(r.id)
+    assert {frozenset(v) for v in got.values()} == want and 3 < len(want) < n
+    assert names.average_linkage(spark.createDataFrame([], "a long, b long, sim double")).count() == 0
+
+
+@pytest.mark.parametrize("a, b, no", [("Tohmas Giktanzado", "Thomas F. Giktanzado", False), ("T. Giktanzado", "Giktanzado, Thomas", False), ("Zo\u00eb Badanholt", "Johannes Badanholt", True), ("Z. Badanholt", "J. Badanholt", True), ("Badanholt", "Johannes Badanholt", False), ("Johannes", "Johannes Badanholt", True), ("Inst. f. Heimatkunde Wit", "Institut f\u00fcr Heimatkunde Wit", False), ("Bob Miller", "Robert Miller", False), ("Ann Mary Miller", "Ann Miller", True)])
+def test_contradictions(a, b, no):
+    assert names.contradict(names.canonical(a), names.canonical(b)) is no
+    assert names.contradict(names.canonical(b), names.canonical(a)) is no
+
+
 def test_one_edit_against_a_table():
     rng = random.Random(0)
 
