@@ -652,6 +652,38 @@ def test_editor_learns_confusions():
 PAGE_WORDS = "the keeper of harbour watched a quiet mill and remembered every letter which stood under long table near river while winter followed another summer beyond northern garden".split()
 
 
+def test_all_operations_are_tried():
+    # the right operations rank far behind many others, and a pair of them is better than a single one
+    known = {"beschrieb": 5, "händler": 5}
+    weights = {f: {"Rh": 1.0, "Rd": 1.0, "D": 1.0} for f in ("c", "l", "i")} | {f: {f"R{x}": 2.0 for x in "abefgjkmnopqrstuvwxyz"} for f in ("b", "e", "s")}
+    made = editor.Editor(weights, known)
+    assert made._edit("besclirieb") == "beschrieb" and made._edit("häncller") == "händler"
+    # short words need more than no evidence against
+    assert editor.Editor({"x": {"Rm": -1.0}}, {"amo": 1, "amore": 1})._edit("axo") is None
+    assert editor.Editor({"x": {"Rm": -1.0}}, {"amo": 1, "amore": 1})._edit("axore") == "amore"
+    assert editor.Editor({"0": {"Ro": 1.0}}, {"do": 1})._edit("d0") == "do" and made._edit("x" * 300) is None and made._edit("") is None
+
+
+def test_stacked_heads_are_outer_lines():
+    body = [f"a line of text that is as long as lines are here {k}" for k in range(8)]
+    assert [k for k, _, _ in pagenoise.edges(["12", "The Mill", "Ann Author", *body])] == [0, 1, 2, 3, 9, 10]
+    assert [k for k, _, _ in pagenoise.edges([*body, "Ann", "Mill", "3"])] == [0, 1, 7, 8, 9, 10]
+    assert [k for k, _, _ in pagenoise.edges(body)] == [0, 1, 6, 7] and pagenoise.edges([]) == [] and pagenoise.edges(["", "x"])[0][0] == 1
+
+
+def test_words_beyond_the_lexicon_are_known(spark, monkeypatch):
+    monkeypatch.setattr(pagenoise, "LEXICON", 6)
+    common = "house water river stone bread light"
+    rows = [(1, s, None, common + " " + common) for s in range(30)] + [(2, s, None, "mouse mouse well-kept well-kept") for s in range(2)]
+    rows += [(3, 0, 1, "the house and\nthe mouse by the river were\nkept by the stone")]
+    made = {(r.book_id, r.seq): list(r.fixes) for r in pagenoise.clean(blocks(spark, rows), books(spark, [(3, "t", "a", "en", 1.0)])).collect()}
+    assert not any(x.startswith(("mouse>", "kept>", "well>")) for x in made[3, 0])
+    counts = pagenoise.word_counts(blocks(spark, rows))
+    known = spark.sparkContext.broadcast(pagenoise.lexicon(counts))
+    rare = {r.book_id: set(r.rare) for r in pagenoise.rarer_words(pagenoise.paged(blocks(spark, rows)), counts, known).collect()}
+    assert rare == {3: {"mouse", "kept"}}
+
+
 def test_pages_are_cleaned(spark):
     rng = random.Random(7)
     line = lambda n=8: " ".join(rng.choice(PAGE_WORDS) for _ in range(n))
