@@ -1,6 +1,7 @@
 """Variant spellings of one person's or organisation's name.
 
-Names become vectors of character n-grams, weighted by inverse document frequency. A sparse cosine join finds all pairs
+Names become vectors of the character n-grams of their words, and of the words that these may be typing errors of (a far
+commoner word one edit away), weighted by inverse document frequency. A sparse cosine join finds all pairs
 of at least JOIN (in vectors of 3- to 5-grams by the third power of the weight, so that common endings count for
 little): of each vector only the rarest n-grams are indexed, as many as are needed so that the rest alone cannot reach
 JOIN. There is no best-n cut, so no partner is lost. Pairs whose words contradict each other count as not similar;
@@ -27,7 +28,7 @@ from quire.llm.neardup import pairs_within
 from quire.runtime import discard, materialize
 
 #: Least cosine of the join, least average cosine of a group, slots of the n-grams (rarer ones share slots).
-JOIN, LINK, SLOTS = 0.2, 0.22, 1 << 20
+JOIN, LINK, SLOTS = 0.33, 0.25, 1 << 20
 #: Words as alike as this share of their pairs of letters may be one word with errors.
 ALIKE = 0.7
 
@@ -129,11 +130,11 @@ def contradict(a: str, b: str) -> bool:
     return len(few) > 1 and any(len(many[k][0]) > 1 for k in free)
 
 
-def _grams(canonical: str) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the 2- to 5-grams of the words (and of what they are short for) and of their initials; and the length
-    of each, 0 for an initial."""
+def _grams(words: str, read: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the 2- to 5-grams of the words as typed and as read (and of what they are short for) and of their
+    initials; and the length of each, 0 for an initial."""
     found = set()
-    for w, cut in _words(canonical):
+    for w, cut in {*_words(words), *_words(read)}:
         for form in {w, *(() if cut else SHORT.get(w, "").split())}:
             found.add((0, form[0]))
             p = f"^{form}" if cut else f"^{form}$"
@@ -148,9 +149,9 @@ def _grams(canonical: str) -> tuple[np.ndarray, np.ndarray]:
     return slots, sizes[first]
 
 
-def vectors(canonical: str, weight: np.ndarray) -> tuple[dict[int, float], dict[int, float]]:
+def vectors(words: str, read: str, weight: np.ndarray) -> tuple[dict[int, float], dict[int, float]]:
     """Two vectors of unit length by slot: steeply weighted 3- to 5-grams, and plainly weighted 2- to 4-grams."""
-    slots, size = _grams(canonical)
+    slots, size = _grams(words, read)
     out = []
     for inside, power in (((size == 0) | (size > 2), 3), (size < 5, 1)):
         w = weight[slots[inside]] ** power
@@ -178,6 +179,41 @@ def distinct_names(*columns: DataFrame) -> DataFrame:
     return every.groupBy("name").agg(F.count("*").alias("rows"))
 
 
+def word_hubs(spelt: DataFrame) -> DataFrame:
+    """``(word, hub)`` of words read as typing errors of a commoner word one edit away. spelt: words, distinct."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [w for x in pdf["words"] for w in {w for w, cut in _words(x) if not cut and len(w) > 3}]
+            if out:
+                yield pd.DataFrame({"word": out})
+
+    table = materialize(spelt.select("words").mapInPandas(each, "word string").groupBy("word").agg(F.count("*").alias("n")), free=False)
+    # two words one edit apart have a word in common that is either of them or lacks one letter of it
+    near = F.array_distinct(F.concat(F.array("word"), F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.col("word").substr(i + 1, F.lit(1000))))))
+    keys = table.select("word", "n", F.explode(near).alias("key"))
+    a, b = keys.alias("a"), keys.alias("b")
+    pairs = a.join(b, "key").where(F.expr("a.word <> b.word AND (b.n > a.n OR b.n = a.n AND b.word < a.word) AND (a.n <= 2 OR b.n >= 4 * a.n)"))
+    pairs = pairs.select(F.col("a.word").alias("word"), F.col("b.word").alias("hub"), F.col("b.n").alias("n")).distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[one_edit(x, y) for x, y in zip(pdf["word"], pdf["hub"])]]
+
+    best = pairs.mapInPandas(verify, "word string, hub string, n long").groupBy("word").agg(F.max(F.struct("n", "hub")).alias("x"))
+    hubs = materialize(best.select("word", F.col("x.hub").alias("hub")), free=False)
+    # the error of an error goes to the word itself
+    onward = hubs.select(F.col("word").alias("hub"), F.col("hub").alias("onward"))
+    return materialize(hubs.join(onward, "hub", "left").select("word", F.coalesce("onward", "hub").alias("hub")), free=False)
+
+
+def read_words(spelt: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``words, read``: canonical names as typed and as read."""
+    parts = spelt.select("words", F.posexplode(F.split("words", " ")).alias("k", "word")).join(hubs, "word", "left")
+    rows = parts.groupBy("words").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("hub", "word").alias("r")))).alias("x"))
+    return rows.select("words", F.array_join("x.r", " ").alias("read"))
+
+
 def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
     """``id, grp`` of all ids in ``edges`` (a < b, sim): groups of average linkage that stop at ``least``, named by their
     smallest id; pairs without an edge have a similarity of 0.
@@ -224,18 +260,19 @@ def entities(*columns: DataFrame) -> DataFrame:
 
     read = materialize(names.select("name").mapInPandas(fold, "name string, words string"), free=False)
     # spellings of the same words are treated once (few bytes but much work a row: spread over all cores)
-    spelt = materialize(read.where("words <> ''").select("words").distinct().withColumn("id", F.xxhash64("words")).repartition(2 * spark.sparkContext.defaultParallelism, "id"), free=False)
+    typed = materialize(read.where("words <> ''").select("words").distinct(), free=False)
+    spelt = materialize(read_words(typed, word_hubs(typed)).withColumn("id", F.xxhash64("words")).repartition(2 * spark.sparkContext.defaultParallelism, "id"), free=False)
 
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(SLOTS, np.int64)
         for pdf in batches:
-            for w in pdf["words"]:
-                total[_grams(w)[0]] += 1
+            for w, x in zip(pdf["words"], pdf["read"]):
+                total[_grams(w, x)[0]] += 1
         have = np.flatnonzero(total)
         yield pd.DataFrame({"slot": have, "n": total[have]})
 
     # at most SLOTS sums reach the driver
-    counted = spelt.select("words").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    counted = spelt.select("words", "read").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(SLOTS)
     df[counted["slot"].to_numpy()] = counted["n"].to_numpy()
     # an n-gram of a single spelling can't match anything and has no weight
@@ -245,9 +282,9 @@ def entities(*columns: DataFrame) -> DataFrame:
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, w in zip(pdf["id"], pdf["words"]):
+            for i, w, as_read in zip(pdf["id"], pdf["words"], pdf["read"]):
                 left = 1.0
-                for slot, x in sorted(vectors(w, shared.value)[0].items(), key=lambda x: (-x[1], x[0])):
+                for slot, x in sorted(vectors(w, as_read, shared.value)[0].items(), key=lambda x: (-x[1], x[0])):
                     if left < JOIN * JOIN:
                         break
                     out.append((slot, i))
@@ -256,16 +293,18 @@ def entities(*columns: DataFrame) -> DataFrame:
                 yield pd.DataFrame(out, columns=["key", "id"])
 
     pairs = pairs_within(materialize(spelt.mapInPandas(prefix, "key long, id long"), free=False))
-    side = lambda x: spelt.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
+    side = lambda x: spelt.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.col("read").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(2 * spark.sparkContext.defaultParallelism)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vec = lru_cache(maxsize=100_000)(lambda w: vectors(w, shared.value))
+        vec = lru_cache(maxsize=100_000)(lambda w, r: vectors(w, r, shared.value))
         for pdf in batches:
             out = []
-            for a, b, wa, wb in zip(pdf["a"], pdf["b"], pdf["wa"], pdf["wb"]):
-                if cosine(vec(wa)[0], vec(wb)[0]) >= JOIN and not contradict(wa, wb):
-                    out.append((a, b, cosine(vec(wa)[1], vec(wb)[1])))
+            for a, b, wa, ra, wb, rb in zip(*(pdf[c] for c in ("a", "b", "wa", "ra", "wb", "rb"))):
+                if not contradict(ra, rb):
+                    x, y = vec(wa, ra), vec(wb, rb)
+                    if cosine(x[0], y[0]) >= JOIN:
+                        out.append((a, b, cosine(x[1], y[1])))
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "sim"])
 
@@ -275,7 +314,7 @@ def entities(*columns: DataFrame) -> DataFrame:
     named = read.join(of, "words", "left").select("name", F.coalesce("g", F.concat(F.lit("w:"), "name")).alias("g"))
     named = materialize(named, free=False)
     first = named.groupBy("g").agg(F.xxhash64(F.min("name")).alias("entity"))
-    discard(read, spelt, pairs, edges)
+    discard(read, typed, spelt, pairs, edges)
     return named.join(first, "g").select("name", "entity")
 
 
