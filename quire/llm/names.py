@@ -27,10 +27,11 @@ from quire.llm.hashing import mix
 from quire.llm.neardup import pairs_within
 from quire.runtime import discard, materialize
 
-#: Least cosine of the join, least average cosine of a group, slots of the n-grams (rarer ones share slots).
-JOIN, LINK, SLOTS = 0.33, 0.25, 1 << 20
+#: Least cosine of the join, least average cosine of a group, spellings from which on an n-gram counts as no rarer, slots
+#: of the n-grams (they share slots by hash).
+JOIN, LINK, RARE, SLOTS = 0.33, 0.25, 8, 1 << 20
 #: Words as alike as this share of their pairs of letters may be one word with errors.
-ALIKE = 0.7
+ALIKE = 0.75
 
 #: Strings that name nobody, and words that are no part of a name.
 FILLERS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unknown author", "author unknown", "author", "anonymous", "anon", "anon.", "various", "various authors", "various artists", "admin", "administrator", "user", "owner", "root", "default", "test", "unbekannt", "anonyme", "anonimo", "anónimo", "untitled", "n.n.", "nn", "s.n.", "sn")
@@ -275,8 +276,9 @@ def entities(*columns: DataFrame) -> DataFrame:
     counted = spelt.select("words", "read").mapInPandas(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(SLOTS)
     df[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    # an n-gram of a single spelling can't match anything and has no weight
-    weight = np.where(df > 1, np.log(max(spelt.count(), 2) / np.maximum(df, 1)), 0.0).astype(np.float32)
+    # an n-gram of a single spelling can't match anything and has no weight; one of fewer than RARE spellings is likelier
+    # made by a typing error than the mark of a name
+    weight = np.where(df > 1, np.log(2 + max(spelt.count(), RARE) / np.maximum(df, RARE)), 0.0).astype(np.float32)
     shared = spark.sparkContext.broadcast(weight)
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
