@@ -1,9 +1,10 @@
 """Overlapping sentence-aligned passages.
 
 Sentences are gathered until a passage has TARGET words; the next one begins with the last whole sentences of at
-most OVERLAP words. A passage never crosses a chapter. What a passage holds depends on all before it in the chapter,
-so each book is read in order, as a stream: blocks are partitioned and sorted by book, and only the open passage is
-kept in memory, however long the book.
+most OVERLAP words. A passage never crosses a chapter. What a passage holds depends on all before it in the chapter, so each
+run of a chapter's blocks is read in order, as a stream, with only the open passage in memory; the runs of a book are
+read side by side. Only two things go over from run to run: the numbers, which are added up from the runs' counts, and
+whether a run that makes a single short passage only repeats the passage before it.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from quire.operators.ordered import chapter_runs, running
+from quire.runtime import materialize
+
 TARGET, LARGEST, OVERLAP = 300, 450, 45
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 SCHEMA = "book_id long, seq int, text string, word_count int, chapter_idx int, chapter_title string, page_start int, page_end int, char_offset int"
 
 
 class Stream:
-    """The open passage of one book and the last one given out."""
+    """The open passage of one run of a book and the last one given out."""
 
-    def __init__(self, book: int):
-        self.book, self.seq, self.chapter, self.last = book, 0, None, None
+    def __init__(self, book: int, run: int):
+        self.book, self.run, self.seq, self.last = book, run, 0, None
         self.open: list[tuple] = []  # (sentence, words, block)
-        self.began = False
         self.out: list[tuple] = []
 
     def _emit(self) -> None:
         text = " ".join(s for s, _, _ in self.open)
         first = self.open[0][2]
         pages = [b[3] for _, _, b in self.open if b[3] is not None]
-        self.out.append((self.book, self.seq, text, sum(w for _, w, _ in self.open), first[1], first[2], min(pages, default=None), max(pages, default=None), first[4]))
+        self.out.append((self.book, self.run, self.seq, text, sum(w for _, w, _ in self.open), first[1], first[2], min(pages, default=None), max(pages, default=None), first[4]))
         self.seq, self.last = self.seq + 1, text
 
     def _tail(self) -> list[tuple]:
@@ -47,9 +50,6 @@ class Stream:
 
     def add(self, block: tuple) -> None:
         """block: (text, chapter_idx, chapter_title, page, char_offset)."""
-        if not self.began or block[1] != self.chapter:
-            self.close()
-            self.chapter, self.began = block[1], True
         for s in _SENTENCE.split(block[0] or ""):
             s = s.strip()
             if not s:
@@ -71,7 +71,7 @@ class Stream:
     full = False
 
     def close(self) -> None:
-        """End of a chapter: the rest is a passage unless the last one holds it already."""
+        """End of a run: the rest is a passage unless the last one holds it already."""
         if self.open and not self.full:
             text = " ".join(s for s, _, _ in self.open)
             if self.last is None or text not in self.last:
@@ -79,38 +79,61 @@ class Stream:
         self.open, self.full = [], False
 
 
+_PARTS = "book_id long, run long, k int, text string, word_count int, chapter_idx int, chapter_title string, page_start int, page_end int, char_offset int, complete boolean"
+
+
 def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Passages of runs (PARTS) of blocks sorted by book, run and seq. ``complete`` is false for a run's only passage if it
+    was closed by the run's end."""
     stream, seen = None, None
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    names = [c.split()[0] for c in _PARTS.split(", ")]
     none = lambda x: None if x is None or x != x else x
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=names)
+    def frame(rows: list[tuple], ended: bool) -> pd.DataFrame:
+        made = pd.DataFrame([(*r, not (ended and r[2] == 0 and len(rows) == 1)) for r in rows], columns=names)
         for c in ("chapter_idx", "page_start", "page_end", "char_offset"):
             made[c] = made[c].astype("Int32")
         made["chapter_title"] = made["chapter_title"].astype(object).where(made["chapter_title"].notna(), None)
         return made
 
+    def finish(stream: Stream) -> Iterator[pd.DataFrame]:
+        before = stream.seq
+        stream.close()
+        if stream.out:
+            yield frame(stream.out, stream.seq > before)
+
     for pdf in batches:
-        for b, s, ci, ct, p, o, t in zip(*(pdf[c] for c in ("book_id", "seq", "chapter_idx", "chapter_title", "page", "char_offset", "text"))):
-            if stream is None or b != stream.book:
+        for b, r, s, ci, ct, p, o, t in zip(*(pdf[c] for c in ("book_id", "run", "seq", "chapter_idx", "chapter_title", "page", "char_offset", "text"))):
+            if stream is None or (b, r) != (stream.book, stream.run):
                 if stream is not None:
-                    stream.close()
-                    if stream.out:
-                        yield frame(stream.out)
-                stream, seen = Stream(b), None
+                    yield from finish(stream)
+                stream, seen = Stream(b, r), None
             if s == seen:  # a repeated row
                 continue
             seen = s
             ci, p, o = none(ci), none(p), none(o)
             stream.add((t, None if ci is None else int(ci), none(ct), None if p is None else int(p), None if o is None else int(o)))
         if stream is not None and len(stream.out) > 1000:
-            yield frame(stream.out)
+            yield frame(stream.out, False)
             stream.out = []
     if stream is not None:
-        stream.close()
-        if stream.out:
-            yield frame(stream.out)
+        yield from finish(stream)
+
+
+def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs whose only passage is held by the last passage kept before it. Rows: each run's last passage, sorted."""
+    book, last = None, None
+    for pdf in batches:
+        gone = []
+        for b, r, text, complete in zip(pdf["book_id"], pdf["run"], pdf["text"], pdf["complete"]):
+            if b != book:
+                book, last = b, None
+            if not complete and last is not None and text in last:
+                gone.append((b, r))
+            else:
+                last = text
+        if gone:
+            yield pd.DataFrame(gone, columns=["book_id", "run"])
 
 
 def chunk(blocks: DataFrame) -> DataFrame:
@@ -120,7 +143,17 @@ def chunk(blocks: DataFrame) -> DataFrame:
     nothing; a sentence of more than LARGEST words is a passage by itself.
     """
     slim = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", F.col("seq").cast("int").alias("seq"), "chapter_idx", "chapter_title", "page", "char_offset", "text")
-    return slim.repartition("book_id").sortWithinPartitions("book_id", "seq", "text").mapInPandas(_run, SCHEMA)
+    one = slim.groupBy("book_id", "seq").agg(F.min_by(F.struct("chapter_idx", "chapter_title", "page", "char_offset", "text"), F.coalesce("text", F.lit(""))).alias("x")).select("book_id", "seq", "x.*")
+    runs = chapter_runs(one)
+    parts = materialize(runs.repartition("book_id", "run").sortWithinPartitions("book_id", "run", "seq").mapInPandas(_run, _PARTS))
+    # only books with a run of one short passage can repeat one; of those only each run's last passage is looked at
+    short = parts.where("NOT complete").select("book_id").distinct()
+    ends = parts.join(short, "book_id", "left_semi").groupBy("book_id", "run").agg(F.max_by(F.struct("text", "complete"), "k").alias("x")).select("book_id", "run", "x.text", "x.complete")
+    gone = ends.repartition("book_id").sortWithinPartitions("book_id", "run").mapInPandas(_repeated, "book_id long, run long")
+    kept = parts.join(gone, ["book_id", "run"], "left_anti")
+    counts = running(kept.groupBy("book_id", "run").agg(F.count("*").alias("n")), "book_id", "run", "n", "until")
+    numbered = kept.join(counts, ["book_id", "run"]).withColumn("seq", (F.col("until") - F.col("n") + F.col("k")).cast("int"))
+    return numbered.select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def unembedded(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataFrame:

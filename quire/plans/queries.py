@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import text as T
-from quire.operators import catalog, chunking, dedup, dense, evaluation, fusion, lexical, ocr_metrics, planner, report, sentence_filter
+from quire.operators import catalog, chunking, dedup, dense, evaluation, fusion, lexical, ocr_metrics, ordered, planner, report, sentence_filter
 from quire.operators.components import connected_components
 from quire.runtime import fingerprint, materialize, shared_dir, table
 
@@ -418,12 +418,8 @@ def chunks(spark, root):
 @query
 def chapter_runs(spark, root):
     """Runs of blocks of one chapter, in reading order: consecutive, not global groups."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("book_id").orderBy("seq")
     b = table(spark, root, "blocks").dropDuplicates(["book_id", "seq"]).select("book_id", "seq", "chapter_idx")
-    new = (~F.col("chapter_idx").eqNullSafe(F.lag("chapter_idx").over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    runs = b.withColumn("run", F.sum(new).over(w))
+    runs = ordered.chapter_runs(b)
     return runs.groupBy("book_id", "run").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("blocks"))
 
 

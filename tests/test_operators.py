@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import catalog, chunking, dedup, dense, evaluation, fusion, lexical, ocr_metrics, planner, report, sentence_filter
+from quire.operators import catalog, chunking, dedup, dense, evaluation, fusion, lexical, ocr_metrics, ordered, planner, report, sentence_filter
 from quire.operators.components import connected_components
 
 T0 = datetime(2024, 1, 1)
@@ -346,3 +346,18 @@ def test_recommendations_follow_the_manifest(spark):
     assert made == {"convert_office": 1, "recognise_scans": 1, "skip_copies": 1, "unpack_archives": 1, "detect_languages": 1}
     assert [r.topic for r in report.recommendations(spark.createDataFrame(rows[2:3], schema)).collect()] == ["proceed"]
     assert [r.topic for r in report.recommendations(spark.createDataFrame([], schema)).collect()] == ["proceed"]
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_neighbours_and_sums_across_chunks(spark, forward):
+    rng = random.Random(12)
+    rows = [(k, s, rng.choice((None, 1, 2)), rng.randrange(5)) for k in (1, 2, None) for s in rng.sample(range(-5, 60), 30)]
+    df = spark.createDataFrame(rows, "k long, s int, c int, n int")
+    got = ordered.running(ordered.neighbour(df, "k", "s", ["s", "c"], "x", forward, size=4), "k", "s", "n", "total", size=4)
+    assert got.count() == len(rows)
+    for r in got.collect():
+        others = [(s, c) for k, s, c, _ in rows if k == r.k and (s > r.s if forward else s < r.s)]
+        want = (min if forward else max)(others, key=lambda x: x[0], default=None)
+        assert (None if r.x is None else (r.x.s, r.x.c)) == want
+        assert r.total == sum(n for k, s, _, n in rows if k == r.k and s <= r.s)
+    assert ordered.chapter_runs(spark.createDataFrame([], "book_id long, seq int, chapter_idx int")).count() == 0
