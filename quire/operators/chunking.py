@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quire.operators.ordered import chapter_runs, running
 from quire.runtime import materialize
+from quire.sources.sinks import append_vectors
 
 TARGET, LARGEST, OVERLAP = 300, 450, 45
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
@@ -161,6 +162,16 @@ def unembedded(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") ->
     return chunks.join(vectors.select(key), key, "left_anti")
 
 
+def embed_missing(chunks: DataFrame, path: str, encode, key: str = "chunk_id", batch: int = 256) -> None:
+    """Vectors of all passages that have none under ``path`` yet, appended there. A run that stops is taken up where it
+    was, as only vectors that were written count; doing it again adds nothing."""
+    spark = chunks.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        chunks = unembedded(chunks, spark.read.parquet(path), key)
+    append_vectors(embed(chunks, encode, key, batch), path, key)
+
+
 def embed(chunks: DataFrame, encode, key: str = "chunk_id", batch: int = 256) -> DataFrame:
     """``key, book_id, embedding``: vectors of unit length by an injected function from texts to a matrix."""
     import numpy as np

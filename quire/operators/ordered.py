@@ -17,26 +17,29 @@ def _chunk(order: str, size: int) -> F.Column:
 
 def neighbour(df: DataFrame, key: str, order: str, columns: list[str], name: str, forward: bool = False, size: int = CHUNK) -> DataFrame:
     """``df`` with a struct ``name`` of ``columns`` of the row before (or after) within ``key`` by ``order``, null where there
-    is none. ``order`` is a whole number, not null, and stands once in a group; rows of a null key are a group too."""
+    is none. ``order`` is a whole number, not null, and stands once in a group. A row of a null key has no neighbour."""
     rows = df.withColumn("_chunk", _chunk(order, size))
     near = F.struct(*columns)
     inside = W.partitionBy(key, "_chunk").orderBy(order)
-    rows = rows.withColumn("_near", (F.lead if forward else F.lag)(near).over(inside))
-    edges = df.select(key, _chunk(order, size), order, *[c for c in columns if c not in (key, order)]).groupBy(key, "_chunk").agg((F.min_by if forward else F.max_by)(near, order).alias("_edge"))
+    # of each chunk the row at its edge: read off the same shuffle as the neighbours
+    at_edge = (F.lag if forward else F.lead)(F.lit(1)).over(inside).isNull()
+    rows = rows.withColumns({"_near": (F.lead if forward else F.lag)(near).over(inside), "_at_edge": at_edge})
+    edges = rows.where("_at_edge").select(key, "_chunk", near.alias("_edge"))
+    rows = rows.drop("_at_edge")
     across = edges.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), (F.lead if forward else F.lag)("_edge").over(W.partitionBy(key).orderBy("_chunk")).alias("_across"))
-    out = rows.join(across, rows[key].eqNullSafe(across["_key"]) & (rows["_chunk"] == across["_of"]), "left")
-    return out.withColumn(name, F.coalesce("_near", "_across")).drop("_chunk", "_near", "_key", "_of", "_across")
+    out = rows.join(across, (rows[key] == across["_key"]) & (rows["_chunk"] == across["_of"]), "left")
+    return out.withColumn(name, F.when(F.col(key).isNotNull(), F.coalesce("_near", "_across"))).drop("_chunk", "_near", "_key", "_of", "_across")
 
 
 def running(df: DataFrame, key: str, order: str, value: str, name: str, size: int = CHUNK) -> DataFrame:
-    """``df`` with the sum ``name`` of ``value`` over all rows of ``key`` up to and with the row, by ``order``."""
+    """``df`` with the sum ``name`` of ``value`` over all rows of ``key`` up to and with the row, by ``order``; null for a null key."""
     rows = df.withColumn("_chunk", _chunk(order, size))
     inside = W.partitionBy(key, "_chunk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("_in", F.sum(value).over(inside))
     sums = df.select(key, _chunk(order, size), value).groupBy(key, "_chunk").agg(F.sum(value).alias("_sum"))
     before = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     across = sums.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
-    out = rows.join(across, rows[key].eqNullSafe(across["_key"]) & (rows["_chunk"] == across["_of"]), "left")
+    out = rows.join(across, (rows[key] == across["_key"]) & (rows["_chunk"] == across["_of"]), "left")
     return out.withColumn(name, F.coalesce("_in", F.lit(0)) + F.col("_before")).drop("_chunk", "_in", "_key", "_of", "_before")
 
 

@@ -303,6 +303,19 @@ def test_sentence_reasons(spark, text, why):
     assert spark.createDataFrame([(text,)], "t string").select(sentence_filter.reason(F.col("t"))).first()[0] == why
 
 
+def test_only_missing_vectors_are_made(spark, tmp_path):
+    path, asked = str(tmp_path / "v"), spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        asked.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    chunks = lambda n: spark.createDataFrame([(i, 1, "x" * i) for i in range(n)], "chunk_id long, book_id long, text string")
+    for n, seen in ((3, 3), (5, 5), (5, 5)):
+        chunking.embed_missing(chunks(n), path, encode)
+        assert spark.read.parquet(path).count() == n and asked.value == seen
+
+
 def test_postings_grow_and_shrink(spark, tmp_path):
     docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
     old = [(i, f"common word{i % 7} word{i % 3}") for i in range(40)] + [(90, None), (91, "")]
@@ -357,7 +370,7 @@ def test_neighbours_and_sums_across_chunks(spark, forward):
     assert got.count() == len(rows)
     for r in got.collect():
         others = [(s, c) for k, s, c, _ in rows if k == r.k and (s > r.s if forward else s < r.s)]
-        want = (min if forward else max)(others, key=lambda x: x[0], default=None)
+        want = (min if forward else max)(others, key=lambda x: x[0], default=None) if r.k else None
         assert (None if r.x is None else (r.x.s, r.x.c)) == want
-        assert r.total == sum(n for k, s, _, n in rows if k == r.k and s <= r.s)
+        assert r.total == (sum(n for k, s, _, n in rows if k == r.k and s <= r.s) if r.k else None)
     assert ordered.chapter_runs(spark.createDataFrame([], "book_id long, seq int, chapter_idx int")).count() == 0

@@ -117,6 +117,14 @@ def test_stream_takes_only_what_is_new(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(sink).collect()) == list(range(9))
 
 
+def test_empty_files_are_found(spark, tmp_path):
+    for name, raw in {"a.txt": b"", "b.txt": b"x", "d e/f%20g.txt": b"", "d e/h/i.txt": b"", "d e/j.txt": b"y", "d e/_k": b"", ".l": b""}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    got = {r.path.removeprefix(f"{tmp_path}/"): r.size for r in files.scan(spark, str(tmp_path)).collect()}
+    assert got == {"a.txt": 0, "b.txt": 1, "d e/f%20g.txt": 0, "d e/h/i.txt": 0, "d e/j.txt": 1}
+
+
 def test_books_are_settled_under_one_mark(spark, tmp_path):
     root = f"file://{tmp_path}/t"
     assert sinks.read_work(spark, root, "books") is None
