@@ -678,10 +678,6 @@ def test_words_beyond_the_lexicon_are_known(spark, monkeypatch):
     rows += [(3, 0, 1, "the house and\nthe mouse by the river were\nkept by the stone")]
     made = {(r.book_id, r.seq): list(r.fixes) for r in pagenoise.clean(blocks(spark, rows), books(spark, [(3, "t", "a", "en", 1.0)])).collect()}
     assert not any(x.startswith(("mouse>", "kept>", "well>")) for x in made[3, 0])
-    counts = pagenoise.word_counts(blocks(spark, rows))
-    known = spark.sparkContext.broadcast(pagenoise.lexicon(counts))
-    rare = {r.book_id: set(r.rare) for r in pagenoise.rarer_words(pagenoise.paged(blocks(spark, rows)), counts, known).collect()}
-    assert rare == {3: {"mouse", "kept"}}
 
 
 def test_pages_are_cleaned(spark):
