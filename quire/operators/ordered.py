@@ -15,18 +15,19 @@ def _chunk(order: str, size: int) -> F.Column:
     return F.floor(F.col(order) / F.lit(size)).alias("_chunk")
 
 
-def neighbour(df: DataFrame, key: str, order: str, columns: list[str], name: str, forward: bool = False, size: int = CHUNK) -> DataFrame:
+def neighbour(df: DataFrame, key: str, order: str, columns: list[str], name: str, forward: bool = False, size: int = CHUNK, along: DataFrame | None = None) -> DataFrame:
     """``df`` with a struct ``name`` of ``columns`` of the row before (or after) within ``key`` by ``order``, null where there
-    is none. ``order`` is a whole number, not null, and stands once in a group. A row of a null key has no neighbour."""
+    is none. ``order`` is a whole number, not null, and stands once in a group. A row of a null key has no neighbour. ``along``: columns of the groups (one row a key), which
+    come to the rows by the same join."""
     rows = df.withColumn("_chunk", _chunk(order, size))
     near = F.struct(*columns)
     inside = W.partitionBy(key, "_chunk").orderBy(order)
-    # of each chunk the row at its edge: read off the same shuffle as the neighbours
-    at_edge = (F.lag if forward else F.lead)(F.lit(1)).over(inside).isNull()
-    rows = rows.withColumns({"_near": (F.lead if forward else F.lag)(near).over(inside), "_at_edge": at_edge})
-    edges = rows.where("_at_edge").select(key, "_chunk", near.alias("_edge"))
-    rows = rows.drop("_at_edge")
+    rows = rows.withColumn("_near", (F.lead if forward else F.lag)(near).over(inside))
+    # of each chunk the row at its edge, by partial aggregation: next to nothing is shuffled
+    edges = df.groupBy(key, _chunk(order, size)).agg((F.min_by if forward else F.max_by)(near, order).alias("_edge"))
     across = edges.select(F.col(key).alias("_key"), F.col("_chunk").alias("_of"), (F.lead if forward else F.lag)("_edge").over(W.partitionBy(key).orderBy("_chunk")).alias("_across"))
+    if along is not None:
+        across = across.join(along.withColumnRenamed(key, "_key"), "_key", "left")
     out = rows.join(across, (rows[key] == across["_key"]) & (rows["_chunk"] == across["_of"]), "left")
     return out.withColumn(name, F.when(F.col(key).isNotNull(), F.coalesce("_near", "_across"))).drop("_chunk", "_near", "_key", "_of", "_across")
 
