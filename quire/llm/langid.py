@@ -299,9 +299,10 @@ def block_languages(blocks: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def languages(blocks: DataFrame, books: DataFrame, model: LanguageModel | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per book ``book_id, lang, words, confidence`` and per foreign segment ``book_id, seq, lang, words``.
+    """Per book ``book_id, lang, words, confidence`` and per foreign segment ``book_id, seq, lang, words, confidence``.
 
-    Confidence is the share of the book's words in its main language. Repeated block rows count once; null and
+    Confidence is the share of the book's words in its main language, and of a segment's words that are foreign beyond
+    doubt among those of its language in the block. Repeated block rows count once; null and
     empty texts have no words and get no language; ties go to the language first in the alphabet.
     """
     model = model or train(blocks, books)
@@ -315,8 +316,9 @@ def languages(blocks: DataFrame, books: DataFrame, model: LanguageModel | None =
     book = sums.select("book_id", (at - 1).alias("main"), F.element_at(names, at).alias("lang"), total.alias("words"), F.round(F.array_max(every) / total, 6).alias("confidence")).where("words > 0")
     # the words clearly foreign against the book's main language, or all words of a block without any of it
     own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.when(F.col("f").isNull(), F.element_at(every, k + 1)).otherwise(F.element_at(F.col("f"), F.col("main") * n + k + 1)))
-    mixed = each.join(book.select("book_id", "main"), "book_id").select("book_id", "seq", "main", F.posexplode(own).alias("k", "words"))
-    segments = mixed.where("k <> main").where(F.col("words") >= MIN_SEGMENT_WORDS).select("book_id", "seq", F.element_at(names, F.col("k") + 1).alias("lang"), "words")
+    mixed = each.join(book.select("book_id", "main"), "book_id").select("book_id", "seq", "main", every.alias("all"), F.posexplode(own).alias("k", "words"))
+    sure = F.round(F.col("words") / F.greatest("words", F.element_at("all", F.col("k") + 1)), 6)
+    segments = mixed.where("k <> main").where(F.col("words") >= MIN_SEGMENT_WORDS).select("book_id", "seq", F.element_at(names, F.col("k") + 1).alias("lang"), "words", sure.alias("confidence"))
     return book.select("book_id", "lang", "words", "confidence"), segments
 
 
@@ -337,12 +339,11 @@ def assigned(blocks: DataFrame, books: DataFrame, files: DataFrame, book_files:
     slim = newest_files(files.select("path", "sha256", "language", "surveyed_at"))
     of_files = slim.join(of, "sha256").join(enough, "book_id").select("path", norm_label(F.col("language")).alias("label"), "lang", "confidence")
     main = book.select("book_id", F.col("lang").alias("label"), "words")
-    of_blocks = segments.select("book_id", "seq", "lang").join(main, "book_id")
-    one = F.lit(1.0)
+    of_blocks = segments.select("book_id", "seq", "lang", "confidence").join(main, "book_id")
     return (
         of_books.select(F.lit("books").alias("rec_table"), F.col("book_id").cast("string").alias("rec_key"), "lang", "confidence", "label")
         .unionByName(of_files.select(F.lit("files").alias("rec_table"), F.col("path").alias("rec_key"), "lang", "confidence", "label"))
-        .unionByName(of_blocks.select(F.lit("blocks").alias("rec_table"), F.concat_ws("/", "book_id", "seq").alias("rec_key"), "lang", one.alias("confidence"), "label"))
+        .unionByName(of_blocks.select(F.lit("blocks").alias("rec_table"), F.concat_ws("/", "book_id", "seq").alias("rec_key"), "lang", "confidence", "label"))
     )
 
 
