@@ -140,13 +140,14 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def chunk(blocks: DataFrame) -> DataFrame:
     """Passages of all books (SCHEMA), numbered within each book.
 
-    Rows without book_id or seq are left out; of rows with one key the first by text counts; null and empty texts add
-    nothing; a sentence of more than LARGEST words is a passage by itself.
+    Rows without book_id or seq are left out; of rows with one key the first by text counts, in the chapter of the
+    smallest number; null and empty texts add nothing; a sentence of more than LARGEST words is a passage by itself.
     """
     slim = blocks.where("book_id IS NOT NULL AND seq IS NOT NULL").select("book_id", F.col("seq").cast("int").alias("seq"), "chapter_idx", "chapter_title", "page", "char_offset", "text")
-    one = slim.groupBy("book_id", "seq").agg(F.min_by(F.struct("chapter_idx", "chapter_title", "page", "char_offset", "text"), F.coalesce("text", F.lit(""))).alias("x")).select("book_id", "seq", "x.*")
-    runs = chapter_runs(one)
-    parts = materialize(runs.repartition("book_id", "run").sortWithinPartitions("book_id", "run", "seq").mapInPandas(_run, _PARTS))
+    # runs are found without the texts, which then move once
+    runs = chapter_runs(slim.groupBy("book_id", "seq").agg(F.min("chapter_idx").alias("chapter_idx"))).select("book_id", "seq", "run")
+    rows = slim.join(runs, ["book_id", "seq"]).repartition("book_id", "run").sortWithinPartitions("book_id", "run", "seq", "text")
+    parts = materialize(rows.mapInPandas(_run, _PARTS))
     # only books with a run of one short passage can repeat one; of those only each run's last passage is looked at
     short = parts.where("NOT complete").select("book_id").distinct()
     ends = parts.join(short, "book_id", "left_semi").groupBy("book_id", "run").agg(F.max_by(F.struct("text", "complete"), "k").alias("x")).select("book_id", "run", "x.text", "x.complete")
