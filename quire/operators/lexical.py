@@ -10,6 +10,8 @@ from quire.functions import text as T
 from quire.runtime import discard, materialize
 
 K1, B, LEAST_IDF, DIGITS = 1.2, 0.75, 1e-6, 9
+#: Changes when the tokens or the tables of stored postings do: an index of another form isn't read.
+FORM = 1
 
 
 def postings(passages: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

@@ -453,7 +453,7 @@ def _cases(spark: SparkSession, root: str) -> DataFrame:
 def _index(spark: SparkSession, root: str) -> lexical.Postings:
     """The stored postings of the documents; made once, and anew when the table's files change."""
     of = fingerprint(spark, f"{root.rstrip('/')}/documents.parquet")
-    index = lexical.Postings(spark, f"{shared_dir(spark).rstrip('/')}/quire/postings/{of}")
+    index = lexical.Postings(spark, f"{shared_dir(spark).rstrip('/')}/quire/postings/{lexical.FORM}-{of}")
     if not index.versions():
         index.write(0, _passages(spark, root))
     return index
