@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from quire.llm.hashing import mix
 from quire.llm.neardup import only
-from quire.runtime import discard, materialize, shared_dir
+from quire.runtime import discard, materialize, release, shared_dir
 
 POSITIONS, GROUPS, SHARE = 128, 26, 0.6
 RECORDS, CELLS = "rank long, sha256 string, cls long, sig binary", "key long, cls long"
@@ -187,4 +187,6 @@ def classify(incoming: DataFrame, books: DataFrame, book_files: DataFrame, share
     # one row a batch: there are as many as there were runs
     for k, row in enumerate(items.select("batch_no").distinct().orderBy("batch_no").collect(), 1):
         out = out.unionByName(index.add(items.where(F.col("batch_no").eqNullSafe(F.lit(row.batch_no))).drop("batch_no"), k, share))
+        # else the driver holds the broadcasts and compiled plans of all batches
+        release(spark)
     return out.select(F.col("rank").alias("item_id"), F.when(F.col("exact"), "exact").when(F.col("near"), "near").otherwise("new").alias("match_kind"))

@@ -236,6 +236,17 @@ def test_batches_against_brute_force(spark):
     assert incremental.classify(inc.where("false"), b, files).count() == 0
 
 
+def test_batches_leave_nothing_in_the_drivers_memory(spark):
+    beans = [x for x in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in x.getName() or "MarkSweep" in x.getName()]
+    rng = np.random.default_rng(9)
+    rows = [(k, 1 + k // 2, f"s{k}", s) for k, s in enumerate(signatures(rng, 6))]
+    inc = spark.createDataFrame(rows, "item_id long, batch_no int, sha256 string, minhash array<long>")
+    files = spark.createDataFrame([], "sha256 string, book_id long")
+    before = sum(x.getCollectionCount() for x in beans)
+    assert incremental.classify(inc, books(spark, []), files).count() == 6
+    assert sum(x.getCollectionCount() for x in beans) >= before + 3
+
+
 def test_persisted_cells_grow_by_batches(spark, tmp_path):
     rng = np.random.default_rng(5)
     sigs = signatures(rng, 60)
