@@ -478,6 +478,18 @@ def test_mislabelled_large_and_rare_languages(spark):
     assert got == {0: "de", 20: "pl"} | {b: "en" for b in range(1, 7)} | {b: "de" for b in range(7, 13)} | {b: "fr" for b in range(13, 17)}
 
 
+def test_books_are_drawn_with_all_their_blocks(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LABEL_BLOCKS", 20)
+    drawn = []
+    monkeypatch.setattr(langid, "fit", lambda texts, labels, books: drawn.extend(zip(labels, books)))
+    rows = [(b, k, None, f"block {k} of {b}") for b in range(60) for k in range(4 + b % 8)]
+    langid.train(blocks(spark, rows), books(spark, [(b, "t", "a", ("ru", "bg", "ru")[b % 3], 1.0) for b in range(60)]))
+    for label in ("ru", "bg"):
+        n = [sum(x == (label, b) for x in drawn) for b in {b for x, b in drawn if x == label}]
+        # all but the last one of a label as far as BOOK_BLOCKS goes
+        assert sum(n) == 20 and len(n) <= 5 and sum(k < 4 for k in n) <= 1
+
+
 def test_running_text_of_pages():
     page = "22   T H E   M I L L E R \u2019 S   P A L E\nbeside the canal while the sunlit fisher-\nman watched it. And a second line of text\n\nfollows here as the last one of the page\n- 7 -"
     made = langid.running_text(page)
