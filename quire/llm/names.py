@@ -4,7 +4,7 @@ Names become vectors of the character n-grams of their words, and of the words t
 commoner word one edit away), weighted by inverse document frequency. A sparse cosine join finds all pairs
 of at least JOIN (in vectors of 3- to 5-grams by the third power of the weight, so that common endings count for
 little): of each vector only the rarest n-grams are indexed, as many as are needed so that the rest alone cannot reach
-JOIN. There is no best-n cut, so no partner is lost. Pairs whose words contradict each other count as not similar;
+JOIN, and two vectors meet only where what is left of both can reach it. There is no best-n cut, so no partner is lost. Pairs whose words contradict each other count as not similar;
 then average linkage groups what is left, contradictions included in the averages: a few errors don't part a group,
 and a chain of likenesses doesn't join two.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.hashing import mix
-from quire.llm.neardup import pairs_within
+from quire.llm.neardup import DENSE
 from quire.runtime import discard, materialize
 
 #: Least cosine of the join, least average cosine of a group, spellings from which on an n-gram counts as no rarer, slots
@@ -241,10 +241,36 @@ def average_linkage(edges: DataFrame, least: float = LINK) -> DataFrame:
         moved = moved.select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b"), "s").where("a <> b")
         moved = moved.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
         sized = moved.join(sizes.select(F.col("grp").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("grp").alias("b"), F.col("n").alias("nb")), "b")
-        old, links = links, materialize(sized.select("a", "b", "s", "na", "nb"), free=False)
+        old, links = links, materialize(sized.select("a", "b", "s", "na", "nb"))
         discard(before, sizes, joined, old)
 
 
+def close_pairs(rows: DataFrame, least: float = JOIN) -> DataFrame:
+    """Pairs ``a < b``, as a stored table, among which are all of a cosine of at least ``least``. rows: ``key, id, x, rest``,
+    the weights of each unit vector's first n-grams by one order of all, and the length of what is left of the vector
+    from each on.
+
+    The cosine of two vectors is at most the product of their ``rest`` at the first n-gram that they share. So they are
+    joined on those only whose product reaches ``least``, which common n-grams, the last in order, seldom do; and a
+    pair goes on if its products so far and the lengths left behind them can reach it. No pair of ``least`` is lost.
+    """
+    least -= 1e-6
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("rest").alias("most")).where("n > 1")
+    # the ids of a key are dealt into parts, and parts are joined with parts, so that no task holds a large group
+    parts = F.ceil(F.col("n") / F.lit(DENSE)).cast("int")
+    dealt = rows.join(counts, "key").where(F.col("rest") * F.col("most") >= least).select("key", "id", "x", "rest", parts.alias("parts"))
+    dealt = materialize(dealt.select("key", "id", "x", "rest", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("own"), F.sequence(F.lit(0), F.col("parts") - 1).alias("other")))
+    left = dealt.select("key", F.col("id").alias("a"), F.col("x").alias("xa"), F.col("rest").alias("ra"), F.col("own").alias("pa"), F.explode("other").alias("pb"))
+    right = dealt.select("key", F.col("id").alias("b"), F.col("x").alias("xb"), F.col("rest").alias("rb"), F.explode("other").alias("pa"), F.col("own").alias("pb"))
+    met = left.join(right, ["key", "pa", "pb"]).where((F.col("a") < F.col("b")) & (F.col("ra") * F.col("rb") >= least))
+    behind = lambda r, x: F.sqrt(F.greatest(F.col(r) * F.col(r) - F.col(x) * F.col(x), F.lit(0.0)))
+    met = met.select("a", "b", (F.col("xa") * F.col("xb")).alias("dot"), (behind("ra", "xa") * behind("rb", "xb")).alias("behind"))
+    summed = met.groupBy("a", "b").agg(F.sum("dot").alias("dot"), F.min("behind").alias("behind"))
+    found = materialize(summed.where(F.col("dot") + F.col("behind") >= least).select("a", "b"))
+    discard(dealt)
+    return found
+
+
 def entities(*columns: DataFrame) -> DataFrame:
     """``(name, entity)`` of all distinct names; the entity is the hash of the first of its names by code point.
 
@@ -285,16 +311,18 @@ def entities(*columns: DataFrame) -> DataFrame:
         for pdf in batches:
             out = []
             for i, w, as_read in zip(pdf["id"], pdf["words"], pdf["read"]):
-                left = 1.0
+                left = 1 + 1e-6  # the weights are rounded, and no length may come out too small
                 for slot, x in sorted(vectors(w, as_read, shared.value)[0].items(), key=lambda x: (-x[1], x[0])):
                     if left < JOIN * JOIN:
                         break
-                    out.append((slot, i))
+                    out.append((slot, i, x, left**0.5))
                     left -= x * x
             if out:
-                yield pd.DataFrame(out, columns=["key", "id"])
+                yield pd.DataFrame(out, columns=["key", "id", "x", "rest"])
 
-    pairs = pairs_within(materialize(spelt.mapInPandas(prefix, "key long, id long"), free=False))
+    indexed = materialize(spelt.mapInPandas(prefix, "key long, id long, x double, rest double"), free=False)
+    pairs = close_pairs(indexed)
+    discard(indexed)
     side = lambda x: spelt.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"), F.col("read").alias(f"r{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").repartition(2 * spark.sparkContext.defaultParallelism)
 
@@ -310,13 +338,14 @@ def entities(*columns: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=["a", "b", "sim"])
 
-    edges = materialize(both.mapInPandas(judge, "a long, b long, sim double"), free=False)
+    edges = materialize(both.mapInPandas(judge, "a long, b long, sim double"))
+    discard(pairs)
     grouped = average_linkage(edges)
     of = spelt.join(grouped, "id", "left").select("words", F.coalesce("grp", "id").cast("string").alias("g"))
     named = read.join(of, "words", "left").select("name", F.coalesce("g", F.concat(F.lit("w:"), "name")).alias("g"))
     named = materialize(named, free=False)
     first = named.groupBy("g").agg(F.xxhash64(F.min("name")).alias("entity"))
-    discard(read, typed, spelt, pairs, edges)
+    discard(read, typed, spelt, edges)
     return named.join(first, "g").select("name", "entity")
 
 

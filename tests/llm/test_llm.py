@@ -325,6 +325,33 @@ def test_names_are_grouped_by_entity(spark):
     assert names.name_pairs(df.where("false")).count() == 0
 
 
+def test_close_pairs_are_all_and_few(spark):
+    rng = np.random.default_rng(4)
+    # rare slots stand first, and everybody has some of twelve common ones
+    vecs = []
+    for k in range(150):
+        at = np.append(rng.choice(400, 3, replace=False), 400 + rng.choice(12, 4, replace=False))
+        w = np.where(at < 400, 3.0 - at / 400, 1.2 - (at - 400) / 100)
+        vecs.append(dict(zip(at.tolist(), (w / np.sqrt((w * w).sum())).tolist())))
+    vecs += [dict(v) for v in vecs[:20]]
+    rows = []
+    for i, v in enumerate(vecs):
+        left = 1.0
+        for slot, x in sorted(v.items(), key=lambda p: (-p[1], p[0])):
+            if left < names.JOIN**2:
+                break
+            rows.append((slot, i, x, max(left, 0) ** 0.5))
+            left -= x * x
+    got = {tuple(r) for r in names.close_pairs(spark.createDataFrame(rows, "key long, id long, x double, rest double")).collect()}
+    n = len(vecs)
+    want = {(a, b) for a in range(n) for b in range(a + 1, n) if names.cosine(vecs[a], vecs[b]) >= names.JOIN}
+    ids = {}
+    for slot, i, _, _ in rows:
+        ids.setdefault(slot, set()).add(i)
+    shared = {(a, b) for x in ids.values() for a in x for b in x if a < b}
+    assert want <= got and 20 <= len(want) and len(got) < len(shared) / 2, (len(want), len(got), len(shared))
+
+
 def test_linkage_in_rounds_is_average_linkage(spark):
     rng = np.random.default_rng(4)
     n = 40
