@@ -29,7 +29,8 @@ from quire.llm.neardup import only
 from quire.runtime import discard, materialize, release, shared_dir
 
 POSITIONS, GROUPS, SHARE = 128, 26, 0.6
-RECORDS, CELLS = "rank long, sha256 string, cls long, sig binary", "key long, cls long"
+#: A cell's rank is that of the first record with its vector.
+RECORDS, CELLS = "rank long, sha256 string, cls long, sig binary", "key long, cls long, rank long"
 #: The rank of what was stored before a batch came.
 _BEFORE = -(1 << 63)
 
@@ -61,7 +62,7 @@ def packed(records: DataFrame) -> DataFrame:
 
 
 def cells(vectors: DataFrame) -> DataFrame:
-    """CELLS of distinct vectors (cls, sig): all cells of each."""
+    """CELLS of distinct vectors (cls, sig, rank): all cells of each."""
     places = _cell_positions()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,9 +76,9 @@ def cells(vectors: DataFrame) -> DataFrame:
                     for p in at:
                         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, p])
                     keys[:, k] = key
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "cls": np.repeat(part["cls"].to_numpy(), len(places))})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "cls": np.repeat(part["cls"].to_numpy(), len(places)), "rank": np.repeat(part["rank"].to_numpy(), len(places))})
 
-    return vectors.select("cls", "sig").mapInPandas(run, CELLS)
+    return vectors.select("cls", "sig", "rank").mapInPandas(run, CELLS)
 
 
 def _equal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,10 +88,11 @@ def _equal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf[["a", "b"]].assign(equal=(a == b).sum(axis=1).astype(np.int32))
 
 
-def rerank(pairs: DataFrame, vectors: DataFrame, share: float) -> DataFrame:
-    """Of candidate pairs ``a, b`` those with enough equal positions, and how many."""
-    side = lambda x: vectors.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_equal, "a long, b long, equal int").where(F.col("equal") >= least_equal(share))
+def rerank(pairs: DataFrame, first: DataFrame, second: DataFrame, share: float) -> DataFrame:
+    """Of candidate pairs ``a, b`` those with enough equal positions, and how many; ``first`` and ``second`` hold the
+    vectors (cls, sig) of each side."""
+    side = lambda vectors, x: vectors.select(F.col("cls").alias(x), F.col("sig").alias(f"s{x}"))
+    return pairs.join(side(first, "a"), "a").join(side(second, "b"), "b").mapInPandas(_equal, "a long, b long, equal int").where(F.col("equal") >= least_equal(share))
 
 
 class CellIndex:
@@ -120,50 +122,55 @@ class CellIndex:
         """``cls, sig`` as stored: a vector that comes again is stored once a version."""
         return self._read("records", RECORDS, self.versions() if versions is None else versions).where("cls IS NOT NULL").select("cls", "sig")
 
-    def add(self, records: DataFrame, version: int, share: float = SHARE, ask: bool = True) -> DataFrame | None:
+    def add(self, records: DataFrame, version: int, share: float = SHARE, ask: bool = True, n: int | None = None) -> DataFrame | None:
         """Store ``records`` (rank, sha256, minhash) as ``version``, after probing them against the versions before it.
 
         Gives per record ``rank, exact, near``: whether its sha256, or a vector near its own, is stored or on a record
-        here of a smaller rank; with ``ask`` off (history to begin with) nothing is asked.
+        here of a smaller rank; with ``ask`` off (history to begin with) nothing is asked. ``n``: how many records there
+        are, which are else counted.
         """
         before = [v for v in self.versions() if v < version]
         own = self._write(packed(records), "records", version)
         firsts = own.where("cls IS NOT NULL").groupBy("cls").agg(F.min("rank").alias("rank"), F.any_value("sig").alias("sig"))
         made = self._write(cells(firsts), "cells", version)
-        found = self._ask(own, firsts.select("cls", "rank"), made, before, share) if ask else None
+        found = self._ask(own, firsts.select("cls", "sig"), made, before, share, own.count() if n is None else n) if ask else None
         fs, where = self._fs(f"done/{version:09d}")
         fs.create(where, True).close()
         return found
 
-    def _ask(self, own: DataFrame, firsts: DataFrame, made: DataFrame, before: list[int], share: float) -> DataFrame:
-        """The answers for a batch's records (``own``), whose vectors first stand in ``firsts`` and have cells ``made``.
+    def _ask(self, own: DataFrame, vectors: DataFrame, made: DataFrame, before: list[int], share: float, n: int) -> DataFrame:
+        """The answers for a batch's ``n`` records (``own``), with their distinct ``vectors`` (cls, sig) and cells ``made``.
 
         Of the stored cells only those are moved that the batch meets. First each of them offers only one vector (a
         stored one, else the batch's earliest), which settles most vectors, among them all of a large group of near
         copies; the vectors still open then meet all earlier ones of their cells. What is met in no cell differs in
         more positions than allowed. No cell and no partner is left out for vectors that are still open.
+
+        Each join of small tables is a table in the driver's memory on its way to the executors: ranks stand in the
+        cells, and what came before a record is the least rank of a union. The driver is freed between the two passes.
         """
-        stored, n = self.vectors(before), own.count()
+        stored = self.vectors(before)
         keys = n * sum(len(x) for x in np.array_split(np.arange(POSITIONS), GROUPS))
         hits = only(self._read("cells", CELLS, before), made.select("key"), ["key"], keys).select("key", F.col("cls").alias("b"), F.lit(_BEFORE).alias("rank_b"))
-        mine = made.join(firsts, "cls")
-        met = materialize(hits.unionByName(mine.select("key", F.col("cls").alias("b"), F.col("rank").alias("rank_b"))), free=False)
-        asking = mine.select("key", F.col("cls").alias("a"), F.col("rank").alias("rank_a"))
+        met = materialize(hits.unionByName(made.select("key", F.col("cls").alias("b"), F.col("rank").alias("rank_b"))), free=False)
+        asking = made.select("key", F.col("cls").alias("a"), F.col("rank").alias("rank_a"))
         first = met.groupBy("key").agg(F.min(F.struct("rank_b", "b")).alias("x")).select("key", "x.*")
 
         def near(other: DataFrame, asking: DataFrame, most: int | None = None) -> DataFrame:
             pairs = materialize(asking.join(other, "key").where("rank_b < rank_a").select("a", "b").distinct(), free=False)
-            vectors = only(stored, pairs.select(F.col("b").alias("cls")), ["cls"], most).unionByName(own.where("cls IS NOT NULL").select("cls", "sig")).dropDuplicates(["cls"])
-            return rerank(pairs, vectors, share).select(F.col("a").alias("cls")).distinct()
+            met_vectors = only(stored, pairs.select(F.col("b").alias("cls")), ["cls"], most).unionByName(vectors).dropDuplicates(["cls"])
+            return rerank(pairs, vectors, met_vectors, share).select(F.col("a").alias("cls")).distinct()
 
-        settled = materialize(near(first, asking, keys), free=False)
+        settled = materialize(near(first, asking, keys))
         late = near(met, asking.join(settled, asking["a"] == settled["cls"], "left_anti"))
-        nears = settled.unionByName(late).withColumn("n", F.lit(True))
-        shas = own.where("sha256 IS NOT NULL").groupBy("sha256").agg(F.min("rank").alias("sha_first"))
-        old = only(self._read("records", RECORDS, before).select("sha256"), own.where("sha256 IS NOT NULL").select("sha256"), ["sha256"], n).distinct().withColumn("old", F.lit(True))
-        every = own.select("rank", "sha256", "cls").join(shas.join(old, "sha256", "left"), "sha256", "left").join(firsts.withColumnRenamed("rank", "cls_first"), "cls", "left").join(nears, "cls", "left")
-        exact, again = F.col("old") | (F.col("sha_first") < F.col("rank")), F.col("n") | (F.col("cls_first") < F.col("rank"))
-        out = materialize(every.select("rank", F.coalesce(exact, F.lit(False)).alias("exact"), F.coalesce(again, F.lit(False)).alias("near")), free=False)
+        earlier = lambda column: own.where(F.col(column).isNotNull()).select(column, "rank")
+        known = lambda df, column: df.select(column, F.lit(_BEFORE).alias("rank"))
+        old = only(self._read("records", RECORDS, before).select("sha256"), own.where("sha256 IS NOT NULL").select("sha256"), ["sha256"], n)
+        shas = earlier("sha256").unionByName(known(old, "sha256")).groupBy("sha256").agg(F.min("rank").alias("sha_first"))
+        nears = earlier("cls").unionByName(known(settled, "cls")).unionByName(known(late, "cls")).groupBy("cls").agg(F.min("rank").alias("cls_first"))
+        every = own.select("rank", "sha256", "cls").join(shas, "sha256", "left").join(nears, "cls", "left")
+        out = every.select("rank", F.coalesce(F.col("sha_first") < F.col("rank"), F.lit(False)).alias("exact"), F.coalesce(F.col("cls_first") < F.col("rank"), F.lit(False)).alias("near"))
+        out = materialize(out, free=False)
         discard(met, settled)
         return out
 
@@ -185,8 +192,8 @@ def classify(incoming: DataFrame, books: DataFrame, book_files: DataFrame, share
     index.add(history.withColumn("rank", F.lit(0)), 0, share, ask=False)
     out = items.where("false").select("rank", F.lit(False).alias("exact"), F.lit(False).alias("near"))
     # one row a batch: there are as many as there were runs
-    for k, row in enumerate(items.select("batch_no").distinct().orderBy("batch_no").collect(), 1):
-        out = out.unionByName(index.add(items.where(F.col("batch_no").eqNullSafe(F.lit(row.batch_no))).drop("batch_no"), k, share))
+    for k, row in enumerate(items.groupBy("batch_no").agg(F.count("*").alias("n")).orderBy("batch_no").collect(), 1):
+        out = out.unionByName(index.add(items.where(F.col("batch_no").eqNullSafe(F.lit(row.batch_no))).drop("batch_no"), k, share, n=row.n))
         # else the driver holds the broadcasts and compiled plans of all batches
         release(spark)
     return out.select(F.col("rank").alias("item_id"), F.when(F.col("exact"), "exact").when(F.col("near"), "near").otherwise("new").alias("match_kind"))

@@ -247,6 +247,24 @@ def test_batches_leave_nothing_in_the_drivers_memory(spark):
     assert sum(x.getCollectionCount() for x in beans) >= before + 3
 
 
+def test_a_batch_puts_few_tables_into_the_drivers_memory(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(k, f"s{k // 2}", s) for k, s in enumerate(signatures(rng, 24))], "rank long, sha256 string, minhash array<long>")
+    index = incremental.CellIndex(spark, f"file://{tmp_path}/index")
+    index.add(df.where("rank < 12"), 0, ask=False)
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    before = store.executionsList().last().executionId()
+    index.add(df.where("rank >= 12"), 1)
+    bus.waitUntilEmpty(30_000)
+    made, runs = 0, store.executionsList()
+    for i in range(runs.size()):
+        if (run := runs.apply(i).executionId()) > before:
+            nodes = store.planGraph(run).allNodes()
+            made += sum(nodes.apply(k).name().startswith("BroadcastExchange") for k in range(nodes.size()))
+    assert 0 < made <= 11, made
+
+
 def test_persisted_cells_grow_by_batches(spark, tmp_path):
     rng = np.random.default_rng(5)
     sigs = signatures(rng, 60)
