@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from collections.abc import Callable, Container
 from functools import lru_cache
 
 #: What scanners read (left) for what was printed (right), two characters for one and back.
@@ -55,7 +56,7 @@ def features(word: str, i: int) -> list[str]:
     ]
 
 
-def line_features(first: str, mark: str, second: str, known: dict) -> list[str]:
+def line_features(first: str, mark: str, second: str, known: Container[str]) -> list[str]:
     """Of a line end: the mark, and which of joined, hyphenated, first and second form are known words."""
     a, b = first.lower(), second.lower()
     table = [(a + b) in known, f"{a}-{b}" in known, a in known, b in known]
@@ -178,22 +179,30 @@ class Editor:
         tried, the likeliest first; a pair of them is left out only if it can't be better than what was found. Short
         words are near many others by chance and need more (SHORT_MARGIN); words of one letter, or two letters without
         another sign, are never edited."""
+        return next((made for made, sure in self.candidates(word) if sure), None)
+
+    def candidates(self, word: str, maybe: Callable[[str], bool] | None = None) -> list[tuple[str, bool]]:
+        """What ``_edit`` chooses among, the best first, up to the first that is in the lexicon (true); before it those that
+        ``maybe`` takes for words known beyond the lexicon (false)."""
         if len(word) < 2 or len(word) == 2 and word.isalpha():
-            return None
-        least = SHORT_MARGIN if len(word) < 5 else MARGIN
+            return []
+        best = SHORT_MARGIN if len(word) < 5 else MARGIN
+        out: list[tuple[float, int, str, bool]] = []
         options: list[tuple[float, int, str]] = []
         for i in range(len(word)):
             s = self._scores(features(word, i))
             keep = s.get(KEEP, 0.0)
             options += [(x - keep, i, o) for o, x in s.items() if o not in (KEEP, JOIN, HYPHEN) and x - keep > MARGIN]
         options.sort(key=lambda x: (-x[0], x[1], x[2]))
-        best, found = least, None
         for x, i, o in options:
             if x <= best:
                 break
-            if (made := _apply(word, {i: o})) in self.known:
-                best, found = x, made
-                break
+            made = _apply(word, {i: o})
+            if (sure := made in self.known) or maybe and maybe(made):
+                out.append((-x, len(out), made, sure))
+                if sure:
+                    best = x
+                    break
         for k, (x, i, o) in enumerate(options):
             for y, j, q in options[k + 1 :]:
                 if x + y <= best:
@@ -201,12 +210,15 @@ class Editor:
                 # two deletions make a known word of anything; a deletion goes with the replacement before it
                 if j != i and not (o == "D" and q == "D") and ("D" not in (o, q) or j - i == (1 if q == "D" else -1)):
                     made = _apply(word, {i: o, j: q})
-                    if made in self.known:
-                        best, found = x + y, made
-        return found
-
-    def joins(self, first: str, mark: str, second: str) -> bool:
-        s = self._scores(line_features(first, mark, second, self.known))
+                    if (sure := made in self.known) or maybe and maybe(made):
+                        out.append((-x - y, len(out), made, sure))
+                        best = x + y if sure else best
+        out.sort()
+        end = next((k for k, c in enumerate(out) if c[3]), len(out))
+        return [(made, sure) for _, _, made, sure in out[: end + 1]]
+
+    def joins(self, first: str, mark: str, second: str, known: Container[str] | None = None) -> bool:
+        s = self._scores(line_features(first, mark, second, self.known if known is None else known))
         return s.get(JOIN, 0.0) >= s.get(HYPHEN, 0.0)
 
 

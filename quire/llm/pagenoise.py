@@ -5,19 +5,23 @@ halves, so that misread characters don't hide it) or begins like the book's titl
 its distance from the page's place in the book. What is left is joined over line and page ends and its unknown
 words are edited by the character editor, which may only make known words.
 
-Known words are counted over all blocks without line breaks. The LEXICON most frequent go to every executor, and are
-what edits may make; known words beyond them are sorted out of the unknown ones by a join. The editor is trained on at
+Known words are counted over all blocks without line breaks, and are what edits may make. The LEXICON most frequent go to
+every executor. Where there are more, the rest stays a table: of each unknown word all edits are taken down that a bitmap
+of the rest (BITS, which misses none) lets through and that are better than the best in the lexicon, a join tells which
+are known, and another brings the known words of the rest to the pages that ask for them. The editor is trained on at
 most SAMPLE of the unknown words of scanned pages, drawn by hash. Each unknown word is then edited once, and comes back to
-its pages by a join; only words that are put together over the end of a page are edited where they stand.
+its pages by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,12 +34,17 @@ LEXICON, LEAST_COUNT, SAMPLE, EDGE, LONGEST_HEAD = 300_000, 2, 20_000, 2, 60
 #: Of a page's longest line, what a line in a stack of heads doesn't reach; lines of the next page that are looked at for
 #: its first words, beyond empty ones, and characters of each.
 SHORT_LINE, NEXT_LINES, NEXT_CHARS = 0.6, 8, 100
+#: Bits of the bitmap of known words beyond the lexicon.
+BITS = 1 << 27
 MARKS = "-\xad¬‐"
 _MARK_SET = set(MARKS)
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 _TOKEN = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*")
 _BREAK = re.compile(rf"([^\W_]*[^\W\d_])([{MARKS}])[ \t]*$")
 _PARTED = re.compile(rf"(?<=[^\W_])[{MARKS}][ \t]*\n\s*(?=[^\W_])")
+#: A word with its line ends, in a text where _LINE_END stands for them.
+_LINE_END = "\ue000"
+_CHAIN = re.compile(rf"[^\W_]+(?:[!|{_LINE_END}][^\W_]+)*")
 _START = re.compile(r"[«“„\"'(]*([^\W_]+)")
 _NUMBER = re.compile(r"[\s\-–—\[\](){}.·*|]*(?:(?:p|s|pag|page|seite|стр|с)\.?\s*)?([0-9OoIl]{1,4}|[ivxlc]{1,8}|[IVXLC]{1,8})[\s\-–—\[\](){}.·*|]*", re.I)
 #: A number set off from the rest of a running head by a gap.
@@ -242,18 +251,50 @@ def lexicon(counts: DataFrame) -> dict[str, int]:
     return known
 
 
-def unknown_words(pages: DataFrame, known) -> DataFrame:
+def line_words(text: str) -> set[str]:
+    """The words that decide on a page's line ends (both halves, joined and hyphened), and those that stand there if some
+    of successive line ends are joined and others aren't."""
+    lines = text.split("\n")
+    words: set[str] = set()
+    for line, after in zip(lines, lines[1:]):
+        if (m := _BREAK.search(line)) and (n := _START.match(after.lstrip())):
+            a, b = m[1].lower(), n[1].lower()
+            words.update((a, b, a + b, f"{a}-{b}"))
+    for word in _CHAIN.findall(_PARTED.sub(_LINE_END, text.lower())):
+        parts = word.split(_LINE_END)
+        if len(parts) > 2:
+            words.update("".join(parts[i:j]) for i in range(len(parts)) for j in range(i + 2, len(parts) + 1))
+    return words
+
+
+def page_edges(text: str, head: str) -> tuple[list[str], list[str]]:
+    """First halves of words at line ends that may be the page's last, and first words of lines that may be its first."""
+    lines = text.split("\n")
+    outer = {k for k, _, _ in edges(lines)}
+    tails, starts = set(), {n[1].lower() for x in head.split("\n") if (n := _START.match(x.lstrip()))}
+    for k in range(len(lines) - 1, -1, -1):
+        if lines[k].strip():
+            if m := _BREAK.search(lines[k]):
+                tails.add(m[1].lower())
+            if k not in outer:
+                break
+    return sorted(tails), sorted(starts)
+
+
+def unknown_words(pages: DataFrame, known, ends: bool = False) -> DataFrame:
     """``book_id, seq, word``: of each page the distinct words that aren't in the lexicon, also those that are parted at a
-    line's end."""
+    line's end; with ``ends`` all that are asked for at line ends, whatever is joined there."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in slices(batches):
             rows = []
-            for b, s, t in zip(pdf["book_id"], pdf["seq"], pdf["text"]):
-                t = t.lower()
+            for b, s, text in zip(pdf["book_id"], pdf["seq"], pdf["text"]):
+                t = text.lower()
                 words = set(_TOKEN.findall(t))
                 if (whole := _PARTED.sub("", t)) != t:
                     words.update(_TOKEN.findall(whole))
+                if ends:
+                    words |= line_words(text)
                 rows += [(b, s, w) for w in words if w not in known.value and not w.isdigit()]
             if rows:
                 yield pd.DataFrame(rows, columns=["book_id", "seq", "word"])
@@ -261,29 +302,88 @@ def unknown_words(pages: DataFrame, known) -> DataFrame:
     return pages.select("book_id", "seq", "text").mapInPandas(find, "book_id long, seq int, word string")
 
 
-def edited_words(words: DataFrame, weights, known) -> DataFrame:
-    """``word, fix`` of the words that the editor makes known ones of. Each word is edited once, whoever has it."""
+def words_between_pages(pages: DataFrame, known) -> DataFrame:
+    """``book_id, seq, word``: the words outside the lexicon that are asked for where a page may end in half a word."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in slices(batches):
+            rows = [(b, s, *page_edges(t, h)) for b, s, t, h in zip(pdf["book_id"], pdf["seq"], pdf["text"], pdf["head"])]
+            if rows:
+                yield pd.DataFrame(rows, columns=["book_id", "seq", "tails", "starts"])
+
+    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[[w not in known.value and not w.isdigit() for w in pdf["word"]]]
+
+    light = pages.select("book_id", "seq", "text", _head().alias("head")).mapInPandas(find, "book_id long, seq int, tails array<string>, starts array<string>")
+    light = light.groupBy("book_id", "seq").agg(*[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("tails", "starts")])
+    near = neighbour(light, "book_id", "seq", ["starts"], "_next", forward=True).where(F.size("tails") > 0)
+    both = near.select("book_id", "seq", F.explode("tails").alias("a"), F.col("_next.starts").alias("starts")).select("book_id", "seq", "a", F.explode("starts").alias("b"))
+    words = both.select("book_id", "seq", F.explode(F.array("a", "b", F.concat("a", "b"), F.concat("a", F.lit("-"), "b"))).alias("word"))
+    return words.distinct().mapInPandas(outside, "book_id long, seq int, word string")
+
+
+def _slots(word: str, size: int) -> tuple[int, int, int, int]:
+    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
+    return h % size, (h >> 32) % size, (h >> 64) % size, (h >> 96) % size
+
+
+def bitmap(words: DataFrame, size: int) -> bytes:
+    """``size`` bits, of which each word has set four."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size // 8, np.uint8)
+        for pdf in batches:
+            at = np.array([_slots(w, size) for w in pdf["word"]], np.int64).ravel()
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+    total = np.zeros(size // 8, np.uint8)
+    for row in words.select("word").coalesce(4).mapInPandas(fill, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return total.tobytes()
+
+
+def edited_words(words: DataFrame, weights, known, rest: DataFrame | None = None) -> DataFrame:
+    """``word, fix`` of the words that the editor makes known ones of. Each word is edited once, whoever has it. ``rest``: the
+    words known beyond the lexicon, as a stored table, if there are any."""
+    size = BITS
+    bits = None if rest is None else words.sparkSession.sparkContext.broadcast(bitmap(rest, size))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         editor = Editor(weights.value, known.value)
+        maybe = None if bits is None else lambda w, has=bits.value: all(has[x >> 3] >> (x & 7) & 1 for x in _slots(w, size))
         for pdf in batches:
-            rows = [(w, fix) for w in pdf["word"] if (fix := editor.edit(w))]
+            rows = [(w, at, made, sure) for w in pdf["word"] for at, (made, sure) in enumerate(editor.candidates(w, maybe))]
             if rows:
-                yield pd.DataFrame(rows, columns=["word", "fix"])
+                yield pd.DataFrame(rows, columns=["word", "at", "fix", "sure"])
 
-    return words.mapInPandas(run, "word string, fix string")
+    made = words.mapInPandas(run, "word string, at int, fix string, sure boolean")
+    if rest is None:
+        return made.select("word", "fix")
+    made = materialize(made, free=False)
+    real = made.where("NOT sure").join(rest.select(F.col("word").alias("fix")), "fix", "left_semi").select(*made.columns)
+    return made.where("sure").unionByName(real).groupBy("word").agg(F.min_by("fix", "at").alias("fix"))
 
 
 class Cleaner:
     def __init__(self, weights, known: dict[str, int]):
         self.known, self.editor = known, Editor(weights, known)
-        #: Words of the page in hand that were looked at before: what is made of them, or None.
+        #: Words of the page in hand that were looked at before: what is made of them (of words known beyond the lexicon,
+        #: themselves), or None.
         self.seen: dict[str, str | None] = {}
 
     def _fix(self, word: str) -> str | None:
         if word in self.known or word.isdigit():
             return None
-        return self.seen[word] if word in self.seen else self.editor.edit(word)
+        if word not in self.seen:
+            return self.editor.edit(word)
+        return made if (made := self.seen[word]) != word else None
+
+    def _joins(self, first: str, mark: str, second: str) -> bool:
+        a, b = first.lower(), second.lower()
+        known = {w for w in (a, b, a + b, f"{a}-{b}") if w in self.known or self.seen.get(w) == w}
+        return self.editor.joins(first, mark, second, known)
 
     def _suspect(self, paragraph: str) -> set[str]:
         """The unknown words that can be edited: most paragraphs have none and need no second look."""
@@ -308,7 +408,7 @@ class Cleaner:
             if m and after:
                 n = _START.match(after.lstrip())
                 if n and (m[2] != "-" or n[1][:1].islower() or m[1].isupper()):
-                    if self.editor.joins(m[1], m[2], n[1]):
+                    if self._joins(m[1], m[2], n[1]):
                         kinds.add("hyphenation")
                         if k + 1 == len(body):
                             tail = m[1]
@@ -349,6 +449,12 @@ class Cleaner:
         return kinds, fixes, "\n\n".join(paragraphs), tail
 
 
+def _head() -> F.Column:
+    """The first lines of a page's text, which may hold its first words."""
+    first = F.regexp_extract("text", rf"^(?:[^\n]*\n\s*){{0,{NEXT_LINES}}}[^\n]*", 0)
+    return F.array_join(F.transform(F.split(first, "\n"), lambda x: F.substring(x, 1, NEXT_CHARS)), "\n")
+
+
 def clean(blocks: DataFrame, books: DataFrame) -> DataFrame:
     """One row per page: ``book_id, seq, kinds, fixes, body`` (cleaned text, paragraphs parted by empty lines) and
     ``open`` (whether the body ends in the first half of a word).
@@ -360,25 +466,31 @@ def clean(blocks: DataFrame, books: DataFrame) -> DataFrame:
     pages = paged(blocks)
     counts = materialize(word_counts(blocks), free=False)
     known = spark.sparkContext.broadcast(lexicon(counts))
-    unknown = materialize(unknown_words(pages, known), free=False)
-    words = unknown.select("word").distinct()
-    if counts.count() > LEXICON:  # words beyond the lexicon are known all the same
+    rest = None
+    more = counts.count() > LEXICON
+    unknown = unknown_words(pages, known, ends=more)
+    if more:  # words beyond the lexicon are known all the same
         rest = counts.select(F.explode(F.array_union(F.array("word"), F.split("word", "-"))).alias("word")).distinct()
-        words = words.join(rest, "word", "left_anti")
+        rest = materialize(rest, free=False)
+        unknown = unknown.unionByName(words_between_pages(pages, known)).distinct()
+    unknown = materialize(unknown, free=False)
+    words = unknown.select("word").distinct()
+    if rest is not None:
+        words = words.where(~F.col("word").contains("-")).join(rest, "word", "left_anti")
     words = materialize(words, free=False)
     sample = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
     weights = spark.sparkContext.broadcast(train(sample, known.value))
-    fixes = edited_words(words.repartition(2 * spark.sparkContext.defaultParallelism), weights, known)
+    fixes = edited_words(words.repartition(2 * spark.sparkContext.defaultParallelism), weights, known, rest)
+    if rest is not None:
+        fixes = fixes.unionByName(unknown.select("word").distinct().join(rest, "word", "left_semi").select("word", F.col("word").alias("fix")))
     seen = unknown.join(fixes, "word", "left").groupBy("book_id", "seq").agg(F.map_from_entries(F.collect_set(F.struct("word", "fix"))).alias("seen"))
     evidence = furniture_evidence(pages)
     names = books.select(F.col("id").alias("book_id"), "title", "author").dropDuplicates(["book_id"])
     each = pages.groupBy("book_id", "seq").agg(F.min("text").alias("text")).join(evidence, ["book_id", "seq"], "left")
     each = materialize(each.join(seen, ["book_id", "seq"], "left"))
-    discard(counts, unknown, words)
+    discard(counts, unknown, words, *([] if rest is None else [rest]))
     # the next page's first words that aren't furniture are needed at a page's end: its first lines go along
-    first = F.regexp_extract("text", rf"^(?:[^\n]*\n\s*){{0,{NEXT_LINES}}}[^\n]*", 0)
-    head = F.array_join(F.transform(F.split(first, "\n"), lambda x: F.substring(x, 1, NEXT_CHARS)), "\n")
-    rows = neighbour(each.withColumn("head", head), "book_id", "seq", ["head", "marks"], "_next", forward=True, along=names)
+    rows = neighbour(each.withColumn("head", _head()), "book_id", "seq", ["head", "marks"], "_next", forward=True, along=names)
     rows = rows.select("book_id", "seq", "text", "marks", "title", "author", "seen", F.col("_next.head").alias("next_head"), F.col("_next.marks").alias("next_marks"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

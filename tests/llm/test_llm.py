@@ -748,6 +748,40 @@ def test_words_beyond_the_lexicon_are_known(spark, monkeypatch):
     assert not any(x.startswith(("mouse>", "kept>", "well>")) for x in made[3, 0])
 
 
+def test_a_small_lexicon_changes_no_page(spark, monkeypatch):
+    rng = random.Random(11)
+    syllables = "ham ler min dor sum nel tam rik mon bas gel fim".split()
+    words = sorted({"".join(rng.choice(syllables) for _ in range(3)) for _ in range(150)})
+    rows = [(1, s, None, " ".join(rng.choices(words, [1 / (k + 1) for k in range(len(words))], k=60)) + " " + " ".join(words[s % 5 :: 5]) + " well-kept half-blind") for s in range(20)]
+
+    def spoilt(w):
+        return rng.choice((w, w.replace("m", "rn", 1), w.replace("l", "1", 1), w.replace("m", "rn", 1).replace("l", "1", 1)))
+
+    def parted(w):
+        return f"{w[:5]}{rng.choice(('-', chr(173)))}\n{w[5:]}"
+
+    for s in range(12):
+        lines = [" ".join(spoilt(rng.choice(words)) for _ in range(7)) + " " + parted(rng.choice(words)) + " " + spoilt(rng.choice(words)) for _ in range(6)]
+        w = rng.choice(words)
+        lines.append(f"{rng.choice(words)} {w[:3]}-\n{w[3:6]}-\n{w[6:]} well-\nkept half-\nblind {rng.choice(words)[:4]}-")
+        rows.append((2, s, s + 1, "\n".join(lines)))
+    rows += [(2, 12, 13, ""), (3, 0, None, "a page-\n"), (3, 1, None, "-\n\n")]
+    df, bk, weights = blocks(spark, rows), books(spark, [(2, "t", "a", "en", 1.0)]), []
+    plain = pagenoise.train
+    monkeypatch.setattr(pagenoise, "train", lambda *x: weights[0] if weights else weights.append(plain(*x)) or weights[0])
+
+    def made():
+        return sorted((r.book_id, r.seq, r.kinds, sorted(r.fixes), r.body, r.open) for r in pagenoise.clean(df, bk).collect())
+
+    whole = made()
+    fixed = {x.split(">")[1] for r in whole for x in r[3]}
+    for n, bits in ((20, pagenoise.BITS), (0, 1 << 9)):  # the second bitmap is nearly full
+        monkeypatch.setattr(pagenoise, "LEXICON", n)
+        monkeypatch.setattr(pagenoise, "BITS", bits)
+        assert made() == whole
+    assert len(fixed) > 40 and any(r[5] for r in whole)
+
+
 def test_pages_are_cleaned(spark):
     rng = random.Random(7)
     line = lambda n=8: " ".join(rng.choice(PAGE_WORDS) for _ in range(n))
