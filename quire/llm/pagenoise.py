@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -323,9 +324,12 @@ def words_between_pages(pages: DataFrame, known) -> DataFrame:
     return words.distinct().mapInPandas(outside, "book_id long, seq int, word string")
 
 
-def _slots(word: str, size: int) -> tuple[int, int, int, int]:
-    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest(), "little")
-    return h % size, (h >> 32) % size, (h >> 64) % size, (h >> 96) % size
+def _slots(word: str, size: int) -> Iterator[int]:
+    """The bits of a word; the first is quickly had, and mostly shows that a word isn't there."""
+    code = word.encode("utf-8", "surrogatepass")
+    yield zlib.crc32(code) % size
+    h = int.from_bytes(hashlib.blake2b(code, digest_size=12).digest(), "little")
+    yield from (h % size, (h >> 32) % size, (h >> 64) % size)
 
 
 def bitmap(words: DataFrame, size: int) -> bytes:
@@ -334,7 +338,7 @@ def bitmap(words: DataFrame, size: int) -> bytes:
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(size // 8, np.uint8)
         for pdf in batches:
-            at = np.array([_slots(w, size) for w in pdf["word"]], np.int64).ravel()
+            at = np.array([[*_slots(w, size)] for w in pdf["word"]], np.int64).ravel()
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         yield pd.DataFrame({"bits": [bits.tobytes()]})
 
