@@ -535,6 +535,16 @@ def test_books_are_drawn_with_all_their_blocks(spark, monkeypatch):
         assert sum(n) == 20 and len(n) <= 5 and sum(k < 4 for k in n) <= 1
 
 
+def test_a_wrong_label_drawn_as_often_as_the_right_one(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LABEL_BLOCKS", 40)
+    rng = random.Random(8)
+    # of 30 English and 12 wrongly labelled English books ten each are drawn; bg is the first in the alphabet
+    kinds = [*["en"] * 30, *["bg"] * 12, *["de"] * 12]
+    rows = [(b, s, None, prose(rng, "de" if label == "de" else "en", 4)) for b, label in enumerate(kinds) for s in range(4)]
+    book, _ = langid.languages(blocks(spark, rows), books(spark, [(b, None, None, label, 1.0) for b, label in enumerate(kinds)]))
+    assert {r.book_id: r.lang for r in book.collect()} == {b: "de" if label == "de" else "en" for b, label in enumerate(kinds)}
+
+
 def test_running_text_of_pages():
     page = "22   T H E   M I L L E R \u2019 S   P A L E\nbeside the canal while the sunlit fisher-\nman watched it. And a second line of text\n\nfollows here as the last one of the page\n- 7 -"
     made = langid.running_text(page)
