@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.functions import text as T
@@ -134,12 +139,146 @@ def _ranked(terms: DataFrame, docs: DataFrame, queries: DataFrame, top: int, key
     return rounded.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+#: Queries scored at once, passages of the first and of the largest step, and how near a bound counts as reached.
+QUERIES, FIRST, STEP, NEAR = 1024, 256, 4096, 1e-6
+
+
+def _holding(tokens: DataFrame, terms: pa.Array, key: str) -> DataFrame:
+    """``key, dl, terms, tfs``: of each passage its length and the given terms in it by number. tokens: key, tokens."""
+    spark, kind = tokens.sparkSession, tokens.schema[key].dataType.simpleString()
+    shared, n = spark.sparkContext.broadcast(terms), max(len(terms), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = pc.fill_null(pc.index_in(pc.list_flatten(batch.column(1)), value_set=shared.value), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            cells, tf = np.unique((np.repeat(np.arange(len(size)), size) * n + at)[at >= 0], return_counts=True)
+            first = pa.array(np.searchsorted(cells, np.arange(len(size) + 1) * n), pa.int32())
+            lists = [pa.ListArray.from_arrays(first, pa.array(x, pa.int32())) for x in (cells % n, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), *lists], names=[key, "dl", "terms", "tfs"])
+
+    return tokens.select(key, "tokens").mapInArrow(run, f"{key} {kind}, dl int, terms array<int>, tfs array<int>")
+
+
+class _Block:
+    """The best passages so far of some queries. ``of, term, most``: query by number, term by number and the most it can
+    add, sorted by term."""
+
+    def __init__(self, n: int, of: np.ndarray, term: np.ndarray, most: np.ndarray, top: int):
+        self.n, self.of, self.term, self.most, self.top = n, of, term, most, top
+        self.runs = np.flatnonzero(np.append(True, term[1:] != term[:-1])) if len(term) else np.zeros(0, np.int64)
+        self.ends = np.append(self.runs[1:], len(term))
+        # what a term and all that add less can add together
+        order = np.lexsort((term, -most, of))
+        back = np.cumsum(most[order][::-1])[::-1]
+        after = np.append(back, 0.0)[np.searchsorted(of[order], of[order], side="right")]
+        self.rest = np.empty(len(of))
+        self.rest[order] = back - after
+        self.reached = np.full(n, -np.inf)
+        self.q, self.score, self.key = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, cells: np.ndarray, part: np.ndarray) -> None:
+        """Passages by key; ``cells``: term times passages plus passage, sorted, and what share of its most the term adds."""
+        d = len(keys)
+        finds = self.rest >= self.reached[self.of] - NEAR
+        begin, end = (np.searchsorted(cells, (self.term[self.runs] + k) * d) for k in (0, 1))
+        s = np.zeros((self.n, d))
+        for a, b, x, y in zip(self.runs, self.ends, begin, end):
+            if x < y and (f := finds[a:b]).any():
+                s[np.ix_(self.of[a:b][f], cells[x:y] % d)] += self.most[a:b][f][:, None] * part[x:y]
+        others = np.flatnonzero(~finds)
+        more = np.bincount(self.of[others], self.most[others], self.n)
+        q, p = np.nonzero(s >= np.maximum(self.reached - more - NEAR, 1e-300)[:, None])
+        score = s[q, p]
+        if len(others):
+            others = others[np.argsort(self.of[others], kind="stable")]
+            first = np.searchsorted(self.of[others], np.arange(self.n + 1))
+            many = np.diff(first)[q]
+            pair = np.repeat(np.arange(len(q)), many)
+            entry = others[np.arange(len(pair)) - np.repeat(np.cumsum(many) - many - first[q], many)]
+            cell = self.term[entry] * d + p[pair]
+            at = np.minimum(np.searchsorted(cells, cell), max(len(cells) - 1, 0))
+            score = score + np.bincount(pair, np.where(cells[at] == cell, self.most[entry] * part[at], 0.0), len(q)) if len(pair) else score
+        score = np.round(score, DIGITS)
+        ok = score >= self.reached[q]
+        q, score, key = (np.concatenate(x) for x in ((self.q, q[ok]), (self.score, score[ok]), (self.key, keys[p[ok]])))
+        order = np.lexsort((key, -score, q))
+        q, score, key = q[order], score[order], key[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        last = rank == self.top - 1
+        self.reached[q[last]] = score[last]
+        ok = rank < self.top
+        self.q, self.score, self.key = q[ok], score[ok], key[ok]
+
+
+def _scored(held: DataFrame, asked: pa.Table, terms: pa.Array, top: int, key: str, kind: str) -> DataFrame:
+    """As ``bm25``, from what ``_holding`` made, whose keys differ: each task scores its passages in steps against all
+    queries in blocks and keeps the best of each. Terms that together can't add what a query's best have reached are looked
+    up only for passages that may still get among them."""
+    spark = held.sparkSession
+    stats = held.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    df = np.zeros(len(terms))
+    counted = held.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("df")).toArrow()
+    df[counted["t"].to_numpy()] = counted["df"].to_numpy()
+    idf = np.maximum(np.log((stats.n - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    ids = pc.unique(asked["query_id"])
+    of = pc.index_in(asked["query_id"], value_set=ids).to_numpy().astype(np.int64)
+    term = pc.index_in(asked["term"], value_set=terms).to_numpy().astype(np.int64)
+    most = asked["times"].to_numpy() * idf[term] * (K1 + 1)
+    order = np.lexsort((of, term))
+    shared = spark.sparkContext.broadcast((of[order], term[order], most[order], len(ids), stats.avgdl))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, term, most, n, avgdl = shared.value
+        blocks = []
+        for k in range(0, n, QUERIES):
+            mine = (of >= k) & (of < k + QUERIES)
+            blocks.append(_Block(min(QUERIES, n - k), of[mine] - k, term[mine], most[mine], top))
+        step = FIRST
+        for pdf in batches:
+            a = 0
+            while a < len(pdf):
+                x = pdf.iloc[a : a + step]
+                a, step = a + step, min(2 * step, STEP)
+                size = x["terms"].map(len).to_numpy()
+                if not size.sum():
+                    continue
+                doc, tf = np.repeat(np.arange(len(x)), size), np.concatenate(x["tfs"].tolist()).astype(float)
+                cells = np.concatenate(x["terms"].tolist()).astype(np.int64) * len(x) + doc
+                part = tf / (tf + K1 * (1 - B + B * x["dl"].to_numpy()[doc] / avgdl))
+                by = np.argsort(cells)
+                for block in blocks:
+                    block.add(x[key].to_numpy().astype(np.int64), cells[by], part[by])
+        for k, block in enumerate(blocks):
+            if len(block.q):
+                yield pd.DataFrame({"q": block.q + k * QUERIES, key: block.key, "score": block.score})
+
+    # as many tasks as run side by side, as each of them may send the best of every query
+    found = held.where(F.size("terms") > 0).coalesce(spark.sparkContext.defaultParallelism).mapInPandas(run, f"q long, {key} {kind}, score double")
+    best = found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("score").desc(), F.col(key)))).where(F.col("rank") <= top)
+    names = spark.createDataFrame(pa.table({"q": np.arange(len(ids)), "query_id": ids}))
+    return best.join(F.broadcast(names), "q").select("query_id", key, "score", "rank")
+
+
 def bm25(passages: DataFrame, queries: DataFrame, top: int, key: str = "id", text: str = "text") -> DataFrame:
     """``query_id, key, score, rank``: the best ``top`` passages of each query by BM25, ties by key.
 
     Document frequencies and lengths are of all passages. A query without a token finds nothing. The passages are read
     here and now; ``Postings`` keeps what was read.
     """
-    tokens = passages.select(key, T.index_tokens(F.col(text)).alias("tokens")).select(key, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens")
+    tokens = passages.select(key, T.index_tokens(F.col(text)).alias("tokens"))
+    kind, qkind = passages.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    asked = materialize(query_terms(queries), free=False)
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if kind in whole and qkind in whole and asked.count() <= BROADCAST_TERMS and asked.where("query_id IS NULL").isEmpty():
+        found = asked.toArrow()
+        terms = pc.unique(found["term"])
+        held = materialize(_holding(tokens, terms, key))
+        if held.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).isEmpty():
+            out = _scored(held, found, terms, top, key, kind)
+            return out.select(F.col("query_id").cast(qkind).alias("query_id"), key, "score", "rank")
+        discard(held)
+    # too many terms for every executor, or passages of one key, whose tokens count together
+    tokens = tokens.select(key, F.coalesce(F.size("tokens"), F.lit(0)).alias("dl"), "tokens")
     rows = tokens.select(key, "dl", F.explode("tokens").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     return _ranked(rows, tokens.select(key, "dl"), queries, top, key)

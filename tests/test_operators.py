@@ -352,6 +352,52 @@ def test_bounds_on_scores_lose_nothing(spark):
     assert {(r.query_id, r.id, r["rank"]) for r in got.collect()} == want
 
 
+def test_steps_of_passages_lose_nothing():
+    rng = np.random.default_rng(5)
+    tf = rng.poisson(0.4, (300, 12)) * (rng.random((300, 12)) < np.linspace(0.9, 0.05, 12))
+    idf = np.linspace(1e-6, 4, 12)
+    asked = np.array([(q, t) for q in range(30) for t in range(12) if (q * 7 + t * 5) % 3 == 0 or t == q % 12])
+    asked = asked[np.lexsort((asked[:, 0], asked[:, 1]))]
+    share = tf / (tf + 1.0)
+    block = lexical._Block(30, asked[:, 0], asked[:, 1], idf[asked[:, 1]], 4)
+    keys = rng.permutation(1000)[:300]
+    looked_up = False
+    for a, b in [(0, 5), (5, 40), (40, 41), (41, 160), (160, 300)]:
+        t, d = np.nonzero(tf[a:b].T)
+        block.add(keys[a:b], t * (b - a) + d, share[a:b].T[t, d])
+        looked_up |= bool((block.rest < block.reached[block.of] - 1e-6).any())
+    want = set()
+    for q in range(30):
+        mine = asked[asked[:, 0] == q, 1]
+        scored = sorted((-round(float((share[i, mine] * idf[mine]).sum()), 9), int(keys[i])) for i in range(300) if tf[i, mine].any())
+        want |= {(q, k, -s) for s, k in scored[:4]}
+    got = {(int(q), int(k), round(float(s), 9)) for q, k, s in zip(block.q, block.key, block.score)}
+    assert looked_up and {x[:2] for x in got} == {x[:2] for x in want} and len(got) == len(want)
+
+
+def test_passages_of_one_key_count_together(spark):
+    docs = spark.createDataFrame([(1, "mill"), (1, "mill"), (2, "mill stone"), (3, "stone house"), (4, "harbour"), (5, None)], "id long, text string")
+    q = spark.createDataFrame([(1, "mill"), (2, "")], "query_id int, query string")
+    assert [(r.query_id, r.id) for r in lexical.bm25(docs, q, 5).orderBy("rank").collect()] == [(1, 1), (1, 2)]
+    assert lexical.bm25(docs.where("id > 2"), q, 5).collect() == [] and lexical.bm25(docs, q.where("query = ''"), 5).collect() == []
+
+
+#: Searches that are asked once, for which an index of every word of all documents takes more disk than the documents.
+ONCE = ["bm25_topk"]
+
+
+@pytest.mark.parametrize("name", ONCE)
+def test_searches_write_no_index(spark, data, monkeypatch, name):
+    from quire.plans.queries import FOUND
+
+    def write(*_, **__):
+        raise AssertionError("an index was written")
+
+    monkeypatch.setattr(lexical.Postings, "versions", lambda self: [])
+    monkeypatch.setattr(lexical.Postings, "write", write)
+    assert FOUND[name](spark, data).columns
+
+
 def test_recommendations_follow_the_manifest(spark):
     schema = "path string, format string, status string, text_class string, language string, sha256 string, size long, pages int, word_estimate long, contains map<string,int>"
     rows = [("a", "doc", "unsupported", None, None, "1", 5, None, None, None), ("b", "pdf", "ok", "scanned", None, "2", 6 * 1024**3, 10, 0, None), ("c", "pdf", "ok", "text", "en", "2", 6 * 1024**3, 10, 100, None), ("d", "zip", "unsupported", None, None, "3", 5, None, None, {"epub": 2})]
