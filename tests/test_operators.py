@@ -383,7 +383,7 @@ def test_passages_of_one_key_count_together(spark):
 
 
 #: Searches that are asked once, for which an index of every word of all documents takes more disk than the documents.
-ONCE = ["bm25_topk", "rrf_fusion", "hybrid_search", "eval_first_ranks", "hydrate"]
+ONCE = ["bm25_topk", "rrf_fusion", "hybrid_search", "eval_first_ranks", "hydrate", "eval_hit_mrr"]
 
 
 @pytest.mark.parametrize("name", ONCE)
